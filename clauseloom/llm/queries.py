@@ -6,8 +6,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clauseloom.llm import encode, neardup, pack, spans
+from clauseloom.llm import chars, defects, encode, neardup, pack, sentences, spans
+from clauseloom.llm.common import clauses
 from clauseloom.session import spread, table
 
 TOKENIZERS = os.environ.get("CLAUSELOOM_TOKENIZERS", encode.TOKENIZERS)
@@ -17,6 +19,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with its text."""
+    return sentences.clause_units(clauses(spark, sf_dir, "pdf")).select("field", "sample_id", "lang", "sent_start", "sentence").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.clause_units(clauses(spark, sf_dir, "pdf")).select("field", "sample_id", "sent_start").distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit("").alias("experiment_group")
+    sections = chars.inconsistent(table(spark, sf_dir, "term_recall").select("sample_id", "section_no"), "section_no", section=True)
+    texts = chars.inconsistent(clauses(spark, sf_dir, "pdf").select("sample_id", "source_text"), "source_text")
+    answers = table(spark, sf_dir, "tcr_check").select("sample_id", "experiment_group", "hypothesis").where(~defects.without_content(F.col("hypothesis")))
+    answers = chars.inconsistent(answers, "hypothesis")
+    return (
+        sections.select(F.lit("section_no").alias("field"), "sample_id", none)
+        .union(texts.select(F.lit("source_text"), "sample_id", none))
+        .union(answers.select(F.lit("hypothesis"), "sample_id", "experiment_group"))
+        .distinct()
+    )
+
+
+def p6_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows name each section, once equal sections are written alike."""
+    rows = table(spark, sf_dir, "term_recall").select("sample_id", "section_no").distinct()
+    return chars.consistent(rows, "section_no", section=True).groupBy(F.col("section_no_form").alias("section")).agg(
+        F.count("*").alias("clauses"), F.countDistinct("section_no").alias("spellings")
+    )
+
+
 def studied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clauses of the near-duplicate study with their texts."""
     listed = table(spark, sf_dir, "b1_neardup_consistency").select("sample_id").distinct()
@@ -53,6 +86,10 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p5_found": p5_found,
+        "p5_units": p5_units,
+        "p6_found": p6_found,
+        "p6_sections": p6_sections,
         "p7_found": p7_found,
         "p7_groups": p7_groups,
         "p8_ids": p8_ids,
@@ -86,6 +123,10 @@ found AS (SELECT doc_id, i, g FROM grams SEMI JOIN shared USING (g))
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p5_found": p5_found,
+        "p5_units": p5_units,
+        "p6_found": p6_found,
+        "p6_sections": p6_sections,
         "p7_found": SIMILAR,
         "p10_found": GRAMS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM found a JOIN found b ON a.g = b.g AND a.doc_id < b.doc_id",
         "p10_shared": GRAMS
