@@ -1,10 +1,230 @@
-"""Defective answers (see answers below)."""
+"""Defective answers: empty, truncated, refusal, copy, wrong language.
+
+empty: null, or nothing but white space, marks, a label or a clause number.
+copy: the letters and digits of the source again, whatever the case, accents, look-alikes or dressing.
+refusal: what it says occurs neither in any source nor in any reference (its runs of
+  GRAMS characters are unknown to both), and its template recurs: openings of such answers are
+  clustered by MinHash, verified by the exact similarity of their shingles, and a
+  cluster must answer several unrelated prompts.
+wrong_language: most letters belong to a language that is neither Chinese nor the source's.
+truncated: the cut answers of the truncation operator among the rest.
+
+One defect an answer, the first that holds in the order empty, copy, refusal,
+wrong_language, truncated.  Table lines may repeat their source.
+
+Defined cases: a null source can't be copied; repeated rows count once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauseloom.llm import truncation
+from clauseloom.llm.chars import CYRILLIC, GREEK, INVISIBLE, WHITE
+from clauseloom.session import cut
+
+# Labels put before an answer, words that stand for nothing, and frequent words of the languages in Latin script.
+LABELS = "译文|翻译|答案|答复|回答|中文|结果|translation|translated text|answer|output|response|target|chinese|übersetzung|traduction|traducción|перевод|คำแปล|الترجمة"
+NOTHING = "null|none|nil|nan|n/a|na|undefined|empty|todo|tbd|无|空"
+CLAUSE = r"(?:(?:article|artículo|artikel|art\.?|§|статья|المادة|ข้อ|第)\s*)?(?:\p{L}{0,2}[.．]?\s*)?[0-9０-９]+(?:[.．\-/][0-9０-９]+)*\p{Ll}?[.．)）]?\s*(?:条)?"
+WORDS = {
+    "en": "the|of|is|and|for|with|be|to|by|shall|are|when|as|not",
+    "de": "der|die|das|und|ist|wird|bei|von|für|mit|den|dem|nicht|nach|einem|einer|auf|darf",
+    "fr": "est|sont|pour|dans|les|des|le|un|une|du|et|par|pendant|selon|au|près|à",
+    "es": "el|los|se|para|con|en|del|una|y|por|al|según|durante|junto|no|es",
+}
+#: Characters of a run in Chinese and in other scripts; bits of the map of known runs.
+GRAMS = (3, 7)
+KNOWN_BITS = 24
+ALIEN = 0.5
+PROMPTS = 2
+
+
+def content(text: Column) -> Column:
+    """What is left of an answer without invisible characters, wrapping marks, a label and a leading clause number."""
+    out = F.trim(F.regexp_replace(F.regexp_replace(text, f"[{INVISIBLE}]", ""), f"[{WHITE}]+", " "))
+    out = F.regexp_replace(out, r"^[\p{P}\p{S}\s]*(?:text|markdown|json|html)?[\p{P}\p{S}\s]*(?=(?iu:" + LABELS + r"))", "")
+    out = F.regexp_replace(out, rf"(?iu)^(?:{LABELS})\s*[:：]+[\p{{P}}\p{{S}}\s]*", "")
+    return F.regexp_replace(out, rf"(?iu)^{CLAUSE}(?=[\s\p{{P}}]|$)[\s.．]*", "")
+
 
 def without_content(text: Column) -> Column:
-    return F.coalesce(~text.rlike(r"\p{L}|\p{N}"), F.lit(True))
+    left = F.regexp_replace(content(text), r"[\p{P}\p{S}\s]+", " ")
+    return F.coalesce(~left.rlike(r"\p{L}|\p{N}") | F.trim(left).rlike(rf"(?iu)^(?:{NOTHING}|{LABELS})$"), F.lit(True))
+
+
+_LOOK = str.maketrans({**CYRILLIC, **GREEK})
+
+
+def key(text: str) -> str:
+    """Letters and digits only, without case, accents, look-alikes and forms."""
+    flat = unicodedata.normalize("NFKD", text.translate(_LOOK)).casefold()
+    return "".join(c for c in flat if c.isalnum())
+
+
+def is_copy(source: str | None, answer: str | None) -> bool:
+    if not source or not answer:
+        return False
+    a, b = key(source), key(answer)
+    if not a or not b:
+        return False
+    if a in b:
+        return len(a) >= 0.4 * len(b)
+    return b in a and len(b) >= max(20, 0.3 * len(a))
+
+
+def _copied(source: Column, answer: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def run(sources, answers):
+        return sources.combine(answers, is_copy)
+
+    return run(source, answer)
+
+
+def language(text: Column) -> Column:
+    """The language of a text by its script or, in Latin script, by its frequent words; null without any."""
+
+    def count(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern))
+
+    # a Chinese character stands for about two letters
+    scripts = {"zh": 2 * count(r"\p{IsHan}"), "ru": count(r"\p{IsCyrillic}"), "ar": count(r"\p{IsArabic}"), "th": count(r"\p{IsThai}"), "latin": count(r"\p{IsLatin}")}
+    most = F.greatest(*scripts.values())
+    lower = F.lower(text)
+    words = {code: F.regexp_count(lower, F.lit(rf"(?<!\p{{L}})(?:{listed})(?!\p{{L}})")) for code, listed in WORDS.items()}
+    best = F.greatest(*words.values())
+    latin = F.lit(None).cast("string")
+    for code, n in words.items():
+        latin = F.when((best > 0) & (n == best), code).otherwise(latin)
+    out = F.when(most == 0, F.lit(None).cast("string"))
+    for code in ("zh", "ru", "ar", "th"):
+        out = out.when(scripts[code] == most, code)
+    return out.otherwise(latin)
+
+
+def _grams(codes: np.ndarray, size: int) -> np.ndarray:
+    n = max(len(codes) - size + 1, 0)
+    h = np.full(n, size, np.uint64)
+    for i in range(size):
+        h = (h ^ codes[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+
+
+def _plain(text: Column) -> Column:
+    """Letters only, in lower case, other runs as one space."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, f"[{INVISIBLE}]", ""), r"[^\p{L}\p{M}]+", " "))
+
+
+def known_grams(texts: DataFrame) -> np.ndarray:
+    """A bit for each hash of a run of characters that occurs in a column named text; its size is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << KNOWN_BITS, bool)
+        for batch in batches:
+            joined = "\n".join(t for t in batch.column(0).to_pylist() if t)
+            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+            for size in GRAMS:
+                seen[_grams(codes, size)] = True
+        words = np.packbits(seen, bitorder="little").view(np.int64)
+        at = np.flatnonzero(words)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], names=["at", "bits"])
+
+    rows = texts.mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros((1 << KNOWN_BITS) // 64, np.int64)
+    words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+
+
+def alien_share(rows: DataFrame, known: np.ndarray) -> DataFrame:
+    """rows with alien: the share of the runs of a column named plain that no known text has."""
+    packed = rows.sparkSession.sparkContext.broadcast(np.packbits(known, bitorder="little"))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed.value, bitorder="little").astype(bool)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("plain")).to_pylist()]
+            chinese = np.array([x in ("zh", "th", None) for x in batch.column(batch.schema.get_field_index("spoken")).to_pylist()])
+            lengths = np.array([len(t) for t in texts], np.int64)
+            codes = np.frombuffer(("".join(texts) + "\n" * max(GRAMS)).encode("utf-32-le", "surrogatepass"), np.uint32)
+            starts = np.cumsum(lengths) - lengths
+            shares = []
+            for size in GRAMS:
+                odd = np.concatenate(([0], np.cumsum(~bits[_grams(codes, size)])))
+                n = np.maximum(lengths - size + 1, 0)
+                shares.append(np.where(n > 0, (odd[starts + n] - odd[starts]) / np.maximum(n, 1), 0.0))
+            share = np.where(chinese, *shares)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share)], names=[*names, "alien"])
+
+    kinds = ", ".join(f"{n} {k}" for n, k in rows.dtypes)
+    return rows.mapInArrow(run, f"{kinds}, alien double")
+
+
+def templates(odd: DataFrame, hashes: int = 16, rows_: int = 2, similarity: float = 0.5) -> DataFrame:
+    """Keys of the odd answers (sample_id, experiment_group, source_text, plain) whose opening or part of it recurs.
+
+    The parts of an opening (between marks) are sets of character trigrams; parts with an
+    equal MinHash band are compared with the band's first part, and a part that is
+    similar enough belongs to its template.  A template of PROMPTS different sources
+    marks its answers.
+    """
+    parts = odd.select(
+        "sample_id", "experiment_group", F.xxhash64("source_text").alias("prompt"),
+        F.explode(F.array_distinct(F.filter(F.transform(F.slice(F.split(F.lower("opening"), r"[\p{P}]+"), 1, 6), lambda p: F.trim(p)), lambda p: F.length(p) >= 4))).alias("part"),
+    )
+    shingled = parts.select("part").distinct().withColumn("set", F.expr("array_distinct(transform(sequence(1, greatest(length(part) - 2, 1)), i -> substring(part, i, 3)))"))
+    minima = F.array(*[F.array_min(F.transform("set", lambda g, s=seed: F.xxhash64(g, F.lit(s)))) for seed in range(hashes)])
+    banded = shingled.withColumn("minima", minima).select(
+        "part", "set", F.explode(F.array(*[F.xxhash64(F.lit(b), F.slice("minima", b * rows_ + 1, rows_)) for b in range(hashes // rows_)])).alias("band")
+    )
+    firsts = banded.groupBy("band").agg(F.min_by("set", "part").alias("first"), F.min("part").alias("template"))
+    common = F.size(F.array_intersect("set", "first"))
+    same = banded.join(firsts, "band").where(common / (F.size("set") + F.size("first") - common) >= similarity)
+    member = same.select("part", "template").distinct()
+    recurring = parts.join(member, "part").groupBy("template").agg(F.count_distinct("prompt").alias("prompts")).where(F.col("prompts") >= PROMPTS)
+    return parts.join(member.join(recurring, "template", "left_semi").select("part").distinct(), "part", "left_semi").select("sample_id", "experiment_group").distinct()
+
+
+def labelled(answers: DataFrame, sources_and_references: DataFrame) -> DataFrame:
+    """sample_id, experiment_group, defect of every defective answer."""
+    keys = ["sample_id", "experiment_group"]
+    text = F.col("hypothesis")
+    rows = (
+        answers.select(*keys, "source_lang", "segment_type", "source_text", "hypothesis")
+        .withColumn("left", content(text))
+        .withColumn("spoken", language(F.col("left")))
+        .withColumn("plain", _plain(F.col("left")))
+    )
+    table_line = F.coalesce(F.col("segment_type") == "table", F.lit(False))
+    foreign = F.col("spoken").isNotNull() & (F.col("spoken") != "zh")
+    first = F.when(without_content(text), "empty").when(
+        ~table_line & F.coalesce(F.col("spoken") != "zh", F.lit(True)) & _copied(F.when(F.coalesce(F.col("spoken") != "zh", F.lit(True)), F.col("source_text")), F.col("left")), "copy"
+    )
+    known = known_grams(sources_and_references.select(_plain(F.col("text")).alias("text")))
+    scored = alien_share(rows.withColumn("first", first).withColumn("opening", F.substring("left", 1, 120)).drop("left", "hypothesis"), known)
+    scored = cut(scored.select(*keys, "source_lang", "segment_type", "first", "spoken", "alien", F.when(F.col("alien") >= ALIEN, F.struct("source_text", "opening", "plain")).alias("odd")))
+    odd = scored.where("first is null and odd is not null").select(*keys, "odd.*")
+    refused = templates(odd).withColumn("refused", F.lit(True))
+    decided = scored.join(refused, keys, "left").withColumn(
+        "defect",
+        F.coalesce("first", F.when(F.col("refused"), "refusal"), F.when(~table_line & foreign & (F.col("spoken") != F.col("source_lang")), "wrong_language")),
+    ).select(*keys, "defect")
+    return decided.distinct()
+
+
+def found(answers: DataFrame, sources_and_references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sample_id, experiment_group, defect) of every defective answer, and the keys of the truncated ones."""
+    keys = ["sample_id", "experiment_group"]
+    decided = cut(labelled(answers, sources_and_references))
+    sound = decided.where("defect is null").select(*keys)
+    rest = answers.join(sound, keys, "left_semi").select(*keys, F.lit("zh").alias("lang"), F.col("hypothesis").alias("text"), F.col("segment_type").alias("kind"))
+    cut_answers = truncation.cut_off(rest, keys)
+    return decided.where("defect is not null").union(cut_answers.withColumn("defect", F.lit("truncated"))), cut_answers

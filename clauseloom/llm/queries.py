@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import chars, defects, encode, neardup, pack, sentences, spans
+from clauseloom.llm import chars, defects, encode, neardup, pack, sentences, spans, truncation
 from clauseloom.llm.common import clauses
 from clauseloom.session import spread, table
 
@@ -19,6 +19,41 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "prepare_da_pairs")
+    return rows.select(F.explode(F.array("source_text", "ref_text")).alias("text")).where("text is not null")
+
+
+def _defects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return defects.found(table(spark, sf_dir, "tcr_check"), _written(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _defects(spark, sf_dir)[0]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = clauses(spark, sf_dir, "pdf").select("sample_id", F.col("source_lang").alias("lang"), F.col("source_text").alias("text"), F.col("segment_type").alias("kind"))
+    cut_sources = truncation.cut_off(sources, ["sample_id"])
+    return (
+        cut_sources.select(F.lit("source_text").alias("field"), "sample_id", F.lit("").alias("experiment_group"))
+        .union(_defects(spark, sf_dir)[1].select(F.lit("hypothesis"), "sample_id", "experiment_group"))
+        .distinct()
+    )
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document's sources and each experiment group's answers are cut."""
+    found = p4_found(spark, sf_dir).withColumn("cut", F.lit(1))
+    sources = clauses(spark, sf_dir, "pdf").select("sample_id", "document_id").distinct()
+    answers = table(spark, sf_dir, "tcr_check").select("sample_id", "experiment_group").distinct()
+    by_source = sources.join(found.where("field = 'source_text'"), "sample_id", "left").select(F.lit("document_id").alias("source_kind"), F.col("document_id").alias("source"), "cut")
+    by_group = answers.join(found.where("field = 'hypothesis'"), ["sample_id", "experiment_group"], "left").select(F.lit("experiment_group"), "experiment_group", "cut")
+    return by_source.union(by_group).groupBy("source_kind", "source").agg(
+        F.count("*").alias("texts"), F.count("cut").alias("cut_texts"), (F.count("cut") / F.count("*")).alias("share")
+    )
+
+
 def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence with its text."""
     return sentences.clause_units(clauses(spark, sf_dir, "pdf")).select("field", "sample_id", "lang", "sent_start", "sentence").distinct()
@@ -86,6 +121,9 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_rates": p4_rates,
         "p5_found": p5_found,
         "p5_units": p5_units,
         "p6_found": p6_found,
@@ -123,6 +161,9 @@ found AS (SELECT doc_id, i, g FROM grams SEMI JOIN shared USING (g))
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_rates": p4_rates,
         "p5_found": p5_found,
         "p5_units": p5_units,
         "p6_found": p6_found,
