@@ -44,10 +44,10 @@ MARK = "\ue0fd"
 #: Signs that the Unicode database equates with letters: ohm, kelvin, angstrom.
 SINGLES = "\u2126\u212a\u212b"
 OTHERS = "".join([*CYRILLIC, *GREEK])
-#: What the form could change: the classes above, marks that aren't Thai, canonical singletons, or Latin beside a look-alike.
-CHANGEABLE = (
-    rf"[{INVISIBLE}{SPACES}{FORMS}{SINGLES}]|(?![\u0e00-\u0e7f])\p{{M}}"
-    rf"|[\p{{IsLatin}}][\p{{L}}\p{{N}}\p{{M}}]*[{OTHERS}]|[{OTHERS}][\p{{L}}\p{{N}}\p{{M}}]*[\p{{IsLatin}}]"
+#: What the form could change: the classes above and marks that aren't Thai; in texts that hold look-alikes, also words of two scripts.
+CHANGEABLE = f"[{INVISIBLE}{SPACES}{FORMS}{SINGLES}[\\p{{M}}&&[^\u0e00-\u0e7f]]]"
+MIXED = (
+    rf"[\p{{IsLatin}}][\p{{L}}\p{{N}}\p{{M}}]*[{OTHERS}]|[{OTHERS}][\p{{L}}\p{{N}}\p{{M}}]*[\p{{IsLatin}}]"
     r"|[\p{IsGreek}][\p{L}\p{N}\p{M}]*\p{IsCyrillic}|\p{IsCyrillic}[\p{L}\p{N}\p{M}]*\p{IsGreek}"
 )
 PREFIX = rf"^[{WHITE}]*[{OTHERS}]\."
@@ -86,19 +86,19 @@ def tables() -> tuple[list[tuple], dict[str, str]]:
 
 
 def changeable(text: Column, section: bool = False) -> Column:
-    found = text.rlike(CHANGEABLE)
+    found = text.rlike(CHANGEABLE) | (text.rlike("[\u0370-\u04ff\u0501\u051b\u051d]") & text.rlike(MIXED))
     return found | text.rlike(PREFIX) | text.contains("\uff0e") if section else found
 
 
 def forms(texts: DataFrame, section: bool = False) -> DataFrame:
-    """text, form of every distinct changeable text of a column named text."""
+    """text, form of every distinct text of a column named text; meant for changeable texts."""
     spark = texts.sparkSession
     rows, composed = tables()
     strings = pa.list_(pa.string())
     kinds = (("char", pa.string()), ("parts", strings), ("classes", pa.list_(pa.int32())), ("space", pa.bool_()), ("gone", pa.bool_()), *((x, pa.string()) for x in ("latin", "cyrillic", "greek")))
     known = F.broadcast(spark.createDataFrame(pa.table({name: pa.array(column, kind) for (name, kind), column in zip(kinds, zip(*rows))})))
     pairs = F.lit("".join(MARK + pair + whole for pair, whole in composed.items()))
-    work = cut(texts.select("text").where(F.col("text").isNotNull() & changeable(F.col("text"), section)).distinct().withColumn("id", F.md5("text")))
+    work = cut(texts.select("text").distinct().withColumn("id", F.md5("text")))
     raw = F.translate("text", "\uff0e", ".") if section else F.col("text")
     chars = work.select("id", F.posexplode(F.split(raw, "")).alias("at", "char")).where("char <> ''")
     joined = chars.join(known, "char", "left").where("gone is null or not gone")
@@ -166,12 +166,14 @@ def forms(texts: DataFrame, section: bool = False) -> DataFrame:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+$", "")
+    edges = F.substring(text, 1, 1).rlike(f"[{WHITE}]") | F.right(text, F.lit(1)).rlike(f"[{WHITE}]")
+    return F.when(edges, F.regexp_replace(text, rf"^[{WHITE}]+|[{WHITE}]+$", "")).otherwise(text)
 
 
 def consistent(rows: DataFrame, column: str, section: bool = False) -> DataFrame:
     """rows with ``column``_form: the consistent form of the column, equal to it where nothing changes."""
-    changed = forms(rows.select(F.col(column).alias("text")), section).where("form <> text")
+    texts = rows.select(F.col(column).alias("text")).where(F.col("text").isNotNull() & changeable(F.col("text"), section))
+    changed = forms(texts, section).where("form <> text")
     return rows.join(changed.select(F.col("text").alias(column), F.col("form").alias("_form")), column, "left").withColumn(
         f"{column}_form", F.coalesce("_form", F.col(column))
     ).drop("_form")
@@ -179,6 +181,6 @@ def consistent(rows: DataFrame, column: str, section: bool = False) -> DataFrame
 
 def inconsistent(rows: DataFrame, column: str, section: bool = False) -> DataFrame:
     """The rows whose text, without the white space around it, isn't in the consistent form."""
-    # only changeable texts are moved; the others are in the form
-    risky = rows.withColumn("text", stripped(F.col(column))).where(changeable(F.col("text"), section))
+    # only changeable texts are moved, and looked for once; the others are in the form
+    risky = cut(rows.withColumn("text", stripped(F.col(column))).where(changeable(F.col("text"), section)))
     return risky.join(forms(risky, section).where("form <> text").select("text"), "text", "left_semi").drop("text")

@@ -67,8 +67,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit("").alias("experiment_group")
     sections = chars.inconsistent(table(spark, sf_dir, "term_recall").select("sample_id", "section_no"), "section_no", section=True)
     texts = chars.inconsistent(clauses(spark, sf_dir, "pdf").select("sample_id", "source_text"), "source_text")
-    answers = table(spark, sf_dir, "tcr_check").select("sample_id", "experiment_group", "hypothesis").where(~defects.without_content(F.col("hypothesis")))
-    answers = chars.inconsistent(answers, "hypothesis")
+    answers = table(spark, sf_dir, "tcr_check").select("sample_id", "experiment_group", "hypothesis")
+    answers = chars.inconsistent(answers, "hypothesis").where(~defects.without_content(F.col("hypothesis")))
     return (
         sections.select(F.lit("section_no").alias("field"), "sample_id", none)
         .union(texts.select(F.lit("source_text"), "sample_id", none))
