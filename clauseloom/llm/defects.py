@@ -55,8 +55,13 @@ def content(text: Column) -> Column:
 
 
 def without_content(text: Column) -> Column:
-    left = F.regexp_replace(content(text), r"[\p{P}\p{S}\s]+", " ")
-    return F.coalesce(~left.rlike(r"\p{L}|\p{N}") | F.trim(left).rlike(rf"(?iu)^(?:{NOTHING}|{LABELS})$"), F.lit(True))
+    return nothing(content(text))
+
+
+def nothing(left: Column) -> Column:
+    """Whether what content() left says nothing."""
+    words = F.trim(F.regexp_replace(left, r"[\p{P}\p{S}\s]+", " "))
+    return F.coalesce(~left.rlike(r"\p{L}|\p{N}") | ((F.length(left) < 40) & words.rlike(rf"(?iu)^(?:{NOTHING}|{LABELS})$")), F.lit(True))
 
 
 _LOOK = str.maketrans({**CYRILLIC, **GREEK})
@@ -94,7 +99,8 @@ def language(text: Column) -> Column:
         return F.regexp_count(text, F.lit(pattern))
 
     # a Chinese character stands for about two letters
-    scripts = {"zh": 2 * count(r"\p{IsHan}"), "ru": count(r"\p{IsCyrillic}"), "ar": count(r"\p{IsArabic}"), "th": count(r"\p{IsThai}"), "latin": count(r"\p{IsLatin}")}
+    han = count(r"\p{IsHan}")
+    scripts = {"zh": 2 * han, "ru": count(r"\p{IsCyrillic}"), "ar": count(r"\p{IsArabic}"), "th": count(r"\p{IsThai}"), "latin": count(r"\p{IsLatin}")}
     most = F.greatest(*scripts.values())
     lower = F.lower(text)
     words = {code: F.regexp_count(lower, F.lit(rf"(?<!\p{{L}})(?:{listed})(?!\p{{L}})")) for code, listed in WORDS.items()}
@@ -102,7 +108,8 @@ def language(text: Column) -> Column:
     latin = F.lit(None).cast("string")
     for code, n in words.items():
         latin = F.when((best > 0) & (n == best), code).otherwise(latin)
-    out = F.when(most == 0, F.lit(None).cast("string"))
+    # where a third of all characters is Chinese, no other script can weigh more
+    out = F.when((han > 0) & (3 * han >= F.length(text)), "zh").when(most == 0, F.lit(None).cast("string"))
     for code in ("zh", "ru", "ar", "th"):
         out = out.when(scripts[code] == most, code)
     return out.otherwise(latin)
@@ -205,7 +212,7 @@ def labelled(answers: DataFrame, sources_and_references: DataFrame) -> DataFrame
     )
     table_line = F.coalesce(F.col("segment_type") == "table", F.lit(False))
     foreign = F.col("spoken").isNotNull() & (F.col("spoken") != "zh")
-    first = F.when(without_content(text), "empty").when(
+    first = F.when(nothing(F.col("left")), "empty").when(
         ~table_line & F.coalesce(F.col("spoken") != "zh", F.lit(True)) & _copied(F.when(F.coalesce(F.col("spoken") != "zh", F.lit(True)), F.col("source_text")), F.col("left")), "copy"
     )
     known = known_grams(sources_and_references.select(_plain(F.col("text")).alias("text")))

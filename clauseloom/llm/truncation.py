@@ -19,6 +19,7 @@ repeated texts count as often as they occur.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,13 @@ MAP_BITS = 20
 PAIRS = {"“": "”", "«": "»", "（": "）", "(": ")", "「": "」", "『": "』", "【": "】", "[": "]", "《": "》"}
 
 
+_marks = re.compile("[" + re.escape("„" + "".join(PAIRS) + "".join(PAIRS.values())) + "]").findall
+
+
 def open_at_end(text: str, german: bool) -> bool:
     """The automaton: whether anything is still open where the text ends."""
     stack: list[str] = []
-    for char in text:
+    for char in _marks(text):
         if german and char == "„":
             stack.append("“")
         elif stack and char == stack[-1]:
@@ -87,19 +91,21 @@ def states(rows: DataFrame) -> DataFrame:
     """rows (key.., lang, text, kind) with body and state: whole, cut, or ask (the corpus)."""
     body = tidy(F.col("text"))
     with_body = rows.withColumn("body", body).where("body <> ''")
-    tail = F.regexp_replace("body", f"[{CLOSERS} ]+$", "")
-    plain = F.regexp_replace("body", r"[*_`~]+$", "")
+    # ends are looked at in a text's last characters, which are all they depend on
+    end = F.right("body", F.lit(60))
+    tail = F.rtrim("body", F.lit(CLOSERS.replace("\\", "") + " "))
+    plain = F.rtrim(end, F.lit("*_`~"))
     stopped = F.when(F.col("lang") == "zh", plain.rlike(rf"(?:[!?。！？:：;；]|(?<![0-9])\.)[{CLOSERS} ]*$")).otherwise(plain.rlike(rf"[.!?。！？؟:：;；؛][{CLOSERS} ]*$"))
-    ended = stopped & ~abbreviated(F.col("body"), F.col("lang"))
+    ended = stopped & ~((F.right("body", F.lit(1)) == ".") & abbreviated(end, F.col("lang")))
     exempt = F.coalesce(F.col("kind").isin("title", "list", "table"), F.lit(False))
     open_text = _open(F.col("body"), F.col("lang") == "de")
     state = (
         F.when(exempt, "whole")
-        .when(F.col("body").rlike(BROKEN), "cut")
+        .when(end.rlike(BROKEN), "cut")
         .when(open_text, "cut")
-        .when(F.col("body").rlike(FENCES), "cut")
+        .when(F.col("body").contains("```") & F.col("body").rlike(FENCES), "cut")
         .when(ended & (F.col("lang") != "th"), "whole")
-        .when(F.col("body").rlike(r"[:：;；]$"), "whole")
+        .when(end.rlike(r"[:：;；]$"), "whole")
         .otherwise("ask")
     )
     return with_body.withColumn("state", state).withColumn("tail", tail)
@@ -108,7 +114,9 @@ def states(rows: DataFrame) -> DataFrame:
 def _open(text: Column, german: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(texts, flags):
-        return texts.combine(flags, open_at_end)
+        import pandas as pd
+
+        return pd.Series([open_at_end(t, g) for t, g in zip(texts, flags)], dtype=bool)
 
     # a text without any opening mark never needs the automaton
     return F.when(text.rlike("[" + "".join("\\" + k for k in PAIRS) + "„]"), run(text, german)).otherwise(F.lit(False))
