@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import chars, defects, encode, neardup, pack, sentences, spans, truncation
+from clauseloom.llm import chars, defects, encode, neardup, pack, scans, sentences, spans, truncation
 from clauseloom.llm.common import clauses
 from clauseloom.session import spread, table
 
@@ -19,6 +19,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(scans.fields(clauses(spark, sf_dir, "scan")), scans.fields(clauses(spark, sf_dir, "pdf")))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(scans.fields(clauses(spark, sf_dir, "scan")), scans.fields(clauses(spark, sf_dir, "pdf")))
+
+
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "prepare_da_pairs")
     return rows.select(F.explode(F.array("source_text", "ref_text")).alias("text")).where("text is not null")
@@ -121,6 +129,8 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_repaired": p2_repaired,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_rates": p4_rates,
@@ -161,6 +171,8 @@ found AS (SELECT doc_id, i, g FROM grams SEMI JOIN shared USING (g))
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": p2_found,
+        "p2_repaired": p2_repaired,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_rates": p4_rates,
