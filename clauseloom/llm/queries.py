@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauseloom.llm import chars, defects, encode, neardup, pack, scans, sentences, spans, truncation
+from clauseloom.llm import align, chars, defects, encode, neardup, pack, scans, sentences, spans, truncation
 from clauseloom.llm.common import clauses
 from clauseloom.session import spread, table
 
@@ -19,6 +19,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.aligned(clauses(spark, sf_dir, "pdf"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.noise(scans.fields(clauses(spark, sf_dir, "scan")), scans.fields(clauses(spark, sf_dir, "pdf")))
 
@@ -129,6 +133,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_repaired": p2_repaired,
         "p3_found": p3_found,
@@ -171,6 +176,7 @@ found AS (SELECT doc_id, i, g FROM grams SEMI JOIN shared USING (g))
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": p1_found,
         "p2_found": p2_found,
         "p2_repaired": p2_repaired,
         "p3_found": p3_found,
