@@ -1,17 +1,565 @@
-"""All core queries by name, with the SQL that states the same."""
+"""All core queries by name, with the SQL that states the same over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from clauseloom.functions import text as T
+from clauseloom.operators import joins, quality, terms
+from clauseloom.session import table
+from clauseloom.streaming import monitor
 
 FLAGSHIP = "tcr_group_summary"
+_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _ALL[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+# Pieces of SQL used by several statements.
+CJK = "[一-鿿]"
+
+
+def clean(c: str) -> str:
+    out = f"translate({c}, chr(160) || chr(1600), ' ')"
+    for pattern, to in (("\\(cid:[0-9]+\\)", ""), ("[\\x00-\\x1f]", " "), ("_{3,}", " "), (" +", " "), (f"({CJK}) ({CJK})", "\\1\\2"), (f"({CJK}) ({CJK})", "\\1\\2")):
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return f"trim({out}, ' ')"
+
+
+def n_of(c: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({c}, '{pattern}'))::INT"
+
+
+def terminal(c: str) -> str:
+    return f"coalesce(regexp_matches(trim({c}, ' '), '[.!?。！？؟]$'), false)"
+
+
+BUCKET = "CASE WHEN source_char_count < 80 THEN 'short' WHEN source_char_count <= 300 THEN 'medium' ELSE 'long' END"
+BAND = "CASE WHEN source_char_count < 100 THEN '<100' WHEN source_char_count < 200 THEN '100-199' WHEN source_char_count < 300 THEN '200-299' ELSE '300+' END"
+ANSWERS = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM tcr_check)"
+CLAUSES = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM prepare_da_pairs)"
+SCORES = "(SELECT DISTINCT * FROM b1_neardup_consistency)"
+KEY = f"""CASE WHEN coalesce(trim(section_no, ' '), '') = '' THEN NULL
+ WHEN regexp_full_match(translate(trim(section_no, ' '), 'АВЕКМНОРСТХ', 'ABEKMHOPCTX'), '(?:[A-Z]\\.)?[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{0,6}}') THEN 'num:' || translate(trim(section_no, ' '), 'АВЕКМНОРСТХ', 'ABEKMHOPCTX')
+ WHEN regexp_extract(trim(section_no, ' '), '^(?:{T.ARTICLE})\\s*([A-Z]?[0-9]+[a-z]?(?:-[0-9]+)*)$', 1) <> '' THEN 'art:' || regexp_extract(trim(section_no, ' '), '^(?:{T.ARTICLE})\\s*([A-Z]?[0-9]+[a-z]?(?:-[0-9]+)*)$', 1)
+ WHEN regexp_extract(trim(section_no, ' '), '^第\\s*([0-9]+)\\s*条$', 1) <> '' THEN 'art:' || regexp_extract(trim(section_no, ' '), '^第\\s*([0-9]+)\\s*条$', 1)
+ ELSE 'raw:' || trim(section_no, ' ') END"""
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers once each; a repeat differs in loaded_at only, so its key is enough to tell it."""
+    return table(spark, d, "tcr_check").dropDuplicates(["sample_id", "experiment_group"])
+
+
+def clauses(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "prepare_da_pairs").dropDuplicates(["sample_id"])
+
+
+def recall(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "term_recall").dropDuplicates(["sample_id"])
+
+
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "b1_neardup_consistency").distinct()
+
+
+# -- term consistency ---------------------------------------------------------------------------
+
+
+@query(f"""SELECT experiment_group, count(*) AS n, count(*) FILTER (tcr_status = 'pass') AS passed, count(*) FILTER (tcr_status = 'fail') AS failed,
+ count(*) FILTER (tcr_status = 'no_terms') AS no_terms, avg(tcr_sample) AS mean_tcr, count(*) FILTER (tcr_status = 'pass') / nullif(count(*) FILTER (tcr_status IN ('pass', 'fail')), 0) AS pass_rate FROM {ANSWERS} GROUP BY 1""")
+def tcr_group_summary(s, d):
+    n = lambda status: F.count_if(F.col("tcr_status") == status)
+    return answers(s, d).groupBy("experiment_group").agg(
+        F.count("*").alias("n"), n("pass").alias("passed"), n("fail").alias("failed"), n("no_terms").alias("no_terms"), F.avg("tcr_sample").alias("mean_tcr"),
+        (n("pass") / F.nullif(n("pass") + n("fail"), F.lit(0))).alias("pass_rate"),
+    )
+
+
+CHECKED = f"""SELECT sample_id, experiment_group, len(required_target_terms)::INT AS required,
+ len(list_filter(required_target_terms, lambda t: contains(lower(coalesce(hypothesis, '')), lower(t)) OR contains(regexp_replace(lower(coalesce(hypothesis, '')), '\\s+', '', 'g'), regexp_replace(lower(t), '\\s+', '', 'g'))))::INT AS correct FROM {ANSWERS}"""
+STATUS = "CASE WHEN required > 0 THEN round(correct * 100.0::DOUBLE / required, 4) END AS tcr, CASE WHEN required <= 0 THEN 'no_terms' WHEN correct = required THEN 'pass' ELSE 'fail' END AS status"
+
+
+@query(f"SELECT *, {STATUS} FROM ({CHECKED})")
+def tcr_rows(s, d):
+    return terms.checked(answers(s, d))
+
+
+@query(f"SELECT sum(correct)::BIGINT AS correct, sum(required)::BIGINT AS required, sum(correct)::DOUBLE / sum(required) AS micro, avg(CASE WHEN required = 0 OR correct = required THEN 1.0 ELSE 0.0 END) AS sample_rate FROM ({CHECKED})")
+def tcr_micro(s, d):
+    ok = F.when((F.col("required") == 0) | (F.col("correct") == F.col("required")), 1.0).otherwise(0.0)
+    return terms.checked(answers(s, d)).agg(F.sum("correct").alias("correct"), F.sum("required").alias("required"), (F.sum("correct") / F.sum("required")).alias("micro"), F.avg(ok).alias("sample_rate"))
+
+
+@query(f"SELECT coalesce(experiment_group, 'all') AS experiment_group, coalesce(prompt_mode, 'all') AS prompt_mode, count(*) AS n, sum(matched_hard_term_count)::BIGINT AS terms, avg(tcr_sample) AS mean_tcr FROM {ANSWERS} GROUP BY ROLLUP (experiment_group, prompt_mode)")
+def tcr_rollup(s, d):
+    return answers(s, d).rollup("experiment_group", "prompt_mode").agg(F.count("*").alias("n"), F.sum("matched_hard_term_count").alias("terms"), F.avg("tcr_sample").alias("mean_tcr")).select(
+        F.coalesce("experiment_group", F.lit("all")).alias("experiment_group"), F.coalesce("prompt_mode", F.lit("all")).alias("prompt_mode"), "n", "terms", "mean_tcr"
+    )
+
+
+@query(f"SELECT experiment_group, error_type, count(*) AS n FROM {ANSWERS} GROUP BY ALL")
+def tcr_error_types(s, d):
+    return answers(s, d).groupBy("experiment_group", "error_type").agg(F.count("*").alias("n"))
+
+
+FAILED = f"(SELECT experiment_group, sample_id, hypothesis, unnest(failed_terms) AS f FROM {ANSWERS})"
+
+
+@query(f"SELECT experiment_group, term, n, rank FROM (SELECT experiment_group, f.required_target_term AS term, count(*) AS n, row_number() OVER (PARTITION BY experiment_group ORDER BY count(*) DESC, f.required_target_term)::INT AS rank FROM {FAILED} GROUP BY 1, 2) WHERE rank <= 10")
+def failed_terms_top10(s, d):
+    n = answers(s, d).select("experiment_group", F.explode("failed_terms").alias("f")).groupBy("experiment_group", F.col("f.required_target_term").alias("term")).agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("experiment_group").orderBy(F.col("n").desc(), "term"))).where("rank <= 10")
+
+
+@query(f"SELECT term, n, sum(n) OVER (ORDER BY n DESC, term ROWS UNBOUNDED PRECEDING)::DOUBLE / sum(n) OVER () AS cumulative FROM (SELECT f.required_target_term AS term, count(*) AS n FROM {FAILED} GROUP BY 1)")
+def failed_terms_cumulative(s, d):
+    n = answers(s, d).select(F.explode("failed_terms").alias("f")).groupBy(F.col("f.required_target_term").alias("term")).agg(F.count("*").alias("n"))
+    order = Window.orderBy(F.col("n").desc(), "term")  # the distinct terms of the termbase, not the rows
+    return n.select("term", "n", (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy())).alias("cumulative"))
+
+
+@query(f"SELECT experiment_group, CASE WHEN coalesce(trim(hypothesis, ' '), '') = '' THEN 'missing_translation' WHEN contains(hypothesis, substr(f.required_target_term, 1, 1)) THEN 'partial' ELSE 'missing' END AS kind, count(*) AS n FROM {FAILED} GROUP BY ALL")
+def failure_kinds(s, d):
+    failed = answers(s, d).select("experiment_group", "hypothesis", F.explode("failed_terms").alias("f"))
+    return failed.groupBy("experiment_group", terms.failure_kind(F.col("hypothesis"), F.col("f.required_target_term")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT sample_id, experiment_group, len(failed_terms)::INT AS failures, array_to_string(list_transform(failed_terms, lambda x: x.source_term || ' => ' || x.required_target_term), '; ') AS terms, sha256(coalesce(source_text, '') || chr(10) || array_to_string(required_target_terms, '; ')) AS prompt_hash FROM {ANSWERS} WHERE tcr_status = 'fail'")
+def retry_inputs(s, d):
+    failed = answers(s, d).where("tcr_status = 'fail'")
+    lines = F.array_join(F.transform("failed_terms", lambda x: F.concat(x.source_term, F.lit(" => "), x.required_target_term)), "; ")
+    prompt = F.concat(F.coalesce("source_text", F.lit("")), F.lit("\n"), F.array_join("required_target_terms", "; "))
+    return failed.select("sample_id", "experiment_group", F.size("failed_terms").alias("failures"), lines.alias("terms"), F.sha2(prompt, 256).alias("prompt_hash"))
+
+
+ARMS = f"""WITH a AS (SELECT sample_id, source_lang, tcr_sample AS x FROM {ANSWERS} WHERE experiment_group = 'no_term_baseline'), b AS (SELECT sample_id, tcr_sample AS y FROM {ANSWERS} WHERE experiment_group = 'graded_prompt')
+SELECT source_lang, count(*) AS pairs, avg(y - x) AS delta, count(*) FILTER (y > x) AS up, count(*) FILTER (y < x) AS down, count(*) FILTER (y = x) AS same FROM a JOIN b USING (sample_id) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1"""
+
+
+@query(ARMS)
+def arm_comparison(s, d):
+    return joins.arms(answers(s, d), "no_term_baseline", "graded_prompt")
+
+
+@query(f"SELECT a.sample_id, len(list_filter(list_transform(b.failed_terms, lambda x: x.term_id), lambda t: NOT list_contains(list_transform(a.failed_terms, lambda x: x.term_id), t))) = 0 AND len(b.failed_terms) < len(a.failed_terms) AS accepted FROM {ANSWERS} a JOIN {ANSWERS} b ON a.sample_id = b.sample_id AND a.experiment_group = 'no_term_baseline' AND b.experiment_group = 'graded_prompt' WHERE a.tcr_status = 'fail'")
+def strict_subset_guard(s, d):
+    rows = answers(s, d).select("sample_id", "experiment_group", "tcr_status", F.transform("failed_terms", lambda x: x.term_id).alias("t"))
+    a = rows.where("experiment_group = 'no_term_baseline' and tcr_status = 'fail'").select("sample_id", F.col("t").alias("before"))
+    b = rows.where("experiment_group = 'graded_prompt'").select("sample_id", F.col("t").alias("after"))
+    return a.join(b, "sample_id").select("sample_id", ((F.size(F.array_except("after", "before")) == 0) & (F.size("after") < F.size("before"))).alias("accepted"))
+
+
+@query(f"SELECT sample_id, experiment_group FROM (SELECT sample_id, experiment_group, row_number() OVER (PARTITION BY sample_id ORDER BY (tcr_status = 'pass')::INT DESC, coalesce(tcr_sample, -1) DESC, experiment_group) AS r FROM {ANSWERS}) WHERE r = 1")
+def rerank_choice(s, d):
+    order = Window.partitionBy("sample_id").orderBy((F.col("tcr_status") == "pass").cast("int").desc(), F.coalesce("tcr_sample", F.lit(-1.0)).desc(), "experiment_group")
+    return answers(s, d).withColumn("r", F.row_number().over(order)).where("r = 1").select("sample_id", "experiment_group")
+
+
+@query("SELECT sample_id, experiment_group, max(loaded_at) AS loaded_at, count(*) AS deliveries FROM tcr_check GROUP BY 1, 2")
+def latest_delivery(s, d):
+    return table(s, d, "tcr_check").groupBy("sample_id", "experiment_group").agg(F.max("loaded_at").alias("loaded_at"), F.count("*").alias("deliveries"))
+
+
+GROUPS = "(SELECT DISTINCT sample_id, experiment_group FROM tcr_check)"
+
+
+@query(f"SELECT experiment_group, count(*) AS present, (SELECT count(DISTINCT sample_id) FROM tcr_check) - count(*) AS missing FROM {GROUPS} GROUP BY 1")
+def group_sample_sets(s, d):
+    return joins.missing_from(table(s, d, "tcr_check"), "sample_id", "experiment_group")
+
+
+@query(f"SELECT sample_id FROM {GROUPS} WHERE experiment_group = 'term_baseline' AND sample_id NOT IN (SELECT sample_id FROM {GROUPS} WHERE experiment_group = 'graded_prompt')")
+def resume_pending(s, d):
+    rows = table(s, d, "tcr_check").select("sample_id", "experiment_group").distinct()
+    return rows.where("experiment_group = 'term_baseline'").select("sample_id").join(rows.where("experiment_group = 'graded_prompt'"), "sample_id", "left_anti")
+
+
+@query(f"SELECT experiment_group, source_lang, count(*) AS answers, count(*) FILTER ({terminal('hypothesis')}) AS ended FROM {ANSWERS} GROUP BY ALL")
+def terminal_marks(s, d):
+    return answers(s, d).groupBy("experiment_group", "source_lang").agg(F.count("*").alias("answers"), F.count_if(T.terminal(F.col("hypothesis"))).alias("ended"))
+
+
+NUM = "list_distinct(regexp_extract_all(coalesce({c}, ''), '[0-9]+'))"
+
+
+@query(f"SELECT sample_id, experiment_group, len(list_filter({NUM.format(c='source_text')}, lambda x: NOT list_contains({NUM.format(c='hypothesis')}, x)))::INT AS missing FROM {ANSWERS}")
+def number_consistency(s, d):
+    return answers(s, d).select("sample_id", "experiment_group", F.size(F.array_except(T.numbers(F.col("source_text")), T.numbers(F.col("hypothesis")))).alias("missing"))
+
+
+@query()
+def character_error_rate(s, d):
+    """Without SQL: DuckDB's distance counts bytes, not characters."""
+    rows = answers(s, d).where("segment_type in ('title', 'list') and hypothesis is not null and length(ref_text) > 0")
+    n = F.levenshtein("hypothesis", "ref_text")
+    return rows.select("sample_id", "experiment_group", n.alias("distance"), (n / F.length("ref_text")).alias("cer"))
+
+
+# -- terms ---------------------------------------------------------------------------------------
+
+USABLE = "(SELECT DISTINCT term_id, source_lang, priority, trim(source_term, ' ') AS source_term, trim(target_term, ' ') AS target_term FROM termbase WHERE coalesce(trim(source_term, ' '), '') <> '' AND coalesce(trim(target_term, ' '), '') <> '' AND status = 'active')"
+
+
+@query(f"SELECT *, length(source_term)::INT AS n FROM {USABLE}")
+def termbase_usable(s, d):
+    return terms.usable(table(s, d, "termbase")).withColumn("n", F.length("source_term"))
+
+
+@query("SELECT DISTINCT term_id, alias_ FROM (SELECT term_id, trim(unnest(regexp_split_to_array(coalesce(alias, ''), '[|;,\\n]+')), ' ') AS alias_ FROM termbase) WHERE alias_ <> ''")
+def termbase_aliases(s, d):
+    return table(s, d, "termbase").select("term_id", F.explode(T.split_aliases(F.col("alias"))).alias("alias_")).distinct()
+
+
+@query(f"SELECT source_lang, lower(target_term) AS target, min(term_id) AS first_term, count(*) AS n FROM {USABLE} GROUP BY 1, 2")
+def termbase_dedup(s, d):
+    return terms.usable(table(s, d, "termbase")).groupBy("source_lang", F.lower("target_term").alias("target")).agg(F.min("term_id").alias("first_term"), F.count("*").alias("n"))
+
+
+@query("SELECT source_lang, coalesce(priority, 'none') AS priority, coalesce(status, 'none') AS status, count(*) AS n FROM termbase GROUP BY ALL")
+def termbase_profile(s, d):
+    none = lambda c: F.coalesce(c, F.lit("none")).alias(c)
+    return table(s, d, "termbase").groupBy("source_lang", none("priority"), none("status")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT l.source_lang, count(*) AS gaps FROM (SELECT DISTINCT source_lang FROM {USABLE}) l CROSS JOIN (SELECT DISTINCT target_term FROM {USABLE}) t LEFT JOIN (SELECT DISTINCT source_lang, target_term FROM {USABLE}) h ON h.source_lang = l.source_lang AND h.target_term = t.target_term WHERE h.target_term IS NULL GROUP BY 1")
+def termbase_gaps(s, d):
+    own = terms.usable(table(s, d, "termbase")).select("source_lang", "target_term").distinct()
+    total = own.agg(F.count_distinct("target_term").alias("total"))
+    return own.groupBy("source_lang").agg(F.count("*").alias("own")).join(F.broadcast(total)).select("source_lang", (F.col("total") - F.col("own")).alias("gaps")).where("gaps > 0")
+
+
+SPOTS = f"""met AS (SELECT sample_id, term_id, priority, lower(source_text) AS t, lower(source_term) AS w, string_split(lower(source_text), lower(source_term)) AS p
+ FROM (SELECT DISTINCT sample_id, source_lang, source_text FROM prepare_da_pairs) c JOIN {USABLE} u USING (source_lang) WHERE contains(lower(source_text), lower(source_term))),
+spots AS (SELECT *, unnest(range(1, len(p))) AS i FROM met),
+placed AS (SELECT sample_id, term_id, priority, t, w, (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(w))::INT AS f FROM spots),
+found AS (SELECT sample_id, term_id, priority, f AS first, (f + length(w))::INT AS last FROM placed
+ WHERE (f = 0 OR regexp_matches(substr(t, f, 1), '[^\\p{{L}}\\p{{N}}_]')) AND (f + length(w) = length(t) OR regexp_matches(substr(t, f + length(w)::INT + 1, 1), '[^\\p{{L}}\\p{{N}}_]')))"""
+KEPT = "SELECT sample_id, term_id, priority, first, last FROM found a WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.sample_id = a.sample_id AND b.first <= a.first AND b.last >= a.last AND (b.first < a.first OR b.last > a.last))"
+
+
+def _spots(s, d):
+    texts = table(s, d, "prepare_da_pairs").select("sample_id", "source_lang", "source_text").dropDuplicates(["sample_id"]).where("source_text is not null")
+    return terms.longest(terms.occurrences(texts, terms.usable(table(s, d, "termbase"))))
+
+
+@query(f"WITH {SPOTS} {KEPT}")
+def term_occurrences(s, d):
+    return _spots(s, d)
+
+
+@query(f"WITH {SPOTS}, kept AS ({KEPT}) SELECT sample_id, count(DISTINCT term_id) AS matched, count(DISTINCT term_id) FILTER (priority = 'high') AS high FROM kept GROUP BY 1")
+def term_match_counts(s, d):
+    return _spots(s, d).groupBy("sample_id").agg(F.count_distinct("term_id").alias("matched"), F.count_distinct(F.when(F.col("priority") == "high", F.col("term_id"))).alias("high"))
+
+
+@query("""SELECT DISTINCT sample_id, len(list_filter(matched_terms, lambda x: x.priority = 'high' AND coalesce(x.status, 'active') = 'active'))::INT AS hard, len(list_filter(matched_terms, lambda x: coalesce(x.status, 'active') = 'review'))::INT AS review,
+ len(list_filter(matched_terms, lambda x: x.priority <> 'high' AND coalesce(x.status, 'active') = 'active'))::INT AS soft,
+ coalesce((SELECT string_agg(t, '|' ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(list_transform(list_filter(matched_terms, lambda x: x.priority = 'high' AND coalesce(x.status, 'active') = 'active'), lambda x: x.target_term)) AS t, generate_subscripts(list_filter(matched_terms, lambda x: x.priority = 'high' AND coalesce(x.status, 'active') = 'active'), 1) AS i) GROUP BY t)), '') AS targets FROM term_recall""")
+def term_tiers(s, d):
+    return terms.tiers(recall(s, d))
+
+
+@query(f"SELECT kind, count(*) AS n FROM (SELECT DISTINCT sample_id, section_no, {KEY} AS k, split_part({KEY}, ':', 1) AS kind FROM term_recall) WHERE k IS NOT NULL GROUP BY 1")
+def section_key_kinds(s, d):
+    keyed = recall(s, d).withColumn("k", T.section_key(F.col("section_no"))).where("k is not null")
+    return keyed.groupBy(F.substring_index("k", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT DISTINCT sample_id, section_no, {KEY} AS section_key FROM term_recall")
+def section_keys(s, d):
+    return recall(s, d).select("sample_id", "section_no", T.section_key(F.col("section_no")).alias("section_key"))
+
+
+# -- clauses -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT sample_id, {clean('source_text')} AS source, {clean('ref_text')} AS ref FROM {CLAUSES}")
+def cleaned_texts(s, d):
+    return clauses(s, d).select("sample_id", T.clean(F.col("source_text")).alias("source"), T.clean(F.col("ref_text")).alias("ref"))
+
+
+@query(f"SELECT sample_id, {n_of('ref_text', CJK)} AS cjk, CASE WHEN length(source_text) > 0 THEN {n_of('source_text', '[\\p{L}\\p{N}]')} / length(source_text) ELSE 0 END AS good FROM {CLAUSES}")
+def character_ratios(s, d):
+    return clauses(s, d).select("sample_id", T.count(F.col("ref_text"), T.CJK).alias("cjk"), T.good_ratio(F.col("source_text")).alias("good"))
+
+
+@query(f"SELECT language_pair, {BUCKET} AS bucket, {BAND} AS band, count(*) AS n FROM {CLAUSES} GROUP BY ALL")
+def length_classes(s, d):
+    n = F.col("source_char_count")
+    return clauses(s, d).groupBy("language_pair", T.length_bucket(n).alias("bucket"), T.band(n).alias("band")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT band, count(*) AS n, avg(score) AS mean_score FROM (SELECT score, unnest(list_filter(['all', CASE WHEN source_char_count <= 199 THEN '<=199' END, {BAND}], lambda x: x IS NOT NULL)) AS band FROM {SCORES} JOIN (SELECT sample_id, source_char_count FROM {CLAUSES}) USING (sample_id)) GROUP BY 1")
+def overlapping_bands(s, d):
+    n = F.col("source_char_count")
+    rows = scores(s, d).join(clauses(s, d).select("sample_id", "source_char_count"), "sample_id")
+    memberships = F.filter(F.array(F.lit("all"), F.when(n <= 199, "<=199"), T.band(n)), lambda x: x.isNotNull())
+    return rows.select("score", F.explode(memberships).alias("band")).groupBy("band").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+
+
+@query(f"SELECT language_pair, alignment_method, alignment_confidence, segment_type, count(*) AS n FROM {CLAUSES} GROUP BY ALL")
+def alignment_counts(s, d):
+    keys = ("language_pair", "alignment_method", "alignment_confidence", "segment_type")
+    return clauses(s, d).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+SECTION = " ".join(f"nullif(regexp_extract(source_text, '{p}', 1), '')," for p in (r"^\s*([0-9]{1,3}(?:\.[0-9]{1,3}){1,6})(?:[.)]|\s|$)", r"^\s*([A-ZА-Я](?:\.[0-9]{1,3}){1,4})(?:[.)]|\s|$)", rf"^\s*((?:{T.ARTICLE})\s*[A-Z]?[0-9]+[a-z]?(?:-[0-9]+)*)", r"^\s*(第\s*[0-9]+\s*[章节条款])"))
+
+
+@query(f"SELECT sample_id, coalesce({SECTION} NULL) AS found FROM {CLAUSES}")
+def section_numbers(s, d):
+    return clauses(s, d).select("sample_id", T.section_no(F.col("source_text")).alias("found"))
+
+
+@query(f"""SELECT segment_type, CASE WHEN regexp_matches(source_text, '(?i)^\\s*(?:table|tabla|tabelle|tableau|таблица|表)') THEN 'table' WHEN regexp_matches(source_text, '(?i)^\\s*(?:note|nota|remarque|примечание|注)') THEN 'note'
+ WHEN regexp_matches(source_text, '^\\s*[-*•●▪]') THEN 'list' WHEN coalesce(trim(section_no, ' '), '') <> '' THEN 'paragraph'
+ WHEN length(source_text) <= 120 AND NOT regexp_matches(source_text, '[。.!?！？;；]$') AND {n_of('source_text', '\\p{L}')} > 0 AND {n_of('source_text', '\\p{Lu}')} > 0.65 * {n_of('source_text', '\\p{L}')} THEN 'title' ELSE 'paragraph' END AS by_rule, count(*) AS n FROM {CLAUSES} GROUP BY ALL""")
+def segment_types(s, d):
+    has = F.coalesce(F.trim("section_no"), F.lit("")) != ""
+    return clauses(s, d).groupBy("segment_type", T.segment_type(F.col("source_text"), has).alias("by_rule")).agg(F.count("*").alias("n"))
+
+
+SRC, REF = clean("coalesce(source_text, '')"), clean("coalesce(ref_text, '')")
+REASONED = f"""(SELECT *, s AS cs, r AS cr, CASE WHEN coalesce(document_id, '') = '' THEN 'missing_required_fields' WHEN NOT coalesce(alignment_method IN ('exact_section', 'exact_section_scoped'), false) THEN 'non_exact_section'
+ WHEN coalesce(alignment_confidence, '') <> 'high' THEN 'non_high_confidence' WHEN NOT coalesce(use_for_da, false) THEN 'use_for_da_not_true' WHEN coalesce(trim(section_no, ' '), '') = '' THEN 'missing_section_no'
+ WHEN s = '' OR r = '' THEN 'missing_source_or_ref' WHEN length(s) < 30 THEN 'source_too_short' WHEN length(r) < 15 THEN 'ref_too_short'
+ WHEN length(r)::DOUBLE / greatest(length(s), 1) < 0.10 OR length(r)::DOUBLE / greatest(length(s), 1) > 1.50 THEN 'length_ratio_abnormal' WHEN NOT {terminal('s')} OR NOT {terminal('r')} THEN 'possible_truncation' ELSE 'ok' END AS reason
+ FROM (SELECT *, {SRC} AS s, {REF} AS r FROM {CLAUSES}))"""
+
+
+@query(f"SELECT reason, count(*) AS n FROM {REASONED} GROUP BY 1")
+def prefilter_reasons(s, d):
+    return clauses(s, d).groupBy(quality.prefilter_reason().alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT sample_id, document_id, scope, section_no, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id, scope, section_no ORDER BY score DESC, sample_id) AS rank FROM (SELECT sample_id, document_id, coalesce(scope, '') AS scope, section_no,
+ round(10.0::DOUBLE - abs(length(r)::DOUBLE / greatest(length(s), 1) - 0.55) + least(length(s), 240)::DOUBLE / 240 + least(length(r), 140)::DOUBLE / 140 + CASE WHEN {terminal('s')} AND {terminal('r')} THEN 1.0 ELSE 0.0 END, 6) AS score FROM {REASONED} WHERE reason = 'ok')) WHERE rank = 1""")
+def best_candidates(s, d):
+    return quality.best_per_clause(clauses(s, d))
+
+
+LEDGER = f"""(SELECT sample_id, array_to_string(hit, ',') AS rules FROM (SELECT sample_id, list_filter([CASE WHEN ref_char_count::DOUBLE / greatest(source_char_count, 1) > 0.75 THEN 'R2b' END, CASE WHEN contains(source_text, '(cid:') OR contains(ref_text, '(cid:') OR contains(source_text, chr(65533)) OR contains(ref_text, chr(65533)) THEN 'R3' END,
+ CASE WHEN regexp_matches(ref_text, '(?:\\s|（|\\(|、)[0-9](?:\\s+[0-9])+') THEN 'R5' END, CASE WHEN orphan THEN 'G1' END, CASE WHEN source_char_count > 1200 AND ref_char_count < source_char_count * 0.29 * 0.75 THEN 'G2' END], lambda x: x IS NOT NULL) AS hit
+ FROM {CLAUSES} LEFT JOIN (SELECT sample_id AS sid, coalesce(lead(coalesce(trim(section_no, ' '), '')) OVER (PARTITION BY document_id ORDER BY order_ref, sample_id) = '', false) AS orphan FROM {CLAUSES} WHERE order_ref IS NOT NULL) ON sid = sample_id WHERE ref_text IS NOT NULL) WHERE len(hit) > 0)"""
+
+
+@query(f"SELECT * FROM {LEDGER}")
+def exclusion_ledger(s, d):
+    return quality.ledger(clauses(s, d))
+
+
+@query(f"SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(rules, ',')) AS rule FROM {LEDGER}) GROUP BY 1")
+def exclusion_summary(s, d):
+    return quality.ledger(clauses(s, d)).select(F.explode(F.split("rules", ",")).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+TIER_SQL = " UNION ALL ".join(f"SELECT '{t}' AS tier, [{', '.join(repr(x) for x in r)}]::VARCHAR[] AS gone" for t, r in quality.TIERS.items())
+
+
+@query(f"SELECT tier, count(*) FILTER (NOT list_has_any(hit, gone)) AS n, avg(score) FILTER (NOT list_has_any(hit, gone)) AS mean_score, count(*) FILTER (list_has_any(hit, gone)) AS excluded FROM (SELECT score, string_split(coalesce(rules, ''), ',') AS hit FROM {SCORES} LEFT JOIN {LEDGER} USING (sample_id)), ({TIER_SQL}) GROUP BY 1")
+def sensitivity_tiers(s, d):
+    return quality.sensitivity(scores(s, d), quality.ledger(clauses(s, d)))
+
+
+@query(f"SELECT language_pair, count(*) AS n, avg(ratio) AS mean, quantile_cont(ratio, 0.1) AS p10, quantile_cont(ratio, 0.5) AS p50, quantile_cont(ratio, 0.9) AS p90 FROM (SELECT language_pair, ref_char_count::DOUBLE / source_char_count AS ratio FROM {CLAUSES} WHERE ref_char_count > 0 AND source_char_count > 0) GROUP BY 1")
+def alignment_health(s, d):
+    rows = clauses(s, d).where("ref_char_count > 0 and source_char_count > 0").withColumn("ratio", F.col("ref_char_count") / F.col("source_char_count"))
+    return rows.groupBy("language_pair").agg(F.count("*").alias("n"), F.avg("ratio").alias("mean"), *[F.percentile("ratio", p).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
+
+
+@query(f"""WITH r AS (SELECT sample_id, language_pair, ref_char_count::DOUBLE / source_char_count AS ratio FROM {CLAUSES} WHERE ref_char_count > 0 AND source_char_count > 0), m AS (SELECT language_pair, quantile_cont(ratio, 0.5) AS mid FROM r GROUP BY 1)
+SELECT sample_id, language_pair, ratio FROM r JOIN m USING (language_pair) WHERE ratio > 2 * mid""")
+def length_outliers(s, d):
+    rows = clauses(s, d).where("ref_char_count > 0 and source_char_count > 0").select("sample_id", "language_pair", (F.col("ref_char_count") / F.col("source_char_count")).alias("ratio"))
+    middle = rows.groupBy("language_pair").agg(F.percentile("ratio", 0.5).alias("mid"))
+    return rows.join(middle, "language_pair").where("ratio > 2 * mid").select("sample_id", "language_pair", "ratio")
+
+
+@query(f"""SELECT sample_id, language_pair, turn, place FROM (SELECT *, row_number() OVER (PARTITION BY language_pair ORDER BY turn, h)::INT AS place FROM (SELECT sample_id, language_pair, md5(sample_id) AS h,
+ row_number() OVER (PARTITION BY language_pair, document_id, segment_type, {BUCKET}, coalesce(trim(section_no, ' '), '') <> '' ORDER BY md5(sample_id))::INT AS turn FROM {CLAUSES})) WHERE place <= 300""")
+def stratified_sample(s, d):
+    return quality.sample(clauses(s, d), 300)
+
+
+@query(f"SELECT source_text, count(*) AS n, min(sample_id) AS first_sample FROM {CLAUSES} WHERE source_text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def repeated_sources(s, d):
+    return clauses(s, d).where("source_text is not null").groupBy("source_text").agg(F.count("*").alias("n"), F.min("sample_id").alias("first_sample")).where("n > 1")
+
+
+KEYED = f"(SELECT sample_id, document_id, {KEY} AS k, ref_text IS NOT NULL AS has FROM {CLAUSES})"
+
+
+@query(f"SELECT document_id, k AS section_key, count(*) AS n FROM {KEYED} WHERE k IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def ambiguous_keys(s, d):
+    rows = clauses(s, d).select("document_id", T.section_key(F.col("section_no")).alias("section_key")).where("section_key is not null")
+    return rows.groupBy("document_id", "section_key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+RKEYED = f"(SELECT sample_id, document_id, {KEY} AS k FROM (SELECT DISTINCT sample_id, document_id, section_no FROM term_recall))"
+
+
+@query(f"SELECT document_id, k AS section_key, min(a.sample_id) AS source_sample, min(b.sample_id) AS other_sample FROM (SELECT * FROM {KEYED} WHERE k IS NOT NULL) a JOIN (SELECT * FROM {RKEYED} WHERE k IS NOT NULL) b USING (document_id, k) GROUP BY 1, 2 HAVING count(DISTINCT a.sample_id) = 1 AND count(DISTINCT b.sample_id) = 1")
+def clause_key_alignment(s, d):
+    key = T.section_key(F.col("section_no")).alias("section_key")
+    a = clauses(s, d).select("document_id", key, F.col("sample_id").alias("source_sample")).where("section_key is not null")
+    b = recall(s, d).select("document_id", key, F.col("sample_id").alias("other_sample")).where("section_key is not null")
+    return joins.unique_key(a, b, ["document_id", "section_key"])
+
+
+@query(f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY document_id, k ORDER BY sample_id) AS rn FROM {KEYED} WHERE k IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY document_id, k ORDER BY sample_id) AS rn FROM {RKEYED} WHERE k IS NOT NULL) SELECT a.document_id, a.k AS section_key, a.rn::INT AS place, a.sample_id AS source_sample, b.sample_id AS other_sample FROM a JOIN b USING (document_id, k, rn)")
+def positional_alignment(s, d):
+    key = T.section_key(F.col("section_no")).alias("section_key")
+    a = clauses(s, d).select("document_id", key, F.col("sample_id").alias("source_sample")).where("section_key is not null")
+    b = recall(s, d).select("document_id", key, F.col("sample_id").alias("other_sample")).where("section_key is not null")
+    return joins.positional(a, b, ["document_id", "section_key"], "source_sample", "other_sample")
+
+
+@query(f"SELECT document_id, sources, refs, refs::DOUBLE / sources AS count_ratio, CASE WHEN keys > 0 THEN shared::DOUBLE / keys ELSE 0 END AS coverage, (refs::DOUBLE / sources BETWEEN 0.75 AND 1.35) OR (keys >= 10 AND shared::DOUBLE / keys >= 0.9) AS passes FROM (SELECT document_id, count(*) AS sources, count(*) FILTER (has) AS refs, count(DISTINCT k) FILTER (has) AS shared, count(DISTINCT k) AS keys FROM {KEYED} GROUP BY 1)")
+def document_gate(s, d):
+    return joins.gate(clauses(s, d))
+
+
+@query(f"SELECT sample_id, abs(order_source::DOUBLE / max(order_source) OVER w - order_ref::DOUBLE / max(order_ref) OVER w) AS gap FROM {CLAUSES} WHERE order_ref IS NOT NULL AND order_source IS NOT NULL WINDOW w AS (PARTITION BY document_id)")
+def order_gaps(s, d):
+    rows = clauses(s, d).where("order_ref is not null and order_source is not null")
+    most = rows.groupBy("document_id").agg(F.max("order_source").alias("ms"), F.max("order_ref").alias("mr"))
+    return rows.join(most, "document_id").select("sample_id", F.abs(F.col("order_source") / F.col("ms") - F.col("order_ref") / F.col("mr")).alias("gap"))
+
+
+@query(f"SELECT sample_id, coalesce(lead(coalesce(trim(section_no, ' '), '')) OVER (PARTITION BY document_id ORDER BY order_ref, sample_id) = '', false) AS orphan FROM {CLAUSES} WHERE order_ref IS NOT NULL")
+def orphan_followers(s, d):
+    return quality.orphans(clauses(s, d))
+
+
+@query(f"SELECT sample_id, last_value(nullif(trim(scope, ' '), '') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY order_source, sample_id ROWS UNBOUNDED PRECEDING) AS carried FROM {CLAUSES}")
+def scope_carried(s, d):
+    order = Window.partitionBy("document_id").orderBy("order_source", "sample_id").rowsBetween(Window.unboundedPreceding, 0)
+    return clauses(s, d).select("sample_id", F.last(F.nullif(F.trim("scope"), F.lit("")), ignorenulls=True).over(order).alias("carried"))
+
+
+@query(f"SELECT t.sample_id, t.experiment_group, p.alignment_method AS method, p.page_source, coalesce(p.scope, '') AS scope FROM {ANSWERS} t LEFT JOIN {CLAUSES} p USING (sample_id)")
+def reference_lookup(s, d):
+    meta = clauses(s, d).select("sample_id", F.col("alignment_method").alias("method"), "page_source", F.coalesce("scope", F.lit("")).alias("scope"))
+    return answers(s, d).select("sample_id", "experiment_group").join(meta, "sample_id", "left").select("sample_id", "experiment_group", "method", "page_source", F.coalesce("scope", F.lit("")).alias("scope"))
+
+
+@query(f"SELECT sample_id, b.score AS nd_score, r.matched_total_count AS tr_terms, c.source_char_count AS cl_chars FROM {CLAUSES} c LEFT JOIN {SCORES} b USING (sample_id) LEFT JOIN (SELECT DISTINCT sample_id, matched_total_count FROM term_recall) r USING (sample_id)")
+def merged_metrics(s, d):
+    base = clauses(s, d).select("sample_id", F.col("source_char_count").alias("cl_chars"))
+    return base.join(scores(s, d).select("sample_id", F.col("score").alias("nd_score")), "sample_id", "left").join(recall(s, d).select("sample_id", F.col("matched_total_count").alias("tr_terms")), "sample_id", "left")
+
+
+@query(f"SELECT gram, count(*) AS n FROM (SELECT unnest(flatten(list_transform(list_filter(regexp_extract_all(coalesce(ref_text, ''), '{CJK}+'), lambda r: length(r) >= 2), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS gram FROM {CLAUSES}) GROUP BY 1")
+def reference_bigrams(s, d):
+    return clauses(s, d).select(F.explode(T.han_grams(F.col("ref_text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+WORDS = f"(SELECT DISTINCT sample_id, source_lang, unnest(regexp_extract_all(lower(source_text), '[a-z]{{4,}}')) AS w FROM {CLAUSES})"
+
+
+@query(f"""WITH w AS {WORDS}, l AS (SELECT source_lang, w, count(*) AS c FROM w GROUP BY 1, 2), g AS (SELECT w, sum(c) AS all_c FROM l GROUP BY 1), n AS (SELECT source_lang, count(DISTINCT sample_id) AS docs FROM w GROUP BY 1), t AS (SELECT sum(docs) AS docs FROM n)
+SELECT l.source_lang, l.w AS word, c::BIGINT AS clauses, (c::DOUBLE / n.docs) / (all_c::DOUBLE / t.docs) AS lift FROM l JOIN g USING (w) JOIN n USING (source_lang) CROSS JOIN t WHERE c >= 2 AND (c::DOUBLE / n.docs) / (all_c::DOUBLE / t.docs) >= 1.5""")
+def word_lift(s, d):
+    w = clauses(s, d).select("sample_id", "source_lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
+    local = w.groupBy("source_lang", "w").agg(F.count("*").alias("c"))
+    everywhere = local.groupBy("w").agg(F.sum("c").alias("all_c"))
+    sizes = w.groupBy("source_lang").agg(F.count_distinct("sample_id").alias("docs"))
+    total = sizes.agg(F.sum("docs").alias("total"))
+    lift = (F.col("c") / F.col("docs")) / (F.col("all_c") / F.col("total"))
+    return local.join(everywhere, "w").join(F.broadcast(sizes), "source_lang").join(F.broadcast(total)).withColumn("lift", lift).where("c >= 2 and lift >= 1.5").select("source_lang", F.col("w").alias("word"), F.col("c").alias("clauses"), "lift")
+
+
+# -- scores, documents, manifest, probes ------------------------------------------------------------
+
+
+@query(f"SELECT document_id, count(*) AS n, count(score) AS scored, avg(score) AS mean, median(score) AS median, stddev_pop(score) AS deviation FROM {SCORES} GROUP BY 1")
+def score_summary(s, d):
+    return scores(s, d).groupBy("document_id").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.stddev_pop("score").alias("deviation"))
+
+
+@query(f"SELECT in_headline_v1, in_headline_v2, count(*) AS n, avg(score) AS mean FROM {SCORES} GROUP BY ALL")
+def headline_subsets(s, d):
+    return scores(s, d).groupBy("in_headline_v1", "in_headline_v2").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
+
+
+@query("SELECT doc_id, language_pair, max(path) FILTER (role = 'source') AS source_path, max(path) FILTER (role = 'reference') AS reference_path FROM raw_manifest GROUP BY 1, 2 HAVING count(*) FILTER (role = 'source') > 0 AND count(*) FILTER (role = 'reference') > 0")
+def manifest_pairs(s, d):
+    pairs = table(s, d, "raw_manifest").groupBy("doc_id", "language_pair").pivot("role", ["source", "reference"]).agg(F.max("path"), F.count(F.lit(1)).alias("n"))
+    names = pairs.toDF("doc_id", "language_pair", "source_path", "ns", "reference_path", "nr")
+    return names.where("ns > 0 and nr > 0").select("doc_id", "language_pair", "source_path", "reference_path")
+
+
+@query(f"SELECT lang, count(*) AS n FROM (SELECT CASE {' '.join(f'''WHEN f IN ({", ".join(repr(x) for x in v.split("|"))}) THEN {k!r}''' for k, v in T.LANGUAGES.items())} END AS lang FROM (SELECT lower(regexp_replace(trim(lang, ' '), '[-_].*$', '')) AS f FROM documents)) GROUP BY 1")
+def language_codes(s, d):
+    return table(s, d, "documents").groupBy(T.language(F.col("lang")).alias("lang")).agg(F.count("*").alias("n"))
+
+
+HEAD = "substr(text, 1, 500)"
+
+
+@query(f"SELECT doc_id, CASE {' '.join(f'''WHEN {n_of(HEAD, p)} > 0.2 * {n_of(HEAD, chr(92) + 'p{L}')} THEN {k!r}''' for k, p in (('ru', '[Ѐ-ӿ]'), ('ar', '[؀-ۿ]'), ('th', '[ก-ฮ]'), ('zh', CJK)))} WHEN {n_of(HEAD, chr(92) + 'p{L}')} > 0 THEN 'latin' END AS script FROM documents")
+def document_scripts(s, d):
+    return table(s, d, "documents").select("doc_id", T.script(F.col("text")).alias("script"))
+
+
+@query("SELECT source, count(*) AS n, count(text) AS with_text, sum(length(text))::BIGINT AS chars, max(length(text)) AS longest FROM documents GROUP BY 1")
+def document_funnel(s, d):
+    n = F.length("text")
+    return table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count("text").alias("with_text"), F.sum(n).alias("chars"), F.max(n).cast("long").alias("longest"))
+
+
+LINES = "(SELECT doc_id, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents WHERE text IS NOT NULL)"
+NOISE = ("empty", r"^$"), ("page_number", r"^[-–—\s]*[0-9]{1,4}[-–—\s]*$"), ("page_label", r"(?i)^(?:page|seite|p\.)\s*[0-9]+$"), ("dot_leader", r"\.{4,}\s*[0-9]+$")
+
+
+@query(f"SELECT kind, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (SELECT line, CASE {' '.join(f'''WHEN regexp_matches(line, '{p}') THEN '{k}' ''' for k, p in NOISE)} ELSE 'text' END AS kind FROM {LINES}) GROUP BY 1")
+def line_noise(s, d):
+    rows = table(s, d, "documents").where("text is not null").select(F.explode(F.split("text", "\n")).alias("raw")).select(F.trim("raw").alias("line"))
+    kind = F.lit("text")
+    for name, pattern in reversed(NOISE):
+        kind = F.when(F.col("line").rlike(pattern), name).otherwise(kind)
+    return rows.withColumn("kind", kind).groupBy("kind").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars"))
+
+
+@query(f"SELECT regexp_replace(line, '[0-9]+', '#', 'g') AS template, count(DISTINCT doc_id) AS documents FROM {LINES} WHERE length(line) BETWEEN 6 AND 180 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3 AND contains(regexp_replace(any_value(line), '[0-9]+', '#', 'g'), '#')")
+def repeated_line_templates(s, d):
+    rows = table(s, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("raw")).select("doc_id", F.trim("raw").alias("line")).where("length(line) between 6 and 180")
+    return rows.groupBy(T.digits_masked(F.col("line")).alias("template")).agg(F.count_distinct("doc_id").alias("documents")).where("documents >= 3 and contains(template, '#')")
+
+
+PATTERNS = {"replacement": "�", "cid": "(cid:", "ellipsis": "…", "soft_hyphen": "\xad", "no_break": "\xa0"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) FILTER (contains(hypothesis, '{v}')) AS answers FROM {ANSWERS}" for k, v in PATTERNS.items()))
+def broken_marks(s, d):
+    hit = F.filter(F.array(*[F.struct(F.lit(k).alias("pattern"), F.coalesce(F.contains(F.col("hypothesis"), F.lit(v)), F.lit(False)).cast("int").alias("hit")) for k, v in PATTERNS.items()]), lambda x: x.pattern.isNotNull())
+    return answers(s, d).select(F.explode(hit).alias("x")).groupBy("x.pattern").agg(F.sum("x.hit").alias("answers"))
+
+
+@query("SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, event_type, count(*) AS probes, count(*) FILTER (event_type = 'error') AS failures, avg(value) AS mean_value, max(value) AS longest FROM events GROUP BY 1, 2")
+def probe_windows(s, d):
+    return monitor.summary(table(s, d, "events"))
+
+
+@query("SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY 1")
+def probe_latency(s, d):
+    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.max("value").alias("longest"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
