@@ -19,6 +19,7 @@ from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -153,8 +154,6 @@ def token_sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
 def decode_column(ids, tokenizers: str = TOKENIZERS):
     """The texts of a column of id lists, by the inverse of the byte spelling; null for null."""
-    import pandas as pd
-
     model = vocabulary_model(tokenizers)
 
     @F.pandas_udf("string")
