@@ -208,12 +208,13 @@ def labelled(answers: DataFrame, sources_and_references: DataFrame) -> DataFrame
         answers.select(*keys, "source_lang", "segment_type", "source_text", "hypothesis")
         .withColumn("left", content(text))
         .withColumn("spoken", language(F.col("left")))
-        .withColumn("plain", _plain(F.col("left")))
+        .withColumn("plain", F.lower(F.regexp_replace("left", r"[^\p{L}\p{M}]+", " ")))
     )
     table_line = F.coalesce(F.col("segment_type") == "table", F.lit(False))
     foreign = F.col("spoken").isNotNull() & (F.col("spoken") != "zh")
+    other = F.coalesce(F.col("spoken") != "zh", F.lit(True))
     first = F.when(nothing(F.col("left")), "empty").when(
-        ~table_line & F.coalesce(F.col("spoken") != "zh", F.lit(True)) & _copied(F.when(F.coalesce(F.col("spoken") != "zh", F.lit(True)), F.col("source_text")), F.col("left")), "copy"
+        ~table_line & other & _copied(F.when(other, F.col("source_text")), F.when(other, F.col("left"))), "copy"
     )
     known = known_grams(sources_and_references.select(_plain(F.col("text")).alias("text")))
     scored = alien_share(rows.withColumn("first", first).withColumn("opening", F.substring("left", 1, 120)).drop("left", "hypothesis"), known)

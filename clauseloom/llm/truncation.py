@@ -71,7 +71,7 @@ def masked(text: Column) -> Column:
 
 
 #: A name with digits, such as an approval number.
-NAME = r"(?<![\p{L}\p{N}/.\-])(?=[A-Za-z0-9/.\-]*[A-Za-z])(?=[A-Za-z0-9/.\-]*[0-9])[A-Za-z][A-Za-z0-9]*(?:[./\-][A-Za-z0-9]+)*"
+NAME = r"[A-Za-z]+[-/]?[0-9][A-Za-z0-9]*(?:[./\-][A-Za-z0-9]+)*"
 BROKEN = r"(?:�|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|&#?\w{0,7}|<[^<>]{0,40}|\.\.\.|…)$"
 CLOSERS = "”’“\"'»)）」』】\\]》"
 FENCES = r"(?s)^(?:(?!```).)*```(?:(?!```).)*$"
