@@ -7,10 +7,11 @@ recurs over clauses and whose words no clean clause has.  Without them the lines
 on; a hyphen at a line's end is taken out where the corpus knows the joined word or
 doesn't know the hyphenated one.
 
-Misread words are found by anagram hashes, sums of a number for each character: a
-confusion of characters changes the sum by a fixed difference, so a word that clean
-clauses don't have, plus one or two differences of confusions it can hold, joins the
-frequent word it stands for.  Of several the most frequent word is taken.  In scripts
+Misread words are found by a key that is the same for both sides of every confusion of
+characters, so a word that clean clauses don't have joins the frequent word it stands
+for, however many of its characters are misread; the least number of confusions that
+leads from one to the other is then counted.  Of several words the one with the
+fewest confusions is taken, then the most frequent.  In scripts
 without spaces a character takes the place of a word: its neighbours are the key, a
 character that clean clauses hardly have is the rare one.
 
@@ -21,6 +22,9 @@ Defined cases: null and blank texts have no noise; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,29 +114,93 @@ def joined(body: Column, lang: Column) -> Column:
     return F.when(lang == "zh", F.regexp_replace(body, r"\n", "")).otherwise(spaced)
 
 
-def anagram(word: Column) -> Column:
-    """A sum that doesn't depend on the order of the characters."""
-    return F.aggregate(F.filter(F.split(word, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.xxhash64(c).bitwiseAND(F.lit((1 << 40) - 1)))
+def _rules() -> dict[tuple[str, str], int]:
+    """(wrong, right) with how many confusions lead from one to the other; what confuses a confusion's own characters counts as well."""
+    single = [tuple(c.split(" ")) for c in CONFUSIONS.split("|")]
+    rules = dict.fromkeys(single, 1)
+    fresh = list(single)
+    while fresh:
+        wrong, right = fresh.pop()
+        for w, r in single:
+            for i in range(len(wrong)):
+                longer = wrong[:i] + w + wrong[i + len(r) :]
+                if wrong.startswith(r, i) and rules[wrong, right] + 1 < rules.get((longer, right), len(CONFUSIONS)):
+                    rules[longer, right] = rules[wrong, right] + 1
+                    fresh.append((longer, right))
+    return rules
+
+
+RULES = _rules()
+
+
+def _key_map() -> dict[str, str]:
+    """What stands for a character in a word's key, so that both sides of every confusion have one key."""
+    root: dict[str, str] = {}
+
+    def of(c: str) -> str:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    pairs = [c.split(" ") for c in CONFUSIONS.split("|")]
+    for w, r in pairs:
+        if len(w) == 1:
+            root[of(w)] = of(r)
+    spelt = {of(r): w for w, r in pairs if len(w) > 1}
+
+    def key(c: str) -> str:
+        return "".join(map(key, spelt[of(c)])) if of(c) in spelt else of(c)
+
+    return {c: key(c) for c in sorted(set(CONFUSIONS) - set(" |"))}
+
+
+def confusion_key(word: Column) -> Column:
+    """Equal for all words that any number of confusions leads from one to the other."""
+    keys = _key_map()
+    for c, k in keys.items():
+        if len(k) > 1:
+            word = F.replace(word, F.lit(c), F.lit(k))
+    ones = {c: k for c, k in keys.items() if len(k) == 1}
+    return F.translate(word, "".join(ones), "".join(ones.values()))
+
+
+def confusions(word: str, right: str) -> int | None:
+    """The least number of confusions that lead from word to right, None if none do."""
+    best = {(0, 0): 0}
+    for i in range(len(word)):
+        for j in range(min(len(right), i + 1)):
+            if (i, j) not in best:
+                continue
+            n = best[i, j]
+            if word[i] == right[j]:
+                best[i + 1, j + 1] = min(n, best.get((i + 1, j + 1), n))
+            for w, r, cost in _BY_FIRST.get(word[i], ()):
+                if word.startswith(w, i) and right.startswith(r, j):
+                    to = (i + len(w), j + len(r))
+                    best[to] = min(n + cost, best.get(to, n + cost))
+    return best.get((len(word), len(right)))
+
+
+_BY_FIRST: dict[str, list[tuple[str, str, int]]] = {}
+for (_w, _r), _n in RULES.items():
+    _BY_FIRST.setdefault(_w[0], []).append((_w, _r, _n))
 
 
 def corrections(words: DataFrame, clean: DataFrame) -> DataFrame:
     """lang, word, right, wrong_count of each word (lang, word) that clean texts don't have but that stands for a frequent one."""
     token = F.lit(r"[\p{L}\p{M}\p{N}]{3,}")
     lexicon = clean.where(~F.col("lang").isin(*UNSPACED)).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), token, F.lit(0))).alias("right")).groupBy("lang", "right").count()
-    frequent = cut(lexicon.where(F.col("count") >= FREQUENT))
+    lexicon = cut(lexicon)
     rare = words.join(lexicon.select("lang", F.col("right").alias("word")), ["lang", "word"], "left_anti").where(~F.col("word").rlike(r"^[0-9]+$"))
-    table = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(r).alias("r")) for w, r in (c.split(" ") for c in CONFUSIONS.split("|"))])
-    fit = F.transform(F.filter(table, lambda c: F.contains(F.col("word"), c.w)), lambda c: anagram(c.r) - anagram(c.w))
-    tried = cut(rare.withColumn("deltas", fit).where(F.size("deltas") > 0).withColumn("hash", anagram(F.col("word"))))
-    ones = tried.select("lang", "word", "hash", F.explode("deltas").alias("delta"), F.lit(1).alias("wrong_count"))
-    twos = tried.select(
-        "lang", "word", "hash",
-        F.explode(F.flatten(F.transform("deltas", lambda a, i: F.transform(F.slice("deltas", i + 1, F.size("deltas")), lambda b: a + b)))).alias("delta"),
-        F.lit(2).alias("wrong_count"),
-    )
-    target = ones.union(twos).select("lang", "word", (F.col("hash") + F.col("delta")).alias("sum"), "wrong_count")
-    found = target.join(frequent.withColumn("sum", anagram(F.col("right"))), ["lang", "sum"])
-    near = found.where(F.levenshtein("word", "right") <= 2 * F.col("wrong_count"))
+    frequent = lexicon.where(F.col("count") >= FREQUENT).withColumn("key", confusion_key(F.col("right")))
+    found = rare.withColumn("key", confusion_key(F.col("word"))).join(frequent, ["lang", "key"]).select("lang", "word", "right", "count")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [confusions(w, r) for w, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], names=["lang", "word", "right", "count", "wrong_count"])
+
+    near = found.mapInArrow(run, "lang string, word string, right string, count long, wrong_count int").where("wrong_count is not null")
     # fewer confusions first, then the more frequent word
     return near.groupBy("lang", "word").agg(F.min_by(F.struct("right", "wrong_count"), F.struct("wrong_count", -F.col("count"), "right")).alias("best")).select("lang", "word", "best.*")
 

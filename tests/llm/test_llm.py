@@ -124,6 +124,16 @@ def test_scan_noise(spark):
     assert {(r.sample_id, r.noise) for r in found.collect()} == expected
 
 
+def test_words_with_many_misread_characters(spark):
+    shape = "sample_id string, document_id string, source_lang string, segment_type string, source_text string, ref_text string"
+    clean = [(f"c{i}", "pdf", "de", "paragraph", f"Die Anforderungen an die Signalisolierung im Modus {i}.", None) for i in range(4)]
+    scan = [("three", "scan", "de", "paragraph", "Die\nSlgna1lsolierung", None), ("five", "scan", "de", "paragraph", "Die\nAnf0rdcruri9cn", None), ("none", "scan", "de", "paragraph", "Die\nAnforderung", None)]
+    found = scans.noise(scans.fields(spark.createDataFrame(scan, shape)), scans.fields(spark.createDataFrame(clean, shape)))
+    assert {(r.sample_id, r.noise) for r in found.collect()} == {("three", "misread"), ("five", "misread")}
+    assert scans.confusions("anf0rdcruri9cn", "anforderungen") == 5 and scans.confusions("c1ause", "clause") == 1
+    assert scans.confusions("rri0dus", "modus") == 3 and scans.confusions("modus", "rnodus") is None
+
+
 def test_alignment(spark):
     parts, zh = ["roof", "door", "axle", "fuel", "seat", "brake"], ["车顶", "车门", "车轴", "燃料", "座椅", "制动"]
     rows = []
