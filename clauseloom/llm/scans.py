@@ -4,8 +4,8 @@ Lines that belong to the page are found first.  A line that holds only a page nu
 (with its marks, in figures or Roman numerals) is one; so is a header: a line naming
 a code whose template (codes and figures masked, a page number at its end left out)
 recurs over clauses and whose words no clean clause has.  Without them the lines run
-on; a hyphen at a line's end is taken out where the corpus knows the joined word or
-doesn't know the hyphenated one.
+on; a hyphen at a line's end is taken out where clean clauses don't have the
+hyphenated word.
 
 Misread words are found by a key that is the same for both sides of every confusion of
 characters, so a word that clean clauses don't have joins the frequent word it stands
@@ -17,11 +17,13 @@ character that clean clauses hardly have is the rare one.
 
 Clean clauses are those of documents with a text layer.
 
-Defined cases: null and blank texts have no noise; other columns are ignored.
+Defined cases: null and blank texts have no noise; a text of page lines only is
+repaired to an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,21 +93,40 @@ def lines(scan: DataFrame, clean: DataFrame) -> DataFrame:
 
 
 def bodies(marked: DataFrame) -> DataFrame:
-    """field, sample_id, lang, body: the other lines of each text in order, empty ones left out."""
-    kept = marked.where("mark is null and trim(line) <> ''")
-    ordered = F.array_sort(F.collect_list(F.struct("at", F.trim("line").alias("line"))))
-    return kept.groupBy("field", "sample_id", "lang").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("body"))
+    """field, sample_id, lang, body: the other lines of each text in order, empty ones left out; a text without any has an empty body."""
+    ordered = F.array_sort(F.collect_list(F.when(F.expr("mark is null and trim(line) <> ''"), F.struct("at", F.trim("line").alias("line")))))
+    return marked.groupBy("field", "sample_id", "lang").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("body"))
 
 
-def hyphens(texts: DataFrame, clean: DataFrame) -> DataFrame:
-    """field, sample_id, first, second of each word broken across lines in the bodies."""
+def _broken(texts: DataFrame) -> DataFrame:
+    """field, sample_id, first, second, form (with the hyphen) of each word with a hyphen at a line's end."""
     # (all matches of a group, one after the other)
     firsts = F.regexp_extract_all("body", F.lit(BROKEN_WORD), F.lit(1))
     seconds = F.regexp_extract_all("body", F.lit(BROKEN_WORD), F.lit(2))
     broken = texts.where("lang not in ('zh', 'th')").select("field", "sample_id", F.explode(F.arrays_zip(firsts.alias("first"), seconds.alias("second"))).alias("w")).select("field", "sample_id", "w.*")
-    hyphenated = clean.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+-[\p{L}\p{M}]+"), F.lit(0))).alias("form")).distinct()
-    form = F.lower(F.concat_ws("-", "first", "second"))
-    return broken.withColumn("form", form).join(hyphenated, "form", "left_anti").drop("form")
+    return broken.withColumn("form", F.lower(F.concat_ws("-", "first", "second")))
+
+
+def _hyphenated(clean: DataFrame) -> DataFrame:
+    return clean.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+-[\p{L}\p{M}]+"), F.lit(0))).alias("form")).distinct()
+
+
+def hyphens(texts: DataFrame, clean: DataFrame) -> DataFrame:
+    """field, sample_id, first, second of each word broken across lines in the bodies."""
+    return _broken(texts).join(_hyphenated(clean), "form", "left_anti").drop("form")
+
+
+def compounds_kept(texts: DataFrame, clean: DataFrame) -> DataFrame:
+    """The texts with each hyphen at a line's end that belongs to its word (hyphens() leaves it out) set within the line."""
+    own = _broken(texts).join(_hyphenated(clean), "form", "left_semi").groupBy("field", "sample_id").agg(F.collect_set(F.struct("first", "second")).alias("own"))
+    edge = r"[\p{L}\p{M}\p{N}]"
+
+    def whole(body: Column, w: Column) -> Column:
+        pattern = F.concat(F.lit(f"(?<!{edge})"), w["first"], F.lit(r"[-‐¬\xad][ ]*\n\s*"), w["second"], F.lit(f"(?!{edge})"))
+        return F.regexp_replace(body, pattern, F.concat_ws("-", w["first"], w["second"]))
+
+    body = F.when(F.col("own").isNull(), F.col("body")).otherwise(F.aggregate("own", F.col("body"), whole))
+    return texts.join(own, ["field", "sample_id"], "left").select("field", "sample_id", "lang", body.alias("body"))
 
 
 def joined(body: Column, lang: Column) -> Column:
@@ -188,9 +209,9 @@ for (_w, _r), _n in RULES.items():
 
 def corrections(words: DataFrame, clean: DataFrame) -> DataFrame:
     """lang, word, right, wrong_count of each word (lang, word) that clean texts don't have but that stands for a frequent one."""
-    token = F.lit(r"[\p{L}\p{M}\p{N}]{3,}")
-    lexicon = clean.where(~F.col("lang").isin(*UNSPACED)).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), token, F.lit(0))).alias("right")).groupBy("lang", "right").count()
-    lexicon = cut(lexicon)
+    # in scripts without spaces only what is written in Latin letters is a word
+    token = F.when(F.col("lang").isin(*UNSPACED), r"[a-z0-9]{3,}").otherwise(r"[\p{L}\p{M}\p{N}]{3,}")
+    lexicon = cut(clean.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), token, F.lit(0))).alias("right")).groupBy("lang", "right").count())
     rare = words.join(lexicon.select("lang", F.col("right").alias("word")), ["lang", "word"], "left_anti").where(~F.col("word").rlike(r"^[0-9]+$"))
     frequent = lexicon.where(F.col("count") >= FREQUENT).withColumn("key", confusion_key(F.col("right")))
     found = rare.withColumn("key", confusion_key(F.col("word"))).join(frequent, ["lang", "key"]).select("lang", "word", "right", "count")
@@ -223,8 +244,9 @@ def _contexts(text: Column, reach: int) -> Column:
     return F.filter(spots, lambda s: s.char.rlike(r"[\p{IsHan}\p{IsThai}]"))
 
 
-def misread_characters(texts: DataFrame, clean: DataFrame, lang: str, reach: int) -> DataFrame:
-    """field, sample_id, wrong: misread characters in a script without spaces."""
+def _odd_characters(texts: DataFrame, clean: DataFrame, lang: str, reach: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(seen, odd, pairs): the characters of the scanned texts (field, sample_id, before, char, after, count); those
+    that stand where clean texts have another (with right); char, right, contexts of what recurs as a misreading."""
     spot = ["before", "after"]
     seen = texts.where(F.col("lang") == lang).select("field", "sample_id", F.explode(_contexts(joined(F.col("body"), F.col("lang")), reach)).alias("s")).select("field", "sample_id", "s.*")
     seen = cut(seen.groupBy("field", "sample_id", "before", "char", "after").count())
@@ -238,7 +260,13 @@ def misread_characters(texts: DataFrame, clean: DataFrame, lang: str, reach: int
     foreign = rates.where(F.col("here") / F.col("all_here") > 5 * F.coalesce("there", F.lit(0)) / F.col("all_there")).select("char")
     if lang == "zh":
         odd = odd.join(foreign, "char", "left_semi")
-    pairs = odd.groupBy("char", "right").agg(F.count_distinct("before", "after").alias("contexts")).where(F.col("contexts") >= SUPPORT).select("char", "right")
+    pairs = odd.groupBy("char", "right").agg(F.count_distinct("before", "after").alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    return seen, odd, pairs
+
+
+def misread_characters(texts: DataFrame, clean: DataFrame, lang: str, reach: int) -> DataFrame:
+    """field, sample_id, wrong: misread characters in a script without spaces."""
+    seen, odd, pairs = _odd_characters(texts, clean, lang, reach)
     if lang == "zh":
         # a character found to be foreign is wrong wherever it stands, also beside another wrong one; so is a figure within a name's letters
         names = texts.where(F.col("lang") == lang).select("field", "sample_id", F.regexp_count(joined(F.col("body"), F.col("lang")), F.lit(r"(?<=[a-z])[0-9](?=[a-z])")).cast("long").alias("wrong"))
@@ -247,12 +275,55 @@ def misread_characters(texts: DataFrame, clean: DataFrame, lang: str, reach: int
     return odd.join(pairs, ["char", "right"], "left_semi").groupBy("field", "sample_id").agg(F.sum("count").alias("wrong"))
 
 
+def character_fixes(texts: DataFrame, clean: DataFrame, lang: str, reach: int) -> DataFrame:
+    """field, sample_id, fixes: (before, char, after, right) of each character that misread_characters counts.
+
+    The right character is the one clean texts have between these neighbours; where a neighbour is
+    wrong too, it is the one that the misread character stands for in most contexts.
+    """
+    seen, odd, pairs = _odd_characters(texts, clean, lang, reach)
+    key = ["field", "sample_id", "before", "char", "after"]
+    fixes = odd.join(pairs, ["char", "right"], "left_semi").select(*key, "right")
+    if lang == "zh":
+        mostly = pairs.groupBy("char").agg(F.max_by("right", F.struct("contexts", "right")).alias("mostly"))
+        fixes = seen.join(mostly, "char").join(fixes, key, "left").select(*key, F.coalesce("right", "mostly").alias("right"))
+    return fixes.groupBy("field", "sample_id").agg(F.collect_list(F.struct("before", "char", "after", "right")).alias("fixes"))
+
+
+def _placed(text: str, fixes: list, reach: int) -> str:
+    """The text with the fixes at their places; the neighbours are those of _contexts."""
+    flat, at = [], []
+    for m in re.finditer(r"([0-9A-Za-z./\-]+)|\s+|(.)", text, re.ASCII | re.DOTALL):
+        if m.group(1) or m.group(2):
+            flat.append("0" if m.group(1) else m.group(2))
+            at.append(m.start())
+    flat, out = "".join(flat), list(text)
+    right = {(x["before"], x["char"], x["after"]): x["right"] for x in fixes}
+    for i in range(reach, len(flat) - reach):
+        c = right.get((flat[i - reach : i], flat[i], flat[i + 1 : i + 1 + reach]))
+        if c is not None:
+            out[at[i]] = c
+    return "".join(out)
+
+
+def characters_repaired(texts: DataFrame, clean: DataFrame, lang: str, reach: int) -> DataFrame:
+    """field, sample_id, lang, text of the texts in a script without spaces, misread characters corrected."""
+    rows = texts.where(F.col("lang") == lang).join(character_fixes(texts, clean, lang, reach), ["field", "sample_id"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fixed = [_placed(t, x, reach) if x else t for t, x in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fixed, pa.string())], names=["field", "sample_id", "lang", "text"])
+
+    return rows.select("field", "sample_id", "lang", "text", "fixes").mapInArrow(run, "field string, sample_id string, lang string, text string")
+
+
 def noise(scan: DataFrame, clean: DataFrame) -> DataFrame:
     """field, sample_id, noise of everything found in the scanned texts (fields of clauses)."""
     key = ["field", "sample_id"]
     marked = cut(lines(scan, clean))
     texts = cut(bodies(marked))
-    wrong = misread_words(texts, clean).union(misread_characters(texts, clean, "zh", 1)).union(misread_characters(texts, clean, "th", 2))
+    wrong = misread_words(compounds_kept(texts, clean), clean).union(misread_characters(texts, clean, "zh", 1)).union(misread_characters(texts, clean, "th", 2))
     return (
         marked.where("mark is not null").select(*key, F.col("mark").alias("noise"))
         .union(hyphens(texts, clean).select(*key, F.lit("hyphenation")))
@@ -262,12 +333,17 @@ def noise(scan: DataFrame, clean: DataFrame) -> DataFrame:
 
 
 def repaired(scan: DataFrame, clean: DataFrame) -> DataFrame:
-    """field, sample_id, text: continuous text without page lines and broken words, misread words corrected."""
+    """field, sample_id, text: continuous text without page lines and broken words, misread words and characters corrected."""
     marked = cut(lines(scan, clean))
-    texts = bodies(marked).withColumn("text", joined(F.col("body"), F.col("lang")))
-    token = r"(?<=[^\p{L}\p{M}\p{N}])|(?=[^\p{L}\p{M}\p{N}])"
-    parts = texts.select("field", "sample_id", "lang", F.posexplode(F.split("text", token)).alias("at", "part")).withColumn("word", F.lower("part"))
-    fixes = corrections(parts.where(~F.col("lang").isin(*UNSPACED)).select("lang", "word").where(F.length("word") >= 3).distinct(), clean)
+    texts = cut(compounds_kept(bodies(marked), clean).withColumn("text", joined(F.col("body"), F.col("lang"))))
+    spaced = texts.where(F.coalesce(~F.col("lang").isin(*UNSPACED), F.lit(True))).select("field", "sample_id", "lang", "text")
+    unspaced = characters_repaired(texts, clean, "zh", 1).union(characters_repaired(texts, clean, "th", 2))
+    edge = F.when(F.col("lang").isin(*UNSPACED), "[^A-Za-z0-9]").otherwise(r"[^\p{L}\p{M}\p{N}]")
+    token = F.concat(F.lit("(?<="), edge, F.lit(")|(?="), edge, F.lit(")"))
+    parts = cut(spaced.union(unspaced).select("field", "sample_id", "lang", F.posexplode(F.split("text", token)).alias("at", "part")).withColumn("word", F.lower("part")))
+    # what is a figure by itself stays, also beside letters of a code
+    name = ~F.col("lang").isin(*UNSPACED) | F.col("part").rlike("[a-z][0-9]+[a-z]")
+    fixes = corrections(parts.where(name).select("lang", "word").where(F.length("word") >= 3).distinct(), clean)
     fixed = parts.join(fixes, ["lang", "word"], "left")
     # the case of the first letter is kept
     right = F.when(F.substring("part", 1, 1) == F.upper(F.substring("part", 1, 1)), F.concat(F.upper(F.substring("right", 1, 1)), F.substring("right", F.lit(2), F.length("right")))).otherwise(F.col("right"))

@@ -134,6 +134,21 @@ def test_words_with_many_misread_characters(spark):
     assert scans.confusions("rri0dus", "modus") == 3 and scans.confusions("modus", "rnodus") is None
 
 
+def test_scans_are_repaired_whole(spark):
+    shape = "sample_id string, document_id string, source_lang string, segment_type string, source_text string, ref_text string"
+    zh = ["制造商应更换阀门的外壳", "检查人员用阀门控制压力", "软管与阀门相连接处理", "车辆的阀门须清洁干净"]
+    th = "ต้องเปลี่ยนวาล์วทุกปี"
+    clean = [(f"c{i}", "pdf", "en", "paragraph", f"The manu-facturer uses a well-known valve {i}.", zh[i % 4]) for i in range(16)]
+    clean += [(f"t{i}", "pdf", "th", "paragraph", th, None) for i in range(4)]
+    scan = [(f"z{i}", "scan", "th", "paragraph", th, z.replace("阀门", "阅门")) for i, z in enumerate(zh)]
+    scan += [("hyphen", "scan", "en", "paragraph", "A well-\nknown val-\nve.", None), ("page", "scan", "en", "paragraph", "- 12 -", None)]
+    out = {(r.field, r.sample_id): r.text for r in scans.repaired(scans.fields(spark.createDataFrame(scan, shape)), scans.fields(spark.createDataFrame(clean, shape))).collect()}
+    assert {k[1]: v for k, v in out.items() if k[0] == "ref_text"} == {f"z{i}": z for i, z in enumerate(zh)}
+    assert out["source_text", "hyphen"] == "A well-known valve." and out["source_text", "page"] == ""
+    assert all(out["source_text", f"z{i}"] == th for i in range(4))
+    assert scans._placed("见 AB-1 阅门，\n阅门", [{"before": "0", "char": "阅", "after": "门", "right": "阀"}], 1) == "见 AB-1 阀门，\n阅门"
+
+
 def test_alignment(spark):
     parts, zh = ["roof", "door", "axle", "fuel", "seat", "brake"], ["车顶", "车门", "车轴", "燃料", "座椅", "制动"]
     rows = []
