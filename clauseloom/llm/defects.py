@@ -39,9 +39,9 @@ WORDS = {
     "fr": "est|sont|pour|dans|les|des|le|un|une|du|et|par|pendant|selon|au|près|à",
     "es": "el|los|se|para|con|en|del|una|y|por|al|según|durante|junto|no|es",
 }
-#: Characters of a run in Chinese and in other scripts; bits of the map of known runs.
+#: Characters of a run in Chinese and in other scripts; least bits of a hash in the map of known runs, and the most of it that may be set.
 GRAMS = (3, 7)
-KNOWN_BITS = 24
+KNOWN_BITS, FILL = 24, 1 / 16
 ALIEN = 0.5
 PROMPTS = 2
 
@@ -115,12 +115,12 @@ def language(text: Column) -> Column:
     return out.otherwise(latin)
 
 
-def _grams(codes: np.ndarray, size: int) -> np.ndarray:
+def _grams(codes: np.ndarray, size: int, bits: int) -> np.ndarray:
     n = max(len(codes) - size + 1, 0)
     h = np.full(n, size, np.uint64)
     for i in range(size):
         h = (h ^ codes[i : i + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _plain(text: Column) -> Column:
@@ -128,35 +128,53 @@ def _plain(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(text, f"[{INVISIBLE}]", ""), r"[^\p{L}\p{M}]+", " "))
 
 
-def known_grams(texts: DataFrame) -> np.ndarray:
-    """A bit for each hash of a run of characters that occurs in a column named text; its size is fixed."""
+def _map_of(texts: DataFrame, bits: int) -> np.ndarray:
+    """The packed map of 2 ** bits hashes of the runs that occur in a column named text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << KNOWN_BITS, bool)
+        seen = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
             joined = "\n".join(t for t in batch.column(0).to_pylist() if t)
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
             for size in GRAMS:
-                seen[_grams(codes, size)] = True
-        words = np.packbits(seen, bitorder="little").view(np.int64)
+                h = _grams(codes, size, bits)
+                for bit in range(8):
+                    seen[h[(h & 7) == bit] >> 3] |= np.uint8(1 << bit)
+        words = seen.view(np.int64)
         at = np.flatnonzero(words)
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], names=["at", "bits"])
 
     rows = texts.mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros((1 << KNOWN_BITS) // 64, np.int64)
+    words = np.zeros((1 << bits) // 64, np.int64)
     words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
+    return words.view(np.uint8)
 
 
-def alien_share(rows: DataFrame, known: np.ndarray) -> DataFrame:
+def known_grams(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """A packed bit for each hash of a run of characters that occurs in a column named text, and the bits of a hash.
+
+    Where more than FILL of the map is set, what is set tells how many runs there are, and the map is made
+    again in the size they need: of an unknown run's hashes at most FILL are taken for known ones.
+    """
+    bits = KNOWN_BITS
+    while True:
+        known = _map_of(texts, bits)
+        clear = 1 - int(np.bitwise_count(known).sum()) / (1 << bits)
+        if clear >= 1 - FILL:
+            return known, bits
+        runs = -(1 << bits) * np.log(max(clear, 2.0**-bits))
+        bits = max(bits + 1, int(np.ceil(np.log2(runs / FILL))))
+
+
+def alien_share(rows: DataFrame, known: np.ndarray, bits: int) -> DataFrame:
     """rows with alien: the share of the runs of a column named plain that no known text has."""
-    packed = rows.sparkSession.sparkContext.broadcast(np.packbits(known, bitorder="little"))
+    packed = rows.sparkSession.sparkContext.broadcast(known)
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed.value, bitorder="little").astype(bool)
+        seen = packed.value
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("plain")).to_pylist()]
             chinese = np.array([x in ("zh", "th", None) for x in batch.column(batch.schema.get_field_index("spoken")).to_pylist()])
@@ -165,7 +183,8 @@ def alien_share(rows: DataFrame, known: np.ndarray) -> DataFrame:
             starts = np.cumsum(lengths) - lengths
             shares = []
             for size in GRAMS:
-                odd = np.concatenate(([0], np.cumsum(~bits[_grams(codes, size)])))
+                h = _grams(codes, size, bits)
+                odd = np.concatenate(([0], np.cumsum((seen[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 0)))
                 n = np.maximum(lengths - size + 1, 0)
                 shares.append(np.where(n > 0, (odd[starts + n] - odd[starts]) / np.maximum(n, 1), 0.0))
             share = np.where(chinese, *shares)
@@ -216,8 +235,8 @@ def labelled(answers: DataFrame, sources_and_references: DataFrame) -> DataFrame
     first = F.when(nothing(F.col("left")), "empty").when(
         ~table_line & other & _copied(F.when(other, F.col("source_text")), F.when(other, F.col("left"))), "copy"
     )
-    known = known_grams(sources_and_references.select(_plain(F.col("text")).alias("text")))
-    scored = alien_share(rows.withColumn("first", first).withColumn("opening", F.substring("left", 1, 120)).drop("left", "hypothesis"), known)
+    known, bits = known_grams(sources_and_references.select(_plain(F.col("text")).alias("text")))
+    scored = alien_share(rows.withColumn("first", first).withColumn("opening", F.substring("left", 1, 120)).drop("left", "hypothesis"), known, bits)
     scored = cut(scored.select(*keys, "source_lang", "segment_type", "first", "spoken", "alien", F.when(F.col("alien") >= ALIEN, F.struct("source_text", "opening", "plain")).alias("odd")))
     odd = scored.where("first is null and odd is not null").select(*keys, "odd.*")
     refused = templates(odd).withColumn("refused", F.lit(True))

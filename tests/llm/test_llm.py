@@ -114,6 +114,18 @@ def test_defects(spark):
     assert {r.sample_id: r.defect for r in found.collect()} == {"empty": "empty", "null": "empty", "copy": "copy", "german": "wrong_language", "no0": "refusal", "no1": "refusal", "no2": "refusal"}
 
 
+def test_map_of_known_runs_grows_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(defects, "KNOWN_BITS", 8)
+    random.seed(4)
+    known = ["".join(random.choice("abcdefghij klmnop") for _ in range(2000)) for _ in range(4)]
+    table = spark.createDataFrame([(k,) for k in known], "text string")
+    found, bits = defects.known_grams(table)
+    assert 0 < int(defects.np.bitwise_count(found).sum()) <= (1 << bits) / 16
+    rows = spark.createDataFrame([("en", known[1]), ("en", "nothing of this sentence is known to that text")], "spoken string, plain string")
+    shares = {r.plain[:7]: r.alien for r in defects.alien_share(rows, found, bits).collect()}
+    assert shares[known[1][:7]] == 0 and shares["nothing"] > 0.8
+
+
 def test_scan_noise(spark):
     clean = [(f"c{i}", "pdf", "en", "paragraph", f"The manufacturer shall replace the conditioned valve housing number {i}.", f"制造商应更换阀门的外壳{i}。") for i in range(8)]
     shape = "sample_id string, document_id string, source_lang string, segment_type string, source_text string, ref_text string"
