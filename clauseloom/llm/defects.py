@@ -44,6 +44,8 @@ GRAMS = (3, 7)
 KNOWN_BITS, FILL = 24, 1 / 16
 ALIEN = 0.5
 PROMPTS = 2
+#: Parts of a band that are compared with another such block at once.
+BAND = 256
 
 
 def content(text: Column) -> Column:
@@ -197,24 +199,33 @@ def alien_share(rows: DataFrame, known: np.ndarray, bits: int) -> DataFrame:
 def templates(odd: DataFrame, hashes: int = 16, rows_: int = 2, similarity: float = 0.5) -> DataFrame:
     """Keys of the odd answers (sample_id, experiment_group, source_text, plain) whose opening or part of it recurs.
 
-    The parts of an opening (between marks) are sets of character trigrams; parts with an
-    equal MinHash band are compared with the band's first part, and a part that is
-    similar enough belongs to its template.  A template of PROMPTS different sources
-    marks its answers.
+    The parts of an opening (between marks) are sets of character trigrams.  Every part is a
+    template of its own, to which all parts belong that share a MinHash band with it and are
+    similar enough; a band's parts are compared in blocks of BAND, so that no task holds a band.
+    A template of PROMPTS different sources marks its answers.
     """
     parts = odd.select(
         "sample_id", "experiment_group", F.xxhash64("source_text").alias("prompt"),
         F.explode(F.array_distinct(F.filter(F.transform(F.slice(F.split(F.lower("opening"), r"[\p{P}]+"), 1, 6), lambda p: F.trim(p)), lambda p: F.length(p) >= 4))).alias("part"),
     )
     shingled = parts.select("part").distinct().withColumn("set", F.expr("array_distinct(transform(sequence(1, greatest(length(part) - 2, 1)), i -> substring(part, i, 3)))"))
-    minima = F.array(*[F.array_min(F.transform("set", lambda g, s=seed: F.xxhash64(g, F.lit(s)))) for seed in range(hashes)])
+    # (a second parameter of the function would be the place in the set, not the seed)
+    minima = F.array(*[F.array_min(F.transform("set", lambda g: F.xxhash64(g, F.lit(seed)))) for seed in range(hashes)])
     banded = shingled.withColumn("minima", minima).select(
         "part", "set", F.explode(F.array(*[F.xxhash64(F.lit(b), F.slice("minima", b * rows_ + 1, rows_)) for b in range(hashes // rows_)])).alias("band")
     )
-    firsts = banded.groupBy("band").agg(F.min_by("set", "part").alias("first"), F.min("part").alias("template"))
+    blocks = banded.groupBy("band").agg(F.ceil(F.count("*") / BAND).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = F.pmod(F.xxhash64("part"), F.col("blocks")).cast("int")
+    # of two blocks each holds its parts once: those of the lower on the left, those of the higher on the right
+    laid = banded.join(blocks, "band").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    laid = laid.select("band", "part", "set", F.col("own"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    left = laid.where("own = low").select("band", "low", "high", "part", "set")
+    right = laid.where("own = high").select("band", "low", "high", F.col("part").alias("template"), F.col("set").alias("first"))
     common = F.size(F.array_intersect("set", "first"))
-    same = banded.join(firsts, "band").where(common / (F.size("set") + F.size("first") - common) >= similarity)
-    member = same.select("part", "template").distinct()
+    close = (F.least(F.size("set"), F.size("first")) >= similarity * F.greatest(F.size("set"), F.size("first"))) & (common / (F.size("set") + F.size("first") - common) >= similarity)
+    same = left.join(right, ["band", "low", "high"]).where("low < high or part < template").where(close).select("part", "template").distinct()
+    itself = shingled.select("part", F.col("part").alias("template"))
+    member = cut(itself.union(same).union(same.select(F.col("template").alias("part"), F.col("part").alias("template"))))
     recurring = parts.join(member, "part").groupBy("template").agg(F.count_distinct("prompt").alias("prompts")).where(F.col("prompts") >= PROMPTS)
     return parts.join(member.join(recurring, "template", "left_semi").select("part").distinct(), "part", "left_semi").select("sample_id", "experiment_group").distinct()
 

@@ -114,6 +114,16 @@ def test_defects(spark):
     assert {r.sample_id: r.defect for r in found.collect()} == {"empty": "empty", "null": "empty", "copy": "copy", "german": "wrong_language", "no0": "refusal", "no1": "refusal", "no2": "refusal"}
 
 
+def test_refusals_among_varied_openings(spark, monkeypatch):
+    monkeypatch.setattr(defects, "BAND", 8)
+    refusal, varied = "zu dieser anfrage gibt es nichts", "zu dieser anfrage gibt es gar nichts"
+    odd = [(f"r{i}", "g", f"source {i}", refusal) for i in range(2)] + [("v", "g", "source v", varied)]
+    # each band of the refusal is led by a part that shares only its least trigram
+    odd += [(f"d{c}{i}", "g", f"other {c}{i}", c + t[i : i + 3] + c) for c in "abcdefghijkl" for t in (refusal, varied) for i in range(len(t) - 2)]
+    table = spark.createDataFrame(odd, "sample_id string, experiment_group string, source_text string, opening string")
+    assert {"r0", "r1", "v"} <= {r.sample_id for r in defects.templates(table, 4, 1).collect()}
+
+
 def test_map_of_known_runs_grows_with_the_text(spark, monkeypatch):
     monkeypatch.setattr(defects, "KNOWN_BITS", 8)
     random.seed(4)
