@@ -176,16 +176,6 @@ found AS (SELECT doc_id, i, g FROM grams SEMI JOIN shared USING (g))
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": p1_found,
-        "p2_found": p2_found,
-        "p2_repaired": p2_repaired,
-        "p3_found": p3_found,
-        "p4_found": p4_found,
-        "p4_rates": p4_rates,
-        "p5_found": p5_found,
-        "p5_units": p5_units,
-        "p6_found": p6_found,
-        "p6_sections": p6_sections,
         "p7_found": SIMILAR,
         "p10_found": GRAMS + "SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM found a JOIN found b ON a.g = b.g AND a.doc_id < b.doc_id",
         "p10_shared": GRAMS
