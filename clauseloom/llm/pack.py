@@ -3,18 +3,20 @@
 Sizes are integers up to the capacity, so the number of texts of each size (a
 histogram of at most ``capacity`` entries, whatever the corpus) says all that a
 packing needs.  Each text is routed to the tier of the smallest context window that
-holds it (capacity, a half, a quarter, ...).  The plan walks the tiers from the
-longest: a container takes its tier's largest piece, then the gap is filled from
-the same and the shorter tiers, always by the largest size that fits.  A plan line
-(one pattern of sizes) stands for as many equal containers as the histogram allows,
-so the plan has at most about one line a size.  Texts find their container by their
-rank among the texts of their size, counted in salted groups, so that no task holds
-all texts of a hot size.
+holds it (capacity, a half, a quarter, ...).  Every tier is packed for itself first:
+a container takes the tier's largest pieces as long as one fits.  The gap it leaves
+is then filled from the shorter tiers in turn, from each the largest piece that
+fits, so that no tier is used up for the longer ones; with one tier this is plain
+best fit.  A plan line (one pattern of sizes) stands for as many equal containers as
+the histogram allows, so the plan has at most about one line a size.  Texts find
+their container by their rank among the texts of their size, counted in salted
+groups, so that no task holds all texts of a hot size; pieces that fill a container
+are numbered where they lie.
 
 A text above the capacity is split into full containers and one rest; nothing else
 is split.  Null and empty texts have size 0 and are spread over the containers.
-Containers are dealt to step groups in snake order of their fill, so that the
-groups hold nearly the same number of tokens.
+Containers are dealt to step groups back and forth, so that the groups hold nearly
+the same number of tokens.
 
 Defined cases: no rows -> no rows; repeated rows are packed each for itself (the
 rank breaks ties by the id and then arbitrarily, without a loss); only id and size
@@ -36,7 +38,13 @@ from clauseloom.session import cut
 CAPACITY = 2048
 TIERS = 4
 STEP = 8
-SALTS = 64
+#: Pieces of one size that a task ranks.
+SALTED = 1_000_000
+
+
+def tier_of(size: int, capacity: int, tiers: int) -> int:
+    """The tier of the smallest context window (capacity, a half, a quarter, ...) that holds a size."""
+    return min(tiers - 1, (capacity // size).bit_length() - 1)
 
 
 def plan(histogram: dict[int, int], capacity: int, tiers: int = TIERS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -45,39 +53,74 @@ def plan(histogram: dict[int, int], capacity: int, tiers: int = TIERS) -> list[t
     Sizes are 1 to capacity; every item of the histogram lies in exactly one container.
     """
     left = {s: n for s, n in histogram.items() if n > 0}
-    windows = [capacity >> t for t in range(tiers)]
-    order = sorted(left)
+    shelves: list[list[int]] = [[] for _ in range(tiers)]
+    for size in sorted(left):
+        shelves[tier_of(size, capacity, tiers)].append(size)
     lines = []
-    for tier, window in enumerate(windows):
-        least = windows[tier + 1] if tier + 1 < len(windows) else 0
-        while order and order[-1] > least:
-            lead, gap, used = order[-1], capacity, {}
-            while (at := bisect_right(order, gap) - 1) >= 0:
-                # the largest size that fits, as often as it fits
-                size = order[at]
-                while at >= 0 and used.get(order[at], 0) >= left[order[at]]:
+    for tier in range(tiers):
+        while shelves[tier]:
+            used: dict[int, int] = {}
+            gap = capacity
+
+            def take(shelf: list[int], most: int) -> int:
+                """Up to ``most`` of the shelf's largest size that fits and isn't used up."""
+                nonlocal gap
+                at = bisect_right(shelf, gap) - 1
+                while at >= 0 and used.get(shelf[at], 0) >= left[shelf[at]]:
                     at -= 1
                 if at < 0:
-                    break
-                size = order[at]
-                take = min(gap // size, left[size] - used.get(size, 0))
-                used[size] = used.get(size, 0) + take
-                gap -= take * size
-                if gap < order[0]:
-                    break
+                    return 0
+                size = shelf[at]
+                n = min(most, gap // size, left[size] - used.get(size, 0))
+                used[size] = used.get(size, 0) + n
+                gap -= n * size
+                return n
+
+            # the tier itself first, the largest before the smaller ones
+            while take(shelves[tier], capacity):
+                pass
+            # the gap goes to the shorter tiers in turn, one piece of each, so that no tier is used up for the others
+            while any([take(shelf, 1) for shelf in shelves[tier + 1 :]]):
+                pass
             times = min(left[s] // n for s, n in used.items())
             for s, n in used.items():
                 left[s] -= n * times
                 if not left[s]:
                     del left[s]
-                    order.remove(s)
-            assert lead in used and window >= lead
+                    shelves[tier_of(s, capacity, tiers)].remove(s)
             lines.append((tuple(sorted(used.items(), reverse=True)), times))
     return lines
 
 
-def pack(sizes: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, tiers: int = TIERS, step: int = STEP, salts: int = SALTS) -> DataFrame:
-    """id, piece, pieces, piece_start, piece_size, tier, container_id, step_group of each piece of (id, size)."""
+def _numbered(full: DataFrame, first: int = 0) -> DataFrame:
+    """full with container_id, counting from ``first``: each part counts for itself, from where the parts before it end.
+
+    ``full`` reads a checkpoint, whose parts stay the same however often they are read.
+    """
+    # one row a part
+    counts = {r["part"]: r["count"] for r in full.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+    starts, at = {}, first
+    for part in sorted(counts):
+        starts[part] = at
+        at += counts[part]
+    kinds = ", ".join(f"`{n}` {k}" for n, k in full.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at = starts.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names, "container_id"])
+            at += batch.num_rows
+
+    return full.mapInArrow(run, f"{kinds}, container_id long")
+
+
+def pack(sizes: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, tiers: int = TIERS, step: int = STEP, salted: int = SALTED) -> DataFrame:
+    """id, piece, pieces, piece_start, piece_size, tier, container_id, step_group of each piece of (id, size).
+
+    ``sizes`` is read several times and should be materialised.
+    """
     whole = F.floor(F.col("size") / capacity).cast("int")
     rest = F.col("size") % capacity
     count = F.when(F.col("size") == 0, 1).otherwise(whole + (rest > 0).cast("int"))
@@ -87,24 +130,23 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, tie
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         .withColumn("piece_start", F.col("piece") * capacity)
         .withColumn("piece_size", F.least(F.col("size") - F.col("piece_start"), F.lit(capacity)))
-        .withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
         .drop("size")
     )
-    # At most (capacity + 1) * salts rows, whatever the corpus.
-    counts = pieces.groupBy("piece_size", "salt").count().collect()
-    each: dict[int, dict[int, int]] = {}
-    for row in counts:
-        each.setdefault(row["piece_size"], {})[row["salt"]] = row["count"]
-    before, histogram = {}, {}
-    for size, by_salt in each.items():
-        total = 0
-        for salt in sorted(by_salt):
-            before[size * salts + salt] = total
-            total += by_salt[salt]
-        histogram[size] = total
-    full = histogram.pop(capacity, 0)
+    part = pieces.where(F.col("piece_size") < capacity)
+    # at most ``capacity`` rows
+    histogram = {r["piece_size"]: r["count"] for r in part.groupBy("piece_size").count().collect()}
+    # a hot size is ranked in as many groups as it needs
+    salts = max(1, -(-max(histogram.values(), default=0) // salted))
+    part = part.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)).cast("int"))
+    offsets = np.zeros(capacity * salts, np.int64)
+    if salts > 1:
+        # at most ``capacity`` x ``salts`` rows, which is less than twice the rows over ``salted``
+        for row in part.groupBy("piece_size", "salt").count().collect():
+            offsets[row["piece_size"] * salts + row["salt"]] = row["count"]
+        by_size = offsets.reshape(capacity, salts)
+        offsets = (np.cumsum(by_size, axis=1) - by_size).ravel()
     empty = histogram.pop(0, 0)
-    lines = ([(((capacity, 1),), full)] if full else []) + plan(histogram, capacity, tiers)
+    lines = plan(histogram, capacity, tiers)
     # For each size, runs of ranks: from the run's start, `per` ranks to each container from `first` on.
     sizes_, starts, firsts, pers, seen, at = [], [], [], [], {}, 0
     for pattern, times in lines:
@@ -115,13 +157,11 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, tie
             pers.append(per)
             seen[size] = seen.get(size, 0) + per * times
         at += times
-    containers = max(at, 1 if empty else 0)
+    planned = max(at, 1 if empty else 0)
     order = np.lexsort((starts, sizes_)) if sizes_ else np.array([], int)
     runs = [np.array(x, np.int64)[order] for x in (sizes_, starts, firsts, pers)]
-    offsets = np.zeros((capacity + 1) * salts, np.int64)
-    for key, n in before.items():
-        offsets[key] = n
-    groups = max(1, -(-containers // step))
+    # a piece that fills a container needs no rank
+    full = _numbered(pieces.where(F.col("piece_size") == capacity), planned)
     shared = sizes.sparkSession.sparkContext.broadcast((runs, offsets))
     big = 1 << 44
 
@@ -131,22 +171,26 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, tie
         for batch in batches:
             size, salt, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("piece_size", "salt", "rank"))
             rank = offset[size.astype(np.int64) * salts + salt] + rank - 1
-            container = rank % max(containers, 1)  # where the size is 0
+            container = rank % max(planned, 1)  # where the size is 0
             some = size > 0
             run = np.searchsorted(keys, size[some].astype(np.int64) * big + rank[some], "right") - 1
             container[some] = run_first[run] + (rank[some] - run_start[run]) // run_per[run]
-            lap, seat = np.divmod(container, groups)
-            group = np.where(lap % 2 == 0, seat, groups - 1 - seat)
-            tier = np.minimum(tiers - 1, np.floor(np.log2(capacity / np.maximum(size, 1))).astype(np.int32))
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, "piece", "pieces", "piece_start", "piece_size")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(tier.astype(np.int32)), pa.array(container.astype(np.int64)), pa.array(group.astype(np.int64))],
-                names=[id_col, "piece", "pieces", "piece_start", "piece_size", "tier", "container_id", "step_group"],
-            )
-
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("piece_size", "salt").orderBy(id_col, "piece")).cast("long"))
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in (id_col, "pieces", "piece", "piece_start", "piece_size")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(container.astype(np.int64))], names=[id_col, "pieces", "piece", "piece_start", "piece_size", "container_id"])
+
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("piece_size", "salt").orderBy(id_col, "piece")).cast("long"))
     kind = dict(sizes.dtypes)[id_col]
-    return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece int, pieces int, piece_start int, piece_size int, tier int, container_id long, step_group long")
+    placed = ranked.mapInArrow(place, f"`{id_col}` {kind}, pieces int, piece int, piece_start int, piece_size int, container_id long").unionByName(full)
+    # containers are dealt to the groups back and forth: planned ones come with the longest tiers first, full ones behind them
+    n_full = full.select(F.count("*")).first()[0]
+    groups = max(1, -(-(planned + n_full) // step))
+    lap, seat = F.floor(F.col("container_id") / groups), F.col("container_id") % groups
+    ratio = F.floor(F.lit(capacity) / F.greatest("piece_size", F.lit(1)))
+    tier = F.least(F.lit(tiers - 1), F.length(F.conv(ratio.cast("string"), 10, 2)) - 1)
+    return placed.select(
+        id_col, "piece", "pieces", "piece_start", "piece_size", tier.cast("int").alias("tier"), "container_id",
+        F.when(lap % 2 == 0, seat).otherwise(groups - 1 - seat).cast("long").alias("step_group"),
+    )
 
 
 def packed(documents: DataFrame, tokenizers: str, capacity: int = CAPACITY) -> DataFrame:
