@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm.chars import CYRILLIC, GREEK, WHITE
 
-BREAK, JOIN = "\ue0ff", "\ue0fe"
+BREAK, JOIN, EDGE = "\ue0ff", "\ue0fe", "\ue0fd"
 STOPS = ".!?…。！？؟"
 MASKS = "".join(chr(0xE001 + i) for i in range(len(STOPS)))
 DOT = MASKS[0]
+#: What is used here, and where a text's own such characters are kept meanwhile.
+OURS = MASKS + EDGE + JOIN + BREAK
+ASIDE = "".join(chr(0x10FF00 + i) for i in range(len(OURS)))
 IGNORED = "\xad\u200b-\u200f\u2060\ufeff\u0300-\u036f"
 W = f"[{WHITE}]"
 I = f"[{IGNORED}]*"
@@ -52,7 +55,7 @@ THAI_CONTINUES = (
     "อาจเพิกถอน ขนาด รวมถึง สำหรับ(?!รถที่) ซึ่ง ที่ หรือ เดือน ปี ตาม(?!ที่) จึง"
 )
 #: A clause that opens a sentence; with the number or the words up to the next space.
-THAI_OPENS = "ตามที่อธิบายในข้อ{W}*[0-9.]+ โดยไม่คำนึงถึงข้อ{W}*[0-9.]+ สำหรับรถที่ได้รับการรับรองหลัง{W}*[0-9]+ ในกรณีของ{T} เว้นแต่ติดตั้ง{T} ในระหว่างการทดสอบ {T}ต้องแห้ง เช่น"
+THAI_OPENS = "ตามที่อธิบายในข้อ{W}*[0-9.]+ โดยไม่คำนึงถึงข้อ{W}*[0-9.]+ สำหรับรถที่ได้รับการรับรองหลัง{W}*[0-9]+ ในกรณีของ{T} เว้นแต่ติดตั้ง{T} ในระหว่างการทดสอบ ต้องแห้ง เช่น"
 THAI_NUMBER = "ข้อ"
 
 _SAME: dict[str, str] = {}
@@ -85,17 +88,26 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _tail_masked(text: Column, pair: str, change) -> Column:
-    """The text with ``change`` made to what follows an opening quotation mark that is never closed."""
+def within(text: Column, pattern: str, change) -> Column:
+    """The text with change(match) put for each match of the pattern; every character is looked at once."""
+    # (a compiled pattern serves all rows of a replacement, but one row of a split; matches are the odd pieces)
+    pieces = F.split(F.regexp_replace(text, pattern, f"{EDGE}$0{EDGE}"), EDGE)
+    return F.array_join(F.transform(pieces, lambda piece, i: F.when(i % 2 == 1, change(piece)).otherwise(piece)), "")
+
+
+def _quoted(text: Column, pair: str, change) -> Column:
+    """The text with change(..) made to each quotation up to its last stop and closing mark; a quotation that is never closed runs to the end."""
     opening, closing = pair
-    pattern = rf"{opening}[^{opening}{closing}]{{0,80}}$"
-    return let(
-        text,
-        lambda t: let(
-            F.regexp_extract(t, pattern, 0),
-            lambda tail: F.when(tail == "", t).otherwise(F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(tail)), change(tail))),
-        ),
-    )
+    mark, inner = f"[{opening}{closing}]", f"[^{opening}{closing}]*"
+    last = rf"[{STOPS}]?{I}{closing}$"
+
+    def closed(q: Column) -> Column:
+        return let(F.regexp_extract(q, last, 0), lambda tail: F.concat(change(F.substring(q, F.lit(1), F.length(q) - F.length(tail))), tail))
+
+    def change_all(t: Column) -> Column:
+        return within(t, rf"{opening}{inner}(?:{closing}|$)", lambda q: F.when(q.endswith(closing), closed(q)).otherwise(change(q)))
+
+    return F.when(text.rlike(mark), let(text, change_all)).otherwise(text)
 
 
 def _mask(text: Column, pattern: str) -> Column:
@@ -104,26 +116,25 @@ def _mask(text: Column, pattern: str) -> Column:
 
 def _inside_quotes(text: Column, pair: str) -> Column:
     """Stops within a quotation masked, but the last one before its closing; so are those behind a quotation that is never closed."""
-    opening, closing = pair
-    for stop, mask in zip(STOPS, MASKS):
-        text = F.regexp_replace(text, rf"\Q{stop}\E(?=[^{opening}{closing}]+{closing})(?!{I}{closing})", mask)
-    return _tail_masked(text, pair, lambda tail: F.translate(tail, STOPS, MASKS))
+    return _quoted(text, pair, lambda q: F.translate(q, STOPS, MASKS))
+
+
+def _figures(text: Column, before: str = "") -> Column:
+    """Stops of decimals and codes masked, and that of a clause number at the head."""
+    few = I.replace("*", "{0,3}")
+    text = _mask(text, rf"\.(?={I}{DIGIT})(?<=(?:{DIGIT}|\p{{Lu}}){few}\.)")
+    return F.regexp_replace(text, rf"^({W}*{before}(?:\p{{Lu}}{I}{DOT})?{DIGIT}+(?:[{IGNORED}{DOT}]*{DIGIT})*{I})\.(?={I}{W})", f"$1{DOT}")
 
 
 def _masked(text: Column, lang: str) -> Column:
-    text = _mask(text, rf"(?<={DIGIT}{I.replace('*', '{0,3}')})\.(?={I}{DIGIT})")
-    text = _mask(text, rf"(?<=\p{{Lu}}{I.replace('*', '{0,3}')})\.(?={I}{DIGIT})")
-    text = F.regexp_replace(text, rf"^({W}*(?:\p{{Lu}}{I}{DOT})?{DIGIT}+(?:[{IGNORED}{DOT}]*{DIGIT})*{I})\.(?={I}{W})", f"$1{DOT}")
-    text = _mask(text, r"(?<=(?:https?://|www\.)[^\s]{0,200})\.(?=[\p{L}\p{N}])")
-    text = _mask(text, rf"(?<=(?:^|[^0-9\s]{W}{{1,2}})\p{{Lu}})\.(?={W}+\p{{Lu}}\p{{L}})(?<!(?:^|[^0-9\s]{W}{{1,2}})[NVKCWAН]\.)")
-    single = [w for w in ABBREVIATIONS[lang].split() if "." not in w]
-    if single:
-        text = F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{M}}])((?:{'|'.join(map(loose, single))}))\.", f"$1{DOT}")
-    for word in ABBREVIATIONS[lang].split():
-        if "." in word:
-            head, tail = word.split(".", 1)
-            rest = loose(tail).replace(f"([.{DOT}])", f"[.{DOT}]")
-            text = F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{M}}])({loose(head)})[.{DOT}]({W}*{rest})[.{DOT}]", f"$1{DOT}$2{DOT}")
+    text = _figures(text)
+    address = r"(?:https?://|www\.)\S+"
+    text = F.when(text.rlike("://|www\\."), let(text, lambda t: within(t, address, lambda u: F.regexp_replace(u, r"\.(?=[\p{L}\p{N}])", DOT)))).otherwise(text)
+    # (the stop first: what stands before it is only looked at where there is one)
+    text = _mask(text, rf"\.(?={W}+\p{{Lu}}\p{{L}})(?<=(?:^|[^0-9\s]{W}{{1,2}})\p{{Lu}}\.)(?<!(?:^|[^0-9\s]{W}{{1,2}})[NVKCWAН]\.)")
+    word = rf"(?<![\p{{L}}\p{{M}}])(?=[\p{{L}}\p{{M}}{IGNORED}°º\-]++[.{DOT}])"
+    parts = [loose(w).replace(f"([.{DOT}])", f"[.{DOT}]") for w in sorted(ABBREVIATIONS[lang].split(), key=len, reverse=True)]
+    text = let(text, lambda t: within(t, rf"(?iu){word}(?:{'|'.join(parts)})[.{DOT}]", lambda m: F.translate(m, ".", DOT)))
     return _inside_quotes(text, QUOTES[lang])
 
 
@@ -136,7 +147,7 @@ def _latin(text: Column, lang: str) -> Column:
     text = F.regexp_replace(text, rf"([.!?…]+{I}[{closer}]+{I})(?={W})(?!{W}+(?iu:{goes_on})(?![\p{{L}}])){_behind(start)}", f"$1{BREAK}")
     text = F.regexp_replace(text, rf"([.!?…]+{I}[)\]]*{I})(?={W}){_behind(start)}", f"$1{BREAK}")
     # a space left out: a word, a stop and a capitalised word
-    return F.regexp_replace(text, rf"(?<=[\p{{Ll}}\p{{N}}{closer}])([.!?…]+[{closer})]*)(?=[¿¡«“„]?\p{{Lu}}[\p{{Ll}}'’ ])", f"$1{BREAK}")
+    return F.regexp_replace(text, rf"([.!?…](?<=[\p{{Ll}}\p{{N}}{closer}].)[.!?…]*[{closer})]*)(?=[¿¡«“„]?\p{{Lu}}[\p{{Ll}}'’ ])", f"$1{BREAK}")
 
 
 def _behind(start: str) -> str:
@@ -144,19 +155,12 @@ def _behind(start: str) -> str:
 
 
 def _arabic(text: Column) -> Column:
-    text = _masked_arabic(text)
+    text = _inside_quotes(_figures(text, rf"(?:المادة{W}+)?"), QUOTES["ar"])
     goes_on = "|".join(CONTINUES["ar"].split())
     start = rf"(?=[«\"(\[{IGNORED}]*[\p{{L}}])"
     text = F.regexp_replace(text, rf"([.!?؟…]+{I}[»\"”]+{I})(?={W})(?!{W}+(?:{goes_on})(?![\p{{L}}\p{{M}}])){_behind(start)}", f"$1{BREAK}")
     text = F.regexp_replace(text, rf"([.!?؟…]+{I}[)\]]*{I})(?={W}){_behind(start)}", f"$1{BREAK}")
-    return F.regexp_replace(text, r"(?<=[\p{L}\p{M}\p{N}]{2})([.!?؟…]+)(?=\p{IsArabic}{2})", f"$1{BREAK}")
-
-
-def _masked_arabic(text: Column) -> Column:
-    text = _mask(text, rf"(?<={DIGIT}{I.replace('*', '{0,3}')})\.(?={I}{DIGIT})")
-    text = _mask(text, rf"(?<=\p{{Lu}}{I.replace('*', '{0,3}')})\.(?={I}{DIGIT})")
-    text = F.regexp_replace(text, rf"^({W}*(?:المادة{W}+)?(?:\p{{Lu}}{I}{DOT})?{DIGIT}+(?:[{IGNORED}{DOT}]*{DIGIT})*{I})\.(?={I}{W})", f"$1{DOT}")
-    return _inside_quotes(text, QUOTES["ar"])
+    return F.regexp_replace(text, r"([.!?؟…](?<=[\p{L}\p{M}\p{N}]{2}.)[.!?؟…]*)(?=\p{IsArabic}{2})", f"$1{BREAK}")
 
 
 def _chinese(text: Column) -> Column:
@@ -167,10 +171,8 @@ def _chinese(text: Column) -> Column:
 
 
 def _thai(text: Column) -> Column:
-    opening, closing = QUOTES["th"]
     thai = "\u0e00-\u0e7f"
-    text = _tail_masked(text, QUOTES["th"], lambda tail: F.regexp_replace(tail, rf"({W}+)", f"$1{JOIN}"))
-    text = F.regexp_replace(text, rf"({W}++)(?=[^{opening}{closing}]*{closing})", f"$1{JOIN}")
+    text = _quoted(text, QUOTES["th"], lambda q: F.regexp_replace(q, rf"({W}+)", f"$1{JOIN}"))
     number = rf"{W}*(?:{loose(THAI_NUMBER)}{W}+)?(?:\p{{Lu}}{I}[.．]?{I})?{DIGIT}[0-9０-９.．{IGNORED}]*"
     text = F.regexp_replace(text, rf"^({number})({W}++)(?!{JOIN})", f"$1$2{JOIN}")
     text = F.regexp_replace(text, rf"({W}++)(?=[^{thai}{JOIN}])", f"$1{JOIN}")
@@ -212,6 +214,8 @@ def _thai_loose(pattern: str) -> str:
 
 def marked(text: Column, lang: Column) -> Column:
     """The text with breaks between its sentences and masks on other stops."""
+    # a text may hold characters that are used here
+    text = F.when(text.rlike(f"[{OURS}]"), F.translate(text, OURS, ASIDE)).otherwise(text)
     out = F.when(lang == "zh", _chinese(text)).when(lang == "th", _thai(text)).when(lang == "ar", _arabic(text))
     for code in ("de", "fr", "es", "ru"):
         out = out.when(lang == code, _latin(text, code))
@@ -219,7 +223,9 @@ def marked(text: Column, lang: Column) -> Column:
 
 
 def restored(text: Column) -> Column:
-    return F.translate(F.translate(text, MASKS, STOPS), BREAK + JOIN, "")
+    """The text without breaks and with its own characters; those of the private use that it had itself come back."""
+    out = F.translate(F.translate(text, MASKS, STOPS), BREAK + JOIN, "")
+    return F.when(out.rlike(f"[{ASIDE}]"), F.translate(out, ASIDE, OURS)).otherwise(out)
 
 
 def units(rows: DataFrame, text: str, lang: Column, single: Column) -> DataFrame:
