@@ -1,7 +1,8 @@
 """clauseloom: multilingual clause, terminology and corpus analytics on Spark.
 
-Every operator is a function from DataFrames to a DataFrame; nothing runs until
-the caller asks for an action.
+Every operator is a function from DataFrames to a DataFrame; little runs until
+the caller asks for an action, but for steps that say so: they materialise what they
+read more than once, or ask for counts of a bounded size.
 """
 
 import sys

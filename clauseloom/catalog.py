@@ -1,4 +1,4 @@
-"""All core queries by name, with the SQL that states the same over whole tables."""
+"""The queries of the core over answers, terms, clauses, documents and probes, with the SQL that states the same over whole tables."""
 
 from __future__ import annotations
 
@@ -7,69 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clauseloom import statements as Q
+from clauseloom.functions import sections as S
 from clauseloom.functions import text as T
-from clauseloom.operators import joins, quality, terms
+from clauseloom.operators import cascade, joins, quality, stats, terms
+from clauseloom.registry import ALL, ANSWERS, CLAUSES, SCORES, answers, clauses, query, recall, scores
 from clauseloom.session import table
+from clauseloom.statements import clean, n_of, terminal
 from clauseloom.streaming import monitor
 
 FLAGSHIP = "tcr_group_summary"
-_ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _ALL[f.__name__] = (f, sql)
-        return f
-
-    return add
-
 
 # Pieces of SQL used by several statements.
-CJK = "[一-鿿]"
-
-
-def clean(c: str) -> str:
-    out = f"translate({c}, chr(160) || chr(1600), ' ')"
-    for pattern, to in (("\\(cid:[0-9]+\\)", ""), ("[\\x00-\\x1f]", " "), ("_{3,}", " "), (" +", " "), (f"({CJK}) ({CJK})", "\\1\\2"), (f"({CJK}) ({CJK})", "\\1\\2")):
-        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
-    return f"trim({out}, ' ')"
-
-
-def n_of(c: str, pattern: str) -> str:
-    return f"len(regexp_extract_all({c}, '{pattern}'))::INT"
-
-
-def terminal(c: str) -> str:
-    return f"coalesce(regexp_matches(trim({c}, ' '), '[.!?。！？؟]$'), false)"
-
-
+CJK = Q.CJK
 BUCKET = "CASE WHEN source_char_count < 80 THEN 'short' WHEN source_char_count <= 300 THEN 'medium' ELSE 'long' END"
 BAND = "CASE WHEN source_char_count < 100 THEN '<100' WHEN source_char_count < 200 THEN '100-199' WHEN source_char_count < 300 THEN '200-299' ELSE '300+' END"
-ANSWERS = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM tcr_check)"
-CLAUSES = "(SELECT DISTINCT * EXCLUDE (loaded_at) FROM prepare_da_pairs)"
-SCORES = "(SELECT DISTINCT * FROM b1_neardup_consistency)"
-KEY = f"""CASE WHEN coalesce(trim(section_no, ' '), '') = '' THEN NULL
- WHEN regexp_full_match(translate(trim(section_no, ' '), 'АВЕКМНОРСТХ', 'ABEKMHOPCTX'), '(?:[A-Z]\\.)?[0-9]{{1,3}}(?:\\.[0-9]{{1,3}}){{0,6}}') THEN 'num:' || translate(trim(section_no, ' '), 'АВЕКМНОРСТХ', 'ABEKMHOPCTX')
- WHEN regexp_extract(trim(section_no, ' '), '^(?:{T.ARTICLE})\\s*([A-Z]?[0-9]+[a-z]?(?:-[0-9]+)*)$', 1) <> '' THEN 'art:' || regexp_extract(trim(section_no, ' '), '^(?:{T.ARTICLE})\\s*([A-Z]?[0-9]+[a-z]?(?:-[0-9]+)*)$', 1)
- WHEN regexp_extract(trim(section_no, ' '), '^第\\s*([0-9]+)\\s*条$', 1) <> '' THEN 'art:' || regexp_extract(trim(section_no, ' '), '^第\\s*([0-9]+)\\s*条$', 1)
- ELSE 'raw:' || trim(section_no, ' ') END"""
-
-
-def answers(spark: SparkSession, d: str) -> DataFrame:
-    """Answers once each; a repeat differs in loaded_at only, so its key is enough to tell it."""
-    return table(spark, d, "tcr_check").dropDuplicates(["sample_id", "experiment_group"])
-
-
-def clauses(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "prepare_da_pairs").dropDuplicates(["sample_id"])
-
-
-def recall(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "term_recall").dropDuplicates(["sample_id"])
-
-
-def scores(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "b1_neardup_consistency").distinct()
+KEY = Q.section_key("section_no")
 
 
 # -- term consistency ---------------------------------------------------------------------------
@@ -85,8 +38,8 @@ def tcr_group_summary(s, d):
     )
 
 
-CHECKED = f"""SELECT sample_id, experiment_group, len(required_target_terms)::INT AS required,
- len(list_filter(required_target_terms, lambda t: contains(lower(coalesce(hypothesis, '')), lower(t)) OR contains(regexp_replace(lower(coalesce(hypothesis, '')), '\\s+', '', 'g'), regexp_replace(lower(t), '\\s+', '', 'g'))))::INT AS correct FROM {ANSWERS}"""
+CHECKED = f"""SELECT sample_id, experiment_group, len(targets)::INT AS required, (len(targets) - len(gone))::INT AS correct, array_to_string(gone, '|') AS missing
+ FROM (SELECT *, list_filter(targets, lambda t: NOT {Q.contains_term('h', 'tight', 't')}) AS gone FROM {Q.prepared(ANSWERS)})"""
 STATUS = "CASE WHEN required > 0 THEN round(correct * 100.0::DOUBLE / required, 4) END AS tcr, CASE WHEN required <= 0 THEN 'no_terms' WHEN correct = required THEN 'pass' ELSE 'fail' END AS status"
 
 
@@ -200,23 +153,33 @@ def number_consistency(s, d):
 
 @query()
 def character_error_rate(s, d):
-    """Without SQL: DuckDB's distance counts bytes, not characters."""
-    rows = answers(s, d).where("segment_type in ('title', 'list') and hypothesis is not null and length(ref_text) > 0")
-    n = F.levenshtein("hypothesis", "ref_text")
-    return rows.select("sample_id", "experiment_group", n.alias("distance"), (n / F.length("ref_text")).alias("cer"))
+    """Every answer with a reference, both without white space.  Without SQL: DuckDB's distance counts bytes, not characters."""
+    flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), f"[{T.SPACES}]+", "")
+    rows = answers(s, d).select("sample_id", "experiment_group", flat(F.col("hypothesis")).alias("h"), flat(F.col("ref_text")).alias("r")).where("r <> ''")
+    n = F.levenshtein("h", "r")
+    return rows.select("sample_id", "experiment_group", n.alias("distance"), (n / F.length("r")).alias("cer"))
 
 
 # -- terms ---------------------------------------------------------------------------------------
 
-USABLE = "(SELECT DISTINCT term_id, source_lang, priority, trim(source_term, ' ') AS source_term, trim(target_term, ' ') AS target_term FROM termbase WHERE coalesce(trim(source_term, ' '), '') <> '' AND coalesce(trim(target_term, ' '), '') <> '' AND status = 'active')"
+LANG = " ".join(f"""WHEN f IN ({", ".join(repr(x) for x in v.split("|"))}) THEN {k!r}""" for k, v in T.LANGUAGES.items())
+
 
+def code(c: str) -> str:
+    return f"(CASE {LANG.replace(' f IN', f" lower(regexp_replace(trim({c}, ' '), '[-_].*$', '')) IN").replace('WHEN f IN', f"WHEN lower(regexp_replace(trim({c}, ' '), '[-_].*$', '')) IN")} ELSE lower(trim({c}, ' ')) END)"
 
-@query(f"SELECT *, length(source_term)::INT AS n FROM {USABLE}")
+
+USABLE = f"""(SELECT DISTINCT * FROM (SELECT term_id, {code('source_lang')} AS source_lang, {code('target_lang')} AS target_lang, coalesce(nullif(lower(trim(priority, ' ')), ''), '') AS priority, coalesce(nullif(lower(trim(status, ' ')), ''), 'active') AS status,
+ trim(source_term, ' ') AS source_term, trim(target_term, ' ') AS target_term, list_filter(list_transform(regexp_split_to_array(coalesce(alias, ''), '[|;,\n]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS aliases FROM termbase)
+ WHERE status = 'active' AND coalesce(source_term, '') <> '' AND coalesce(target_term, '') <> '')"""
+
+
+@query(f"SELECT term_id, source_lang, target_lang, priority, status, source_term, target_term, array_to_string(aliases, ';') AS aliases, length(source_term)::INT AS n FROM {USABLE}")
 def termbase_usable(s, d):
-    return terms.usable(table(s, d, "termbase")).withColumn("n", F.length("source_term"))
+    return terms.usable(table(s, d, "termbase")).withColumn("aliases", F.array_join("aliases", ";")).withColumn("n", F.length("source_term"))
 
 
-@query("SELECT DISTINCT term_id, alias_ FROM (SELECT term_id, trim(unnest(regexp_split_to_array(coalesce(alias, ''), '[|;,\\n]+')), ' ') AS alias_ FROM termbase) WHERE alias_ <> ''")
+@query("SELECT DISTINCT term_id, alias_ FROM (SELECT term_id, trim(unnest(regexp_split_to_array(coalesce(alias, ''), '[|;,\n]+')), ' ') AS alias_ FROM termbase) WHERE alias_ <> ''")
 def termbase_aliases(s, d):
     return table(s, d, "termbase").select("term_id", F.explode(T.split_aliases(F.col("alias"))).alias("alias_")).distinct()
 
@@ -232,20 +195,28 @@ def termbase_profile(s, d):
     return table(s, d, "termbase").groupBy("source_lang", none("priority"), none("status")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT l.source_lang, count(*) AS gaps FROM (SELECT DISTINCT source_lang FROM {USABLE}) l CROSS JOIN (SELECT DISTINCT target_term FROM {USABLE}) t LEFT JOIN (SELECT DISTINCT source_lang, target_term FROM {USABLE}) h ON h.source_lang = l.source_lang AND h.target_term = t.target_term WHERE h.target_term IS NULL GROUP BY 1")
+OWN = f"(SELECT DISTINCT source_lang, target_term FROM {USABLE})"
+
+
+@query(f"SELECT l.source_lang, t.target_term FROM (SELECT DISTINCT source_lang FROM {OWN}) l CROSS JOIN (SELECT DISTINCT target_term FROM {OWN}) t ANTI JOIN {OWN} h ON h.source_lang = l.source_lang AND h.target_term = t.target_term")
 def termbase_gaps(s, d):
+    """The concepts that the terms of other languages have and a language's own don't."""
     own = terms.usable(table(s, d, "termbase")).select("source_lang", "target_term").distinct()
-    total = own.agg(F.count_distinct("target_term").alias("total"))
-    return own.groupBy("source_lang").agg(F.count("*").alias("own")).join(F.broadcast(total)).select("source_lang", (F.col("total") - F.col("own")).alias("gaps")).where("gaps > 0")
+    # as many languages as there are: a list of a few codes stands beside each concept
+    langs = own.groupBy().agg(F.sort_array(F.collect_set("source_lang")).alias("langs"))
+    return own.groupBy("target_term").agg(F.collect_set("source_lang").alias("have")).join(F.broadcast(langs)).select(F.explode(F.array_except("langs", "have")).alias("source_lang"), "target_term")
 
 
-SPOTS = f"""met AS (SELECT sample_id, term_id, priority, lower(source_text) AS t, lower(source_term) AS w, string_split(lower(source_text), lower(source_term)) AS p
- FROM (SELECT DISTINCT sample_id, source_lang, source_text FROM prepare_da_pairs) c JOIN {USABLE} u USING (source_lang) WHERE contains(lower(source_text), lower(source_term))),
+SPOTS = f"""listed AS (SELECT *, unnest([{{'m': source_term, 'a': 0}}] || list_transform(aliases, lambda x: {{'m': x, 'a': 1}})) AS x FROM {USABLE}),
+met AS (SELECT sample_id, term_id, priority, -length(source_term) AS n, x.m AS matched_text, x.a AS is_alias, lower(source_text) AS t, lower(x.m) AS w, string_split(lower(source_text), lower(x.m)) AS p,
+ regexp_matches(lower(x.m), '^[\\p{{L}}\\p{{N}}]') AND regexp_matches(lower(x.m), '[\\p{{L}}\\p{{N}}]$') AS bounded
+ FROM (SELECT DISTINCT sample_id, source_lang, source_text FROM prepare_da_pairs) c JOIN listed u USING (source_lang) WHERE contains(lower(source_text), lower(x.m))),
 spots AS (SELECT *, unnest(range(1, len(p))) AS i FROM met),
-placed AS (SELECT sample_id, term_id, priority, t, w, (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(w))::INT AS f FROM spots),
-found AS (SELECT sample_id, term_id, priority, f AS first, (f + length(w))::INT AS last FROM placed
- WHERE (f = 0 OR regexp_matches(substr(t, f, 1), '[^\\p{{L}}\\p{{N}}_]')) AND (f + length(w) = length(t) OR regexp_matches(substr(t, f + length(w)::INT + 1, 1), '[^\\p{{L}}\\p{{N}}_]')))"""
-KEPT = "SELECT sample_id, term_id, priority, first, last FROM found a WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.sample_id = a.sample_id AND b.first <= a.first AND b.last >= a.last AND (b.first < a.first OR b.last > a.last))"
+placed AS (SELECT * EXCLUDE (p, i), (list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(w))::INT AS first FROM spots),
+found AS (SELECT sample_id, term_id, priority, n, matched_text, is_alias, first, (first + length(w))::INT AS last FROM placed
+ WHERE NOT bounded OR ((first = 0 OR regexp_matches(substr(t, first, 1), '[^\\p{{L}}\\p{{N}}_]')) AND (first + length(w) = length(t) OR regexp_matches(substr(t, first + length(w)::INT + 1, 1), '[^\\p{{L}}\\p{{N}}_]')))),
+kept AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, first, last ORDER BY is_alias, n, term_id) AS k FROM found a
+ WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.sample_id = a.sample_id AND b.first <= a.first AND b.last >= a.last AND (b.first < a.first OR b.last > a.last))) WHERE k = 1)"""
 
 
 def _spots(s, d):
@@ -253,32 +224,75 @@ def _spots(s, d):
     return terms.longest(terms.occurrences(texts, terms.usable(table(s, d, "termbase"))))
 
 
-@query(f"WITH {SPOTS} {KEPT}")
+@query(f"WITH {SPOTS} SELECT sample_id, term_id, priority, is_alias::INT AS is_alias, first, last FROM kept")
 def term_occurrences(s, d):
-    return _spots(s, d)
+    return _spots(s, d).select("sample_id", "term_id", "priority", "is_alias", "first", "last")
+
+
+@query(f"WITH {SPOTS} SELECT sample_id, term_id, priority, matched_text, CASE WHEN is_alias = 1 THEN 'alias' ELSE 'source_term' END AS matched_by FROM kept QUALIFY row_number() OVER (PARTITION BY sample_id, term_id ORDER BY first - last, is_alias, first) = 1")
+def matched_terms(s, d):
+    return terms.matched(_spots(s, d))
 
 
-@query(f"WITH {SPOTS}, kept AS ({KEPT}) SELECT sample_id, count(DISTINCT term_id) AS matched, count(DISTINCT term_id) FILTER (priority = 'high') AS high FROM kept GROUP BY 1")
+@query(f"WITH {SPOTS} SELECT sample_id, count(DISTINCT term_id) AS matched, count(DISTINCT term_id) FILTER (priority = 'high') AS high FROM kept GROUP BY 1")
 def term_match_counts(s, d):
     return _spots(s, d).groupBy("sample_id").agg(F.count_distinct("term_id").alias("matched"), F.count_distinct(F.when(F.col("priority") == "high", F.col("term_id"))).alias("high"))
 
 
-@query("""SELECT DISTINCT sample_id, len(list_filter(matched_terms, lambda x: x.priority = 'high' AND coalesce(x.status, 'active') = 'active'))::INT AS hard, len(list_filter(matched_terms, lambda x: coalesce(x.status, 'active') = 'review'))::INT AS review,
- len(list_filter(matched_terms, lambda x: x.priority <> 'high' AND coalesce(x.status, 'active') = 'active'))::INT AS soft,
- coalesce((SELECT string_agg(t, '|' ORDER BY i) FROM (SELECT t, min(i) AS i FROM (SELECT unnest(list_transform(list_filter(matched_terms, lambda x: x.priority = 'high' AND coalesce(x.status, 'active') = 'active'), lambda x: x.target_term)) AS t, generate_subscripts(list_filter(matched_terms, lambda x: x.priority = 'high' AND coalesce(x.status, 'active') = 'active'), 1) AS i) GROUP BY t)), '') AS targets FROM term_recall""")
+HARD = f"(SELECT * FROM {USABLE} WHERE priority = 'high')"
+
+
+@query(f"""WITH hard AS {HARD}, said AS (SELECT source_lang, lower(target_term) AS key, lower(w) AS w FROM (SELECT source_lang, target_term, unnest([source_term] || aliases) AS w FROM hard)),
+wanted AS (SELECT sample_id, experiment_group, source_lang, lower(source_text) AS t, unnest(required_target_terms) AS target FROM {ANSWERS}),
+told AS (SELECT sample_id, experiment_group, list_sort(list_distinct(list(target))) AS l FROM wanted a JOIN said b ON a.source_lang = b.source_lang AND lower(trim(a.target, ' ')) = b.key AND contains(t, w) GROUP BY 1, 2),
+{SPOTS.replace(USABLE, 'hard')},
+recalled AS (SELECT sample_id, list_sort(list_distinct(list(h.target_term))) AS r FROM (SELECT DISTINCT sample_id, term_id FROM found) JOIN hard h USING (term_id) GROUP BY 1)
+SELECT sample_id, experiment_group, CASE WHEN l IS NOT NULL THEN 'listed' WHEN r IS NOT NULL THEN 'recalled' ELSE 'none' END AS origin, array_to_string(coalesce(l, r, []), '|') AS terms
+FROM (SELECT DISTINCT sample_id, experiment_group FROM tcr_check) LEFT JOIN told USING (sample_id, experiment_group) LEFT JOIN recalled USING (sample_id)""")
+def required_terms(s, d):
+    return terms.required(answers(s, d), terms.usable(table(s, d, "termbase")))
+
+
+@query(f"""SELECT experiment_group, given, kind, count(*) AS n FROM (SELECT experiment_group, f.error_type AS given,
+ CASE WHEN len(list_filter(own, lambda a: {Q.contains_term('h', 'tight', 'a')})) > 0 THEN 'alias_only'
+  WHEN (length(han) >= 4 AND len(list_filter(range(1, greatest(length(han) - m + 1, 1) + 1), lambda i: contains(h, substr(han, i, m)))) > 0) OR len(list_filter(regexp_split_to_array(target, '[\\s\\-/()（）,，;；:：]+'), lambda w: length(w) >= 2 AND {Q.contains_term('h', 'tight', 'w')})) > 0 THEN 'partial'
+  WHEN {Q.contains_term('h', 'tight', 'source')} THEN 'wrong_translation' ELSE 'missing' END AS kind
+ FROM (SELECT *, greatest(2, length(han) // 3)::INT AS m, list_filter(al, lambda a, i: a <> target AND list_position(list_transform(list_filter(al, lambda y: y <> target), lambda y: lower(y)), lower(a)) IS NOT NULL) || CASE WHEN source <> '' AND source <> target AND length(source) <= 20 THEN [source] ELSE [] END AS own
+  FROM (SELECT experiment_group, h, tight, f, coalesce(trim(f.source_term, ' '), '') AS source, coalesce(trim(f.required_target_term, ' '), '') AS target, regexp_replace(coalesce(trim(f.required_target_term, ' '), ''), '[^一-鿿]+', '', 'g') AS han,
+   coalesce(al, []) AS al FROM (SELECT experiment_group, h, tight, unnest(failed_terms) AS f FROM {Q.prepared(ANSWERS)}) LEFT JOIN (SELECT term_id AS tid, arg_min(aliases, (source_lang, source_term)) AS al FROM {USABLE} GROUP BY 1) ON tid = f.term_id))) GROUP BY ALL""")
+def failure_kinds_by_rule(s, d):
+    return terms.failure_kinds(answers(s, d), terms.usable(table(s, d, "termbase"))).groupBy("experiment_group", "given", "kind").agg(F.count("*").alias("n"))
+
+
+SUFFIXES = ("s", "es", "en", "er", "e", "n", "а", "ы", "и", "у", "ой", "ом", "ами", "ов")
+
+
+@query()
+def tolerant_matches(s, d):
+    """Without SQL: tested against a loop."""
+    texts = table(s, d, "prepare_da_pairs").select("sample_id", "source_lang", "source_text").dropDuplicates(["sample_id"])
+    return terms.tolerant_impact(texts, terms.usable(table(s, d, "termbase")), SUFFIXES)
+
+
+_STATUS, _PRIORITY = "lower(coalesce(nullif(x.status, ''), 'active'))", "lower(coalesce(x.priority, ''))"
+_TIER = {"hard": f"{_PRIORITY} = 'high' AND {_STATUS} = 'active'", "review": f"({_STATUS} = 'review' OR ({_STATUS} = 'active' AND {_PRIORITY} = 'medium'))", "soft": f"{_PRIORITY} = 'low' AND {_STATUS} = 'active'"}
+
+
+@query(f"""SELECT DISTINCT sample_id, {', '.join(f"coalesce(len(list_filter(matched_terms, lambda x: {c})), -1)::INT AS {n}" for n, c in _TIER.items())},
+ coalesce(array_to_string(list_filter(ts, lambda t, i: list_position(ts, t) = i), '|')) AS targets FROM (SELECT *, list_filter(list_transform(list_filter(matched_terms, lambda x: {_TIER['hard']}), lambda x: trim(x.target_term, ' ')), lambda t: t <> '') AS ts FROM term_recall)""")
 def term_tiers(s, d):
     return terms.tiers(recall(s, d))
 
 
 @query(f"SELECT kind, count(*) AS n FROM (SELECT DISTINCT sample_id, section_no, {KEY} AS k, split_part({KEY}, ':', 1) AS kind FROM term_recall) WHERE k IS NOT NULL GROUP BY 1")
 def section_key_kinds(s, d):
-    keyed = recall(s, d).withColumn("k", T.section_key(F.col("section_no"))).where("k is not null")
+    keyed = recall(s, d).withColumn("k", S.section_key(F.col("section_no"))).where("k is not null")
     return keyed.groupBy(F.substring_index("k", ":", 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT DISTINCT sample_id, section_no, {KEY} AS section_key FROM term_recall")
 def section_keys(s, d):
-    return recall(s, d).select("sample_id", "section_no", T.section_key(F.col("section_no")).alias("section_key"))
+    return recall(s, d).select("sample_id", "section_no", S.section_key(F.col("section_no")).alias("section_key"))
 
 
 # -- clauses -------------------------------------------------------------------------------------
@@ -289,7 +303,7 @@ def cleaned_texts(s, d):
     return clauses(s, d).select("sample_id", T.clean(F.col("source_text")).alias("source"), T.clean(F.col("ref_text")).alias("ref"))
 
 
-@query(f"SELECT sample_id, {n_of('ref_text', CJK)} AS cjk, CASE WHEN length(source_text) > 0 THEN {n_of('source_text', '[\\p{L}\\p{N}]')} / length(source_text) ELSE 0 END AS good FROM {CLAUSES}")
+@query(f"SELECT sample_id, {n_of('ref_text', CJK)} AS cjk, {Q.good('source_text')} AS good FROM {CLAUSES}")
 def character_ratios(s, d):
     return clauses(s, d).select("sample_id", T.count(F.col("ref_text"), T.CJK).alias("cjk"), T.good_ratio(F.col("source_text")).alias("good"))
 
@@ -314,44 +328,32 @@ def alignment_counts(s, d):
     return clauses(s, d).groupBy(*keys).agg(F.count("*").alias("n"))
 
 
-SECTION = " ".join(f"nullif(regexp_extract(source_text, '{p}', 1), '')," for p in (r"^\s*([0-9]{1,3}(?:\.[0-9]{1,3}){1,6})(?:[.)]|\s|$)", r"^\s*([A-ZА-Я](?:\.[0-9]{1,3}){1,4})(?:[.)]|\s|$)", rf"^\s*((?:{T.ARTICLE})\s*[A-Z]?[0-9]+[a-z]?(?:-[0-9]+)*)", r"^\s*(第\s*[0-9]+\s*[章节条款])"))
-
-
-@query(f"SELECT sample_id, coalesce({SECTION} NULL) AS found FROM {CLAUSES}")
+@query(f"SELECT sample_id, {Q.section_no('source_text')} AS found FROM {CLAUSES}")
 def section_numbers(s, d):
-    return clauses(s, d).select("sample_id", T.section_no(F.col("source_text")).alias("found"))
+    return clauses(s, d).select("sample_id", S.section_no(F.col("source_text")).alias("found"))
 
 
-@query(f"""SELECT segment_type, CASE WHEN regexp_matches(source_text, '(?i)^\\s*(?:table|tabla|tabelle|tableau|таблица|表)') THEN 'table' WHEN regexp_matches(source_text, '(?i)^\\s*(?:note|nota|remarque|примечание|注)') THEN 'note'
- WHEN regexp_matches(source_text, '^\\s*[-*•●▪]') THEN 'list' WHEN coalesce(trim(section_no, ' '), '') <> '' THEN 'paragraph'
- WHEN length(source_text) <= 120 AND NOT regexp_matches(source_text, '[。.!?！？;；]$') AND {n_of('source_text', '\\p{L}')} > 0 AND {n_of('source_text', '\\p{Lu}')} > 0.65 * {n_of('source_text', '\\p{L}')} THEN 'title' ELSE 'paragraph' END AS by_rule, count(*) AS n FROM {CLAUSES} GROUP BY ALL""")
+@query(f"SELECT segment_type, {Q.segment_type('source_text', "coalesce(trim(section_no, ' '), '') <> ''")} AS by_rule, count(*) AS n FROM {CLAUSES} GROUP BY ALL")
 def segment_types(s, d):
     has = F.coalesce(F.trim("section_no"), F.lit("")) != ""
     return clauses(s, d).groupBy("segment_type", T.segment_type(F.col("source_text"), has).alias("by_rule")).agg(F.count("*").alias("n"))
 
 
-SRC, REF = clean("coalesce(source_text, '')"), clean("coalesce(ref_text, '')")
-REASONED = f"""(SELECT *, s AS cs, r AS cr, CASE WHEN coalesce(document_id, '') = '' THEN 'missing_required_fields' WHEN NOT coalesce(alignment_method IN ('exact_section', 'exact_section_scoped'), false) THEN 'non_exact_section'
- WHEN coalesce(alignment_confidence, '') <> 'high' THEN 'non_high_confidence' WHEN NOT coalesce(use_for_da, false) THEN 'use_for_da_not_true' WHEN coalesce(trim(section_no, ' '), '') = '' THEN 'missing_section_no'
- WHEN s = '' OR r = '' THEN 'missing_source_or_ref' WHEN length(s) < 30 THEN 'source_too_short' WHEN length(r) < 15 THEN 'ref_too_short'
- WHEN length(r)::DOUBLE / greatest(length(s), 1) < 0.10 OR length(r)::DOUBLE / greatest(length(s), 1) > 1.50 THEN 'length_ratio_abnormal' WHEN NOT {terminal('s')} OR NOT {terminal('r')} THEN 'possible_truncation' ELSE 'ok' END AS reason
- FROM (SELECT *, {SRC} AS s, {REF} AS r FROM {CLAUSES}))"""
+REASONED = Q.prefiltered(CLAUSES)
 
 
 @query(f"SELECT reason, count(*) AS n FROM {REASONED} GROUP BY 1")
 def prefilter_reasons(s, d):
-    return clauses(s, d).groupBy(quality.prefilter_reason().alias("reason")).agg(F.count("*").alias("n"))
+    return cascade.prefiltered(clauses(s, d)).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT sample_id, document_id, scope, section_no, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id, scope, section_no ORDER BY score DESC, sample_id) AS rank FROM (SELECT sample_id, document_id, coalesce(scope, '') AS scope, section_no,
- round(10.0::DOUBLE - abs(length(r)::DOUBLE / greatest(length(s), 1) - 0.55) + least(length(s), 240)::DOUBLE / 240 + least(length(r), 140)::DOUBLE / 140 + CASE WHEN {terminal('s')} AND {terminal('r')} THEN 1.0 ELSE 0.0 END, 6) AS score FROM {REASONED} WHERE reason = 'ok')) WHERE rank = 1""")
+ round(10.0::DOUBLE - abs(length(r)::DOUBLE / greatest(length(s), 1) - 0.55) + least(length(s), 240)::DOUBLE / 240 + least(length(r), 140)::DOUBLE / 140 + CASE WHEN {Q.complete_end('s')} AND {Q.strict_end('r')} THEN 1.0 ELSE 0.0 END, 6) AS score FROM {REASONED} WHERE reason = 'ok')) WHERE rank = 1""")
 def best_candidates(s, d):
     return quality.best_per_clause(clauses(s, d))
 
 
-LEDGER = f"""(SELECT sample_id, array_to_string(hit, ',') AS rules FROM (SELECT sample_id, list_filter([CASE WHEN ref_char_count::DOUBLE / greatest(source_char_count, 1) > 0.75 THEN 'R2b' END, CASE WHEN contains(source_text, '(cid:') OR contains(ref_text, '(cid:') OR contains(source_text, chr(65533)) OR contains(ref_text, chr(65533)) THEN 'R3' END,
- CASE WHEN regexp_matches(ref_text, '(?:\\s|（|\\(|、)[0-9](?:\\s+[0-9])+') THEN 'R5' END, CASE WHEN orphan THEN 'G1' END, CASE WHEN source_char_count > 1200 AND ref_char_count < source_char_count * 0.29 * 0.75 THEN 'G2' END], lambda x: x IS NOT NULL) AS hit
- FROM {CLAUSES} LEFT JOIN (SELECT sample_id AS sid, coalesce(lead(coalesce(trim(section_no, ' '), '')) OVER (PARTITION BY document_id ORDER BY order_ref, sample_id) = '', false) AS orphan FROM {CLAUSES} WHERE order_ref IS NOT NULL) ON sid = sample_id WHERE ref_text IS NOT NULL) WHERE len(hit) > 0)"""
+LEDGER = Q.ledger(CLAUSES)
 
 
 @query(f"SELECT * FROM {LEDGER}")
@@ -367,22 +369,45 @@ def exclusion_summary(s, d):
 TIER_SQL = " UNION ALL ".join(f"SELECT '{t}' AS tier, [{', '.join(repr(x) for x in r)}]::VARCHAR[] AS gone" for t, r in quality.TIERS.items())
 
 
-@query(f"SELECT tier, count(*) FILTER (NOT list_has_any(hit, gone)) AS n, avg(score) FILTER (NOT list_has_any(hit, gone)) AS mean_score, count(*) FILTER (list_has_any(hit, gone)) AS excluded FROM (SELECT score, string_split(coalesce(rules, ''), ',') AS hit FROM {SCORES} LEFT JOIN {LEDGER} USING (sample_id)), ({TIER_SQL}) GROUP BY 1")
+@query(f"SELECT tier, count(*) FILTER (NOT list_has_any(hit, gone)) AS n, avg(score) FILTER (NOT list_has_any(hit, gone)) AS mean_score, count(*) FILTER (list_has_any(hit, gone)) AS excluded, count(*) FILTER (list_has_any(hit, gone))::DOUBLE / count(*) AS exclusion_rate FROM (SELECT score, string_split(coalesce(rules, ''), ',') AS hit FROM {SCORES} LEFT JOIN {LEDGER} USING (sample_id)), ({TIER_SQL}) GROUP BY 1")
 def sensitivity_tiers(s, d):
     return quality.sensitivity(scores(s, d), quality.ledger(clauses(s, d)))
 
 
+@query(f"SELECT DISTINCT sample_id, {', '.join(f"NOT list_has_any(hit, [{', '.join(map(repr, r))}]) AS {n}" for n, r in (('in_v1', quality.HEADLINE_V1), ('in_v2', quality.HEADLINE_V2), ('in_full', quality.ALL_RULES)))} FROM (SELECT sample_id, string_split(coalesce(rules, ''), ',') AS hit FROM {SCORES} LEFT JOIN {LEDGER} USING (sample_id))")
+def headline_sets(s, d):
+    return quality.headline(scores(s, d).select("sample_id").distinct(), quality.ledger(clauses(s, d)))
+
+
+@query(f"SELECT bucket, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM {CLAUSES} WHERE ref_text IS NOT NULL AND source_text IS NOT NULL) AS rate FROM {LEDGER} GROUP BY 1")
+def exclusion_buckets(s, d):
+    all_ = clauses(s, d).where("ref_text is not null and source_text is not null").agg(F.count("*").alias("all"))
+    return quality.ledger(clauses(s, d)).groupBy("bucket").agg(F.count("*").alias("n")).join(F.broadcast(all_)).select("bucket", "n", (F.col("n") / F.col("all")).alias("rate"))
+
+
+@query(f"SELECT sample_id, CASE WHEN list_contains(hit, 'R2') THEN 'R2' WHEN list_contains(hit, 'R2a') THEN 'R2a' WHEN list_contains(hit, 'R2b') THEN 'R2b' WHEN list_contains(hit, 'R3') THEN 'R3' WHEN list_contains(hit, 'G2') THEN 'G2' WHEN list_contains(hit, 'G1') THEN 'G1' ELSE 'ok' END AS reason FROM (SELECT c.sample_id, string_split(coalesce(rules, ''), ',') AS hit FROM {CLAUSES} c LEFT JOIN {LEDGER} USING (sample_id) WHERE ref_text IS NOT NULL AND source_text IS NOT NULL)")
+def training_reasons(s, d):
+    return quality.training_reason(clauses(s, d))
+
+
+@query(f"SELECT side, count(*) AS clauses, count(*) FILTER (strong) AS hits FROM (SELECT 'source' AS side, {Q.watermark('source_text')} AS strong FROM {CLAUSES} UNION ALL SELECT 'ref', {Q.watermark('ref_text')} FROM {CLAUSES}) GROUP BY 1")
+def watermark_audit(s, d):
+    sides = F.array(F.struct(F.lit("source").alias("side"), F.col("source_text").alias("t")), F.struct(F.lit("ref").alias("side"), F.col("ref_text").alias("t")))
+    return clauses(s, d).select(F.explode(sides).alias("x")).groupBy("x.side").agg(F.count("*").alias("clauses"), F.count_if(cascade.watermark(F.col("x.t"))).alias("hits"))
+
+
 @query(f"SELECT language_pair, count(*) AS n, avg(ratio) AS mean, quantile_cont(ratio, 0.1) AS p10, quantile_cont(ratio, 0.5) AS p50, quantile_cont(ratio, 0.9) AS p90 FROM (SELECT language_pair, ref_char_count::DOUBLE / source_char_count AS ratio FROM {CLAUSES} WHERE ref_char_count > 0 AND source_char_count > 0) GROUP BY 1")
 def alignment_health(s, d):
     rows = clauses(s, d).where("ref_char_count > 0 and source_char_count > 0").withColumn("ratio", F.col("ref_char_count") / F.col("source_char_count"))
-    return rows.groupBy("language_pair").agg(F.count("*").alias("n"), F.avg("ratio").alias("mean"), *[F.percentile("ratio", p).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))])
+    means = rows.groupBy("language_pair").agg(F.count("*").alias("n"), F.avg("ratio").alias("mean"))
+    return means.join(stats.quantiles(rows, ["language_pair"], "ratio", {"p10": 0.1, "p50": 0.5, "p90": 0.9}), "language_pair")
 
 
 @query(f"""WITH r AS (SELECT sample_id, language_pair, ref_char_count::DOUBLE / source_char_count AS ratio FROM {CLAUSES} WHERE ref_char_count > 0 AND source_char_count > 0), m AS (SELECT language_pair, quantile_cont(ratio, 0.5) AS mid FROM r GROUP BY 1)
 SELECT sample_id, language_pair, ratio FROM r JOIN m USING (language_pair) WHERE ratio > 2 * mid""")
 def length_outliers(s, d):
     rows = clauses(s, d).where("ref_char_count > 0 and source_char_count > 0").select("sample_id", "language_pair", (F.col("ref_char_count") / F.col("source_char_count")).alias("ratio"))
-    middle = rows.groupBy("language_pair").agg(F.percentile("ratio", 0.5).alias("mid"))
+    middle = stats.quantiles(rows, ["language_pair"], "ratio", {"mid": 0.5})
     return rows.join(middle, "language_pair").where("ratio > 2 * mid").select("sample_id", "language_pair", "ratio")
 
 
@@ -402,7 +427,7 @@ KEYED = f"(SELECT sample_id, document_id, {KEY} AS k, ref_text IS NOT NULL AS ha
 
 @query(f"SELECT document_id, k AS section_key, count(*) AS n FROM {KEYED} WHERE k IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 def ambiguous_keys(s, d):
-    rows = clauses(s, d).select("document_id", T.section_key(F.col("section_no")).alias("section_key")).where("section_key is not null")
+    rows = clauses(s, d).select("document_id", S.section_key(F.col("section_no")).alias("section_key")).where("section_key is not null")
     return rows.groupBy("document_id", "section_key").agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -411,7 +436,7 @@ RKEYED = f"(SELECT sample_id, document_id, {KEY} AS k FROM (SELECT DISTINCT samp
 
 @query(f"SELECT document_id, k AS section_key, min(a.sample_id) AS source_sample, min(b.sample_id) AS other_sample FROM (SELECT * FROM {KEYED} WHERE k IS NOT NULL) a JOIN (SELECT * FROM {RKEYED} WHERE k IS NOT NULL) b USING (document_id, k) GROUP BY 1, 2 HAVING count(DISTINCT a.sample_id) = 1 AND count(DISTINCT b.sample_id) = 1")
 def clause_key_alignment(s, d):
-    key = T.section_key(F.col("section_no")).alias("section_key")
+    key = S.section_key(F.col("section_no")).alias("section_key")
     a = clauses(s, d).select("document_id", key, F.col("sample_id").alias("source_sample")).where("section_key is not null")
     b = recall(s, d).select("document_id", key, F.col("sample_id").alias("other_sample")).where("section_key is not null")
     return joins.unique_key(a, b, ["document_id", "section_key"])
@@ -419,7 +444,7 @@ def clause_key_alignment(s, d):
 
 @query(f"WITH a AS (SELECT *, row_number() OVER (PARTITION BY document_id, k ORDER BY sample_id) AS rn FROM {KEYED} WHERE k IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY document_id, k ORDER BY sample_id) AS rn FROM {RKEYED} WHERE k IS NOT NULL) SELECT a.document_id, a.k AS section_key, a.rn::INT AS place, a.sample_id AS source_sample, b.sample_id AS other_sample FROM a JOIN b USING (document_id, k, rn)")
 def positional_alignment(s, d):
-    key = T.section_key(F.col("section_no")).alias("section_key")
+    key = S.section_key(F.col("section_no")).alias("section_key")
     a = clauses(s, d).select("document_id", key, F.col("sample_id").alias("source_sample")).where("section_key is not null")
     b = recall(s, d).select("document_id", key, F.col("sample_id").alias("other_sample")).where("section_key is not null")
     return joins.positional(a, b, ["document_id", "section_key"], "source_sample", "other_sample")
@@ -442,10 +467,10 @@ def orphan_followers(s, d):
     return quality.orphans(clauses(s, d))
 
 
-@query(f"SELECT sample_id, last_value(nullif(trim(scope, ' '), '') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY order_source, sample_id ROWS UNBOUNDED PRECEDING) AS carried FROM {CLAUSES}")
+@query(f"SELECT sample_id, last_value(nullif(trim(scope, ' '), '') IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY order_source, sample_id ROWS UNBOUNDED PRECEDING) AS carried FROM {CLAUSES} WHERE order_source IS NOT NULL")
 def scope_carried(s, d):
-    order = Window.partitionBy("document_id").orderBy("order_source", "sample_id").rowsBetween(Window.unboundedPreceding, 0)
-    return clauses(s, d).select("sample_id", F.last(F.nullif(F.trim("scope"), F.lit("")), ignorenulls=True).over(order).alias("carried"))
+    rows = clauses(s, d).select("sample_id", "document_id", "order_source", "scope").where("order_source is not null")
+    return stats.carried(rows, "document_id", ["order_source", "sample_id"], F.nullif(F.trim("scope"), F.lit(""))).select("sample_id", "carried")
 
 
 @query(f"SELECT t.sample_id, t.experiment_group, p.alignment_method AS method, p.page_source, coalesce(p.scope, '') AS scope FROM {ANSWERS} t LEFT JOIN {CLAUSES} p USING (sample_id)")
@@ -460,18 +485,23 @@ def merged_metrics(s, d):
     return base.join(scores(s, d).select("sample_id", F.col("score").alias("nd_score")), "sample_id", "left").join(recall(s, d).select("sample_id", F.col("matched_total_count").alias("tr_terms")), "sample_id", "left")
 
 
-@query(f"SELECT gram, count(*) AS n FROM (SELECT unnest(flatten(list_transform(list_filter(regexp_extract_all(coalesce(ref_text, ''), '{CJK}+'), lambda r: length(r) >= 2), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))) AS gram FROM {CLAUSES}) GROUP BY 1")
-def reference_bigrams(s, d):
-    return clauses(s, d).select(F.explode(T.han_grams(F.col("ref_text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+GRAM_SQL = " || ".join(f"flatten(list_transform(list_filter(regexp_extract_all(t, '{CJK}+'), lambda r: length(r) >= {n}), lambda r: list_transform(range(1, length(r) - {n - 2}), lambda i: substr(r, i, {n}))))" for n in range(2, 11))
+
 
+@query(f"SELECT gram, count(*) AS n, count(DISTINCT sample_id) AS clauses FROM (SELECT sample_id, unnest({GRAM_SQL} || regexp_extract_all(t, '[A-Za-z][A-Za-z0-9./-]*[A-Za-z0-9]')) AS gram FROM (SELECT sample_id, coalesce(ref_text, '') AS t FROM {CLAUSES})) GROUP BY 1")
+def reference_grams(s, d):
+    """Runs of 2 to 10 Chinese characters and Latin terms of the references."""
+    per = clauses(s, d).select("sample_id", F.explode(T.gram_counts(F.col("ref_text"))).alias("gram")).groupBy("gram", "sample_id").agg(F.count("*").alias("k"))
+    return per.groupBy("gram").agg(F.sum("k").alias("n"), F.count("*").alias("clauses"))
 
-WORDS = f"(SELECT DISTINCT sample_id, source_lang, unnest(regexp_extract_all(lower(source_text), '[a-z]{{4,}}')) AS w FROM {CLAUSES})"
+
+WORDS = f"(SELECT DISTINCT sample_id, source_lang, unnest(regexp_extract_all(lower(source_text), '[\\p{{L}}]{{4,}}')) AS w FROM {CLAUSES})"
 
 
 @query(f"""WITH w AS {WORDS}, l AS (SELECT source_lang, w, count(*) AS c FROM w GROUP BY 1, 2), g AS (SELECT w, sum(c) AS all_c FROM l GROUP BY 1), n AS (SELECT source_lang, count(DISTINCT sample_id) AS docs FROM w GROUP BY 1), t AS (SELECT sum(docs) AS docs FROM n)
 SELECT l.source_lang, l.w AS word, c::BIGINT AS clauses, (c::DOUBLE / n.docs) / (all_c::DOUBLE / t.docs) AS lift FROM l JOIN g USING (w) JOIN n USING (source_lang) CROSS JOIN t WHERE c >= 2 AND (c::DOUBLE / n.docs) / (all_c::DOUBLE / t.docs) >= 1.5""")
 def word_lift(s, d):
-    w = clauses(s, d).select("sample_id", "source_lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
+    w = clauses(s, d).select("sample_id", "source_lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("source_text"), F.lit(r"[\p{L}]{4,}"), F.lit(0)))).alias("w"))
     local = w.groupBy("source_lang", "w").agg(F.count("*").alias("c"))
     everywhere = local.groupBy("w").agg(F.sum("c").alias("all_c"))
     sizes = w.groupBy("source_lang").agg(F.count_distinct("sample_id").alias("docs"))
@@ -485,7 +515,7 @@ def word_lift(s, d):
 
 @query(f"SELECT document_id, count(*) AS n, count(score) AS scored, avg(score) AS mean, median(score) AS median, stddev_pop(score) AS deviation FROM {SCORES} GROUP BY 1")
 def score_summary(s, d):
-    return scores(s, d).groupBy("document_id").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.stddev_pop("score").alias("deviation"))
+    return scores(s, d).groupBy("document_id").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation")).join(stats.quantiles(scores(s, d), ["document_id"], "score", {"median": 0.5}), "document_id", "left")
 
 
 @query(f"SELECT in_headline_v1, in_headline_v2, count(*) AS n, avg(score) AS mean FROM {SCORES} GROUP BY ALL")
@@ -500,7 +530,7 @@ def manifest_pairs(s, d):
     return names.where("ns > 0 and nr > 0").select("doc_id", "language_pair", "source_path", "reference_path")
 
 
-@query(f"SELECT lang, count(*) AS n FROM (SELECT CASE {' '.join(f'''WHEN f IN ({", ".join(repr(x) for x in v.split("|"))}) THEN {k!r}''' for k, v in T.LANGUAGES.items())} END AS lang FROM (SELECT lower(regexp_replace(trim(lang, ' '), '[-_].*$', '')) AS f FROM documents)) GROUP BY 1")
+@query(f"SELECT lang, count(*) AS n FROM (SELECT CASE {' '.join(f'''WHEN f IN ({", ".join(repr(x) for x in v.split("|"))}) THEN {k!r}''' for k, v in T.LANGUAGES.items())} ELSE l END AS lang FROM (SELECT lower(trim(lang, ' ')) AS l, lower(regexp_replace(trim(lang, ' '), '[-_].*$', '')) AS f FROM documents)) GROUP BY 1")
 def language_codes(s, d):
     return table(s, d, "documents").groupBy(T.language(F.col("lang")).alias("lang")).agg(F.count("*").alias("n"))
 
@@ -554,12 +584,16 @@ def probe_windows(s, d):
 
 @query("SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS longest FROM events GROUP BY 1")
 def probe_latency(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.max("value").alias("longest"))
+    events = table(s, d, "events")
+    return events.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("longest")).join(stats.quantiles(events, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}), "event_type")
+
+
+from clauseloom import catalog_more  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _ALL.items()}
+    return {name: f for name, (f, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _ALL.items() if sql}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}

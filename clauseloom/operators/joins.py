@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauseloom.functions import text as T
+from clauseloom.functions import sections as S
 
 
 def unique_key(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def gate(clauses: DataFrame) -> DataFrame:
     rows = clauses.select("sample_id", "document_id", "section_no", F.col("ref_text").isNotNull().alias("has")).distinct()
     per = rows.groupBy("document_id").agg(
         F.count("*").alias("sources"), F.count_if("has").alias("refs"),
-        F.count_distinct(F.when(F.col("has"), T.section_key(F.col("section_no")))).alias("shared"), F.count_distinct(T.section_key(F.col("section_no"))).alias("keys"),
+        F.count_distinct(F.when(F.col("has"), S.section_key(F.col("section_no")))).alias("shared"), F.count_distinct(S.section_key(F.col("section_no"))).alias("keys"),
     )
     ratio, coverage = F.col("refs") / F.col("sources"), F.when(F.col("keys") > 0, F.col("shared") / F.col("keys")).otherwise(0.0)
     passes = ratio.between(0.75, 1.35) | ((F.col("keys") >= 10) & (coverage >= 0.9))
