@@ -59,8 +59,15 @@ def ascii_digits(text: Column) -> Column:
 
 def section_no(text: Column) -> Column:
     """The clause number a text begins with, by the first pattern that finds one, without a stop or bracket behind it; null without one."""
-    found = [F.nullif(F.rtrim(T.clean(F.regexp_extract(text, unicode_digits(p), 1)), F.lit(".)")), F.lit("")) for p in PATTERNS]
-    return F.coalesce(*found)
+
+    def number(pattern: str) -> Column:
+        found = F.regexp_extract(text, unicode_digits(pattern), 1)
+        spaced = F.trim(F.regexp_replace(F.translate(found, "\u0640", ""), f"[{T.SPACES}]+", " "))
+        return F.nullif(F.rtrim(F.regexp_replace(spaced, rf"(?<={T.CJK}) (?={T.CJK})", ""), F.lit(".)")), F.lit(""))
+
+    # only a text that begins with what a number can begin with is looked at by every pattern
+    may = text.rlike(rf"^\s*(?:\p{{Nd}}|[A-ZА-Я]\.|§|第|(?iu:Art|Статья|ข้อ|มาตรา|المادة|مادة))")
+    return F.when(may, F.coalesce(*map(number, PATTERNS)))
 
 
 def chinese_numeral(text: Column) -> Column:
@@ -120,8 +127,8 @@ def scoped_key(section: Column, scope: Column, use_scope: Column | None = None)
 
 
 def title_line(line: Column) -> Column:
-    """Short, no end of a sentence, no clause number, with letters."""
-    flat = T.clean(F.coalesce(line, F.lit("")))
+    """A cleaned line: short, no end of a sentence, no clause number, with letters."""
+    flat = F.coalesce(line, F.lit(""))
     return (flat != "") & (F.length(flat) <= TITLE_CHARS) & section_no(flat).isNull() & ~flat.rlike("[。.!?！？;；:：]$") & flat.rlike("[A-Za-zÀ-ÖØ-öø-ÿ㐀-䶿一-鿿]")
 
 

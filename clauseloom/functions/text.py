@@ -27,6 +27,11 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("int")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used, also where the optimizer moves the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def first_nonblank(*columns: Column) -> Column:
     """The first value that isn't blank, trimmed; null if there is none."""
     return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in columns])
@@ -131,9 +136,9 @@ def sentence_end(text: Column) -> Column:
     return F.coalesce(F.trim(text).rlike("[。.!?！？;；:：؟؛]$"), F.lit(False))
 
 
-def strict_end(text: Column) -> Column:
-    """Whether a text ends with a stop or a closing bracket."""
-    return F.coalesce(clean(text).rlike("[。.!?！？;；）)]$"), F.lit(False))
+def strict_end(flat: Column) -> Column:
+    """Whether a cleaned text ends with a stop or a closing bracket."""
+    return F.coalesce(flat.rlike("[。.!?！？;；）)]$"), F.lit(False))
 
 
 # Words behind which a text can't end.
@@ -146,9 +151,8 @@ def thai_dominant(text: Column) -> Column:
     return (thai > 0) & (thai > count(text, "[A-Za-z一-鿿]"))
 
 
-def complete_end(text: Column) -> Column:
-    """Whether a source text ends as complete ones do; in Thai, which has no stop, with no dangling word."""
-    flat = clean(F.coalesce(text, F.lit("")))
+def complete_end(flat: Column) -> Column:
+    """Whether a cleaned source text ends as complete ones do; in Thai, which has no stop, with no dangling word."""
     short = (F.length(flat) <= 100) & ~flat.rlike(rf"(?iu)(?:^|[^\p{{L}}\p{{N}}_])(?:{DANGLING})$")
     return strict_end(flat) | F.when(thai_dominant(flat), ~flat.rlike(f"(?:{THAI_DANGLING})$")).otherwise(short)
 

@@ -21,7 +21,10 @@ LETTER = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}A-Za-zÀ-ÖØ-öø-ÿ\x{0400}-\x{0
 
 def noise_line(line: Column) -> Column:
     """Empty, a page number, a line of contents, dots, or hardly any letter."""
-    c = T.clean(F.coalesce(line, F.lit("")))
+    return T.let(T.clean(F.coalesce(line, F.lit(""))), _noise)
+
+
+def _noise(c: Column) -> Column:
     patterns = [r"^[-–—]? *[0-9]{1,4} *[-–—]?$", rf"(?iu)^(?:{PAGE_WORDS}) [0-9]{{1,4}}(?: */ *[0-9]{{1,4}})?$", "^第 *[0-9]{1,4} *页 *共 *[0-9]{1,4} *页$", "[.·…]{4,} *[0-9]{1,4}$", "[.·…]{10,}"]
     return (c == "") | c.rlike("|".join(f"(?:{p})" for p in patterns)) | ((F.length(c) > 20) & (T.good_ratio(c) < 0.25))
 
@@ -35,32 +38,28 @@ def language_content(text: Column) -> Column:
     return text.rlike(LETTER)
 
 
-def directory(text: Column) -> Column:
+def directory(c: Column) -> Column:
     """Looks like a line or a part of a table of contents."""
-    c = T.clean(text)
     return c.rlike(r"[.·…]{4,} *[0-9]{1,4} *$") | F.lower(c).rlike(CONTENTS) | c.rlike(rf"(?i)^(?:{HEADED})(?:[^\p{{L}}\p{{N}}_].*)? [0-9]{{1,4}}$") | c.rlike(r"^(?:[0-9]+(?:\.[0-9]+)* +){4,}[0-9]+(?:\.[0-9]+)*$")
 
 
-def header_or_footer(text: Column) -> Column:
-    c = T.clean(text)
+def header_or_footer(c: Column) -> Column:
     return c.rlike(rf"(?iu)^(?:{PAGE_WORDS}) [0-9]{{1,4}}(?: *(?:of|/) *[0-9]{{1,4}})?$") | c.rlike("^[-–—]? *[0-9]{1,4} *[-–—]?$") | c.rlike(r"(?i)\bpage +[0-9]+ +of +[0-9]+\b")
 
 
-def file_name_noise(text: Column) -> Column:
+def file_name_noise(c: Column) -> Column:
     """A file's name twice in a row, or a Chinese one more than once."""
-    c = T.clean(text)
     names = F.regexp_extract_all(c, F.lit(r"\b[A-Za-z0-9]+(?:_[A-Za-z0-9]+){2,}\b"), F.lit(0))
     twice = (F.size(names) >= 2) & (F.try_element_at(names, F.lit(1)) == F.try_element_at(names, F.lit(2)))
     return twice | F.exists(names, lambda x: F.lower(x).endswith("_zh") & (F.length(c) - F.length(F.replace(c, x, F.lit(""))) > F.length(x)))
 
 
-def symbol_noise(text: Column) -> Column:
-    c = T.clean(text)
-    return F.contains(text, F.lit("(cid:")) | F.contains(text, F.lit("�")) | (c == "") | c.rlike(r"^[^\p{L}\p{N}]+$") | ((F.length(c) > 20) & (T.good_ratio(c) < 0.35))
+def symbol_noise(c: Column) -> Column:
+    return F.contains(c, F.lit("(cid:")) | F.contains(c, F.lit("�")) | (c == "") | c.rlike(r"^[^\p{L}\p{N}]+$") | ((F.length(c) > 20) & (T.good_ratio(c) < 0.35))
 
 
-def bad_text(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
+def bad_text(t: Column) -> Column:
+    """Whether a cleaned text is noise of some kind or holds no language."""
     return symbol_noise(t) | directory(t) | header_or_footer(t) | file_name_noise(t) | ~language_content(t)
 
 
@@ -71,8 +70,8 @@ def short_but_meaningful(text: Column, kind: Column, section: Column) -> Column:
 
 def section_prefixes(text: Column, section: Column) -> Column:
     """The cleaned text begins with the clause number and then a delimiter."""
-    c, s = T.clean(text), S.stripped(section)
-    return F.coalesce(F.startswith(c, s) & F.substring(c, F.length(s) + 1, F.lit(1)).rlike(r"^$|[ .)）:：、-]"), F.lit(False))
+    s = S.stripped(section)
+    return F.coalesce(F.startswith(text, s) & F.substring(text, F.length(s) + 1, F.lit(1)).rlike(r"^$|[ .)）:：、-]"), F.lit(False))
 
 
 def section_agrees(text: Column, section: Column) -> Column:
@@ -105,11 +104,11 @@ def first_reason(cases: list[tuple[str, Column]], otherwise: str = "ok") -> Colu
     return reduce(lambda chain, case: chain.when(case[1], case[0]), cases[1:], F.when(cases[0][1], cases[0][0])).otherwise(otherwise)
 
 
-def da_prefilter() -> Column:
-    """Why an aligned clause can't be scored: the first of fifteen reasons, ok if there is none.  Reads columns s and r, the cleaned texts."""
-    ratio = F.length("r") / F.greatest(F.length("s"), F.lit(1))
+def da_prefilter(s: Column, r: Column) -> Column:
+    """Why an aligned clause with these cleaned texts can't be scored: the first of fifteen reasons, ok if there is none."""
+    ratio = F.length(r) / F.greatest(F.length(s), F.lit(1))
     missing = reduce(lambda a, b: a | b, map(_blank, ("sample_id", "document_id", "language_pair", "source_lang", "target_lang")))
-    s, r, section = F.col("s"), F.col("r"), F.col("section_no")
+    section = F.col("section_no")
     return first_reason([
         ("missing_required_fields", missing),
         ("non_exact_section", ~F.coalesce(F.col("alignment_method").isin(*EXACT), F.lit(False))),
@@ -129,27 +128,25 @@ def da_prefilter() -> Column:
     ])
 
 
-def with_cleaned(clauses: DataFrame) -> DataFrame:
-    return clauses.withColumn("s", T.clean(F.coalesce("source_text", F.lit("")))).withColumn("r", T.clean(F.coalesce("ref_text", F.lit(""))))
-
-
 def prefiltered(clauses: DataFrame) -> DataFrame:
-    """clauses with s, r (cleaned texts) and reason."""
-    return with_cleaned(clauses).withColumn("reason", da_prefilter())
+    """clauses with judged: s and r (the cleaned texts) and reason."""
+    cleaned = F.struct(T.clean(F.coalesce("source_text", F.lit(""))).alias("s"), T.clean(F.coalesce("ref_text", F.lit(""))).alias("r"))
+    judged = T.let(cleaned, lambda t: F.struct(t.s.alias("s"), t.r.alias("r"), da_prefilter(t.s, t.r).alias("reason")))
+    return clauses.withColumn("judged", judged).select("*", "judged.*").drop("judged")
 
 
 def eval_rows(clauses: DataFrame) -> DataFrame:
     """sample_id, reason: why a clause is left out of the evaluation (ok: it isn't).  Of equal texts of a document the first sample_id stays."""
-    rows = clauses.withColumn("s", T.clean(F.coalesce("source_text", F.lit(""))))
     missing = reduce(lambda a, b: a | b, map(_blank, ("sample_id", "document_id", "language_pair", "source_lang", "target_lang", "source_text")))
-    reason = first_reason([
+    reason = lambda s: first_reason([
         ("missing_required_fields", missing),
-        ("empty_source_text", F.col("s") == ""),
-        ("noise_or_directory", bad_text(F.col("s"))),
-        ("too_long", F.length("s") > MOST_CHARS),
-        ("too_short", (F.length("s") < LEAST_SOURCE) & ~short_but_meaningful(F.col("s"), F.col("segment_type"), F.col("section_no"))),
+        ("empty_source_text", s == ""),
+        ("noise_or_directory", bad_text(s)),
+        ("too_long", F.length(s) > MOST_CHARS),
+        ("too_short", (F.length(s) < LEAST_SOURCE) & ~short_but_meaningful(s, F.col("segment_type"), F.col("section_no"))),
     ])
-    judged = rows.select("sample_id", "language_pair", "document_id", F.md5("s").alias("sum"), reason.alias("reason"))
+    told = T.let(T.clean(F.coalesce("source_text", F.lit(""))), lambda s: F.struct(F.md5(s).alias("sum"), reason(s).alias("reason")))
+    judged = clauses.select("sample_id", "language_pair", "document_id", told.alias("t")).select("sample_id", "language_pair", "document_id", "t.*")
     # the first of equal texts, found by aggregation and joined back, so that no task holds a hot text's rows
     firsts = judged.where("reason = 'ok'").groupBy("language_pair", "document_id", "sum").agg(F.min("sample_id").alias("first"))
     joined = judged.join(firsts, ["language_pair", "document_id", "sum"], "left")
