@@ -90,8 +90,7 @@ def roman_numeral(text: Column) -> Column:
 
 def numeral(text: Column) -> Column:
     """A number in figures of any script, Roman or Chinese; null for anything else."""
-    flat = ascii_digits(stripped(text))
-    return F.when(flat.rlike("^[0-9]{1,9}$"), flat.cast("int")).otherwise(F.coalesce(roman_numeral(flat), chinese_numeral(flat)))
+    return T.let(ascii_digits(stripped(text)), lambda flat: F.when(flat.rlike("^[0-9]{1,9}$"), flat.cast("int")).otherwise(F.coalesce(roman_numeral(flat), chinese_numeral(flat))))
 
 
 def section_key(section: Column) -> Column:
@@ -99,7 +98,10 @@ def section_key(section: Column) -> Column:
 
     num a chain of figures, art an article, chap, sec and para the units above and below it, raw what is none of them.
     """
-    s = stripped(section)
+    return T.let(stripped(section), _key)
+
+
+def _key(s: Column) -> Column:
     latin = F.translate(s, *LOOKALIKES)
     code = F.regexp_extract(s, r"(?i)^(?:Article\s+|第\s*)L\.?\s*([0-9]+(?:-[0-9]+)*)\s*条?$", 1)
     unit = unicode_digits(r"^第\s*([一二三四五六七八九十百千万\d]+)\s*([章节条款])")
@@ -137,16 +139,22 @@ def scope_heading(line: Column, lang: Column, index: Column, following: Column)
 
     A heading with a title proves itself; a bare one must stand at the top of its page or before a title.
     """
-    numbers = {"zh": r"([一二三四五六七八九十百千零\d]+)\s*([A-Z])?"}
-    out = F.lit(None).cast("string")
-    for code, words in SCOPES.items():
-        latin = r"\s+(\d{1,3}|[IVXLCDM]+|[๐-๙]+)([A-Z])?(?![A-Za-z0-9])"
-        pattern = unicode_digits(rf"^\s*(?:{words})" + (r"\s*" + numbers[code] if code in numbers else latin))
-        found = F.regexp_extract(line, pattern, 0)
-        n = numeral(F.regexp_extract(line, pattern, 1))
-        rest = stripped(F.substring(line, F.length(found) + 1, F.length(line)))
-        proper = (found != "") & n.between(1, SCOPE_MOST) & ~line.rlike(FOREIGN_SCOPE) & (F.length(line) <= SCOPE_CHARS) & ~rest.rlike(SCOPE_PUNCTUATION) & ~rest.rlike(r"\s[0-9]{2,4}$")
+    latin, chinese = r"\s+(\d{1,3}|[IVXLCDM]+|[๐-๙]+)([A-Z])?(?![A-Za-z0-9])", r"\s*([一二三四五六七八九十百千零\d]+)\s*([A-Z])?"
+    patterns = {code: unicode_digits(rf"^\s*(?:{words})" + (chinese if code == "zh" else latin)) for code, words in SCOPES.items()}
+
+    def part(group: int) -> Column:
+        out = F.regexp_extract(line, patterns["en"], group)
+        for code, pattern in patterns.items():
+            out = F.when(lang == code, F.regexp_extract(line, pattern, group)).otherwise(out) if code != "en" else out
+        return out
+
+    def heading(m: Column) -> Column:
+        rest = stripped(F.substring(line, F.length(m.found) + 1, F.length(line)))
+        proper = m.n.between(1, SCOPE_MOST) & ~line.rlike(FOREIGN_SCOPE) & (F.length(line) <= SCOPE_CHARS) & ~rest.rlike(SCOPE_PUNCTUATION) & ~rest.rlike(r"\s[0-9]{2,4}$")
         placed = rest.rlike("^[-–—]") | (index <= 1) | title_line(following)
-        value = F.when(proper & placed, F.concat(F.lit("X"), n, F.coalesce(F.regexp_extract(line, pattern, 2), F.lit(""))))
-        out = F.when(lang == code, value).otherwise(out) if code != "en" else F.when(~lang.isin(*[c for c in SCOPES if c != "en"]) | lang.isNull(), value).otherwise(out)
-    return out
+        return F.when(proper & placed, F.concat(F.lit("X"), m.n, F.coalesce(m.letter, F.lit(""))))
+
+    # few lines begin with any of the words
+    may = line.rlike(rf"^\s*(?:{'|'.join(SCOPES.values())})")
+    match = F.struct(part(0).alias("found"), T.let(part(1), numeral).alias("n"), part(2).alias("letter"))
+    return F.when(may, T.let(match, heading))

@@ -40,7 +40,8 @@ def first_nonblank(*columns: Column) -> Column:
 def clean(text: Column) -> Column:
     """Extraction debris removed, Arabic presentation forms as letters, white space as single spaces, none between Chinese characters."""
     out = F.translate(text, *FORMS)
-    spelt = F.create_map(*[F.lit(x) for pair in LIGATURES.items() for x in pair])
+    # (one literal that the optimizer folds; a map of so many would be compiled entry by entry)
+    spelt = F.str_to_map(F.lit("\x1f".join(f"{c}\x1e{to}" for c, to in LIGATURES.items())), F.lit("\x1f"), F.lit("\x1e"))
     out = F.when(out.rlike(f"[{''.join(LIGATURES)}]"), F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.element_at(spelt, c), c)), "")).otherwise(out)
     out = F.regexp_replace(F.translate(out, "\u0640", ""), r"\(cid:[0-9]+\)", "")
     out = F.regexp_replace(F.regexp_replace(out, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " "), "[_＿]{3,}", " ")

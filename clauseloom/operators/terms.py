@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clauseloom.functions import text as T
 
 WORD = r"[\p{L}\p{N}_]"
-EDGE, PART = "", "\x1f"
+EDGE, PART = "\ue0fd", "\x1f"
 #: A source term of at most so many characters kept in an answer is an abbreviation taken over.
 ABBREVIATION = 20
 
