@@ -5,9 +5,9 @@ histogram of at most ``capacity`` entries, whatever the corpus) says all that a
 packing needs.  Each text is routed to the tier of the smallest context window that
 holds it (capacity, a half, a quarter, ...).  Every tier is packed for itself first:
 a container takes the tier's largest pieces as long as one fits.  The gap it leaves
-is then filled from the shorter tiers in turn, from each the largest piece that
-fits, so that no tier is used up for the longer ones; with one tier this is plain
-best fit.  A plan line (one pattern of sizes) stands for as many equal containers as
+is then filled from the shorter tiers: by pieces of two of them that fill it
+exactly, else by the largest that fits of each in turn, so that no tier is used up
+for the longer ones; with one tier this is plain best fit.  A plan line (one pattern of sizes) stands for as many equal containers as
 the histogram allows, so the plan has at most about one line a size.  Texts find
 their container by their rank among the texts of their size, counted in salted
 groups, so that no task holds all texts of a hot size; pieces that fill a container
@@ -47,6 +47,18 @@ def tier_of(size: int, capacity: int, tiers: int) -> int:
     return min(tiers - 1, (capacity // size).bit_length() - 1)
 
 
+def _exact(gap: int, shelves: list[list[int]], left: dict[int, int]) -> tuple[int, ...]:
+    """A piece, or pieces of two tiers, that fill a gap exactly, of the longest tiers that can; none if no such are left."""
+    if gap in left and any(shelf and shelf[0] <= gap <= shelf[-1] for shelf in shelves):
+        return (gap,)
+    for i, longer in enumerate(shelves):
+        for size in reversed(longer[: bisect_right(longer, gap)]):
+            other = gap - size
+            if other in left and other < (longer[0] if longer else 0) and i + 1 < len(shelves):
+                return (size, other)
+    return ()
+
+
 def plan(histogram: dict[int, int], capacity: int, tiers: int = TIERS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Lines (((size, how many a container), ...), containers), the longest tier first.
 
@@ -79,8 +91,11 @@ def plan(histogram: dict[int, int], capacity: int, tiers: int = TIERS) -> list[t
             # the tier itself first, the largest before the smaller ones
             while take(shelves[tier], capacity):
                 pass
-            # the gap goes to the shorter tiers in turn, one piece of each, so that no tier is used up for the others
-            while any([take(shelf, 1) for shelf in shelves[tier + 1 :]]):
+            # the gap goes to the shorter tiers: pieces of two of them that fill it exactly, else the largest that fits of each in turn
+            for size in _exact(gap, shelves[tier + 1 :], left):
+                used[size] = used.get(size, 0) + 1
+                gap -= size
+            while gap and any([take(shelf, 1) for shelf in shelves[tier + 1 :]]):
                 pass
             times = min(left[s] // n for s, n in used.items())
             for s, n in used.items():
@@ -97,20 +112,23 @@ def _numbered(full: DataFrame, first: int = 0) -> DataFrame:
 
     ``full`` reads a checkpoint, whose parts stay the same however often they are read.
     """
+    full = full.withColumn("part", F.spark_partition_id())
     # one row a part
-    counts = {r["part"]: r["count"] for r in full.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+    counts = {r["part"]: r["count"] for r in full.groupBy("part").count().collect()}
     starts, at = {}, first
     for part in sorted(counts):
         starts[part] = at
         at += counts[part]
-    kinds = ", ".join(f"`{n}` {k}" for n, k in full.dtypes)
+    kinds = ", ".join(f"`{n}` {k}" for n, k in full.drop("part").dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        at = starts.get(TaskContext.get().partitionId(), 0)
+        at = None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names, "container_id"])
+            if not batch.num_rows:
+                continue
+            # (a task may run a part under another number, as in a union; the rows know theirs)
+            at = starts[batch.column(batch.num_columns - 1)[0].as_py()] if at is None else at
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(at, at + batch.num_rows))], names=[*batch.schema.names[:-1], "container_id"])
             at += batch.num_rows
 
     return full.mapInArrow(run, f"{kinds}, container_id long")
