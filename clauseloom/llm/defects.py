@@ -3,10 +3,11 @@
 empty: null, or nothing but white space, marks, a label or a clause number.
 copy: the letters and digits of the source again, whatever the case, accents, look-alikes or dressing.
 refusal: what it says occurs neither in any source nor in any reference (its runs of
-  GRAMS characters are unknown to both), and its template recurs: openings of such answers are
-  clustered by MinHash, verified by the exact similarity of their shingles, and a
+  GRAMS characters are unknown to both; only answers that have little of their own reference
+  are asked about), and its template recurs: openings of such answers are clustered by MinHash, verified by the exact similarity of their shingles, and a
   cluster must answer several unrelated prompts.
-wrong_language: most letters belong to a language that is neither Chinese nor the source's.
+wrong_language: most letters belong to a language that is neither Chinese nor the source's;
+  languages in Latin script are told apart by the trigrams of all sources.
 truncated: the cut answers of the truncation operator among the rest.
 
 One defect an answer, the first that holds in the order empty, copy, refusal,
@@ -26,31 +27,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm import truncation
-from clauseloom.llm.chars import CYRILLIC, GREEK, INVISIBLE, WHITE
+from clauseloom.llm.chars import CYRILLIC, GREEK, INVISIBLE, RARE
+from clauseloom.llm.sentences import let
 from clauseloom.session import cut
 
-# Labels put before an answer, words that stand for nothing, and frequent words of the languages in Latin script.
+# Labels put before an answer, and words that stand for nothing.
 LABELS = "译文|翻译|答案|答复|回答|中文|结果|translation|translated text|answer|output|response|target|chinese|übersetzung|traduction|traducción|перевод|คำแปล|الترجمة"
-NOTHING = "null|none|nil|nan|n/a|na|undefined|empty|todo|tbd|无|空"
+NOTHING = "null|none|nil|nan|n a|na|undefined|empty|todo|tbd|无|空"
 CLAUSE = r"(?:(?:article|artículo|artikel|art\.?|§|статья|المادة|ข้อ|第)\s*)?(?:\p{L}{0,2}[.．]?\s*)?[0-9０-９]+(?:[.．\-/][0-9０-９]+)*\p{Ll}?[.．)）]?\s*(?:条)?"
-WORDS = {
-    "en": "the|of|is|and|for|with|be|to|by|shall|are|when|as|not",
-    "de": "der|die|das|und|ist|wird|bei|von|für|mit|den|dem|nicht|nach|einem|einer|auf|darf",
-    "fr": "est|sont|pour|dans|les|des|le|un|une|du|et|par|pendant|selon|au|près|à",
-    "es": "el|los|se|para|con|en|del|una|y|por|al|según|durante|junto|no|es",
-}
-#: Characters of a run in Chinese and in other scripts; least bits of a hash in the map of known runs, and the most of it that may be set.
+#: Characters of a run in Chinese and in other scripts; bits of the map of runs that are looked for; share of an answer's runs
+#: that its reference doesn't have, from which it is looked for elsewhere, and share that occurs nowhere, of a refusal.
 GRAMS = (3, 7)
-KNOWN_BITS, FILL = 24, 1 / 16
-ALIEN = 0.5
+WANTED_BITS = 24
+UNLIKE, ALIEN = 0.5, 0.5
+#: Bits of a trigram's hash in the profile of a language.
+PROFILE = 13
 PROMPTS = 2
 #: Parts of a band that are compared with another such block at once.
 BAND = 256
+#: Characters of an opening, and the parts between marks that are looked at.
+OPENING, PARTS = 120, 6
 
 
 def content(text: Column) -> Column:
     """What is left of an answer without invisible characters, wrapping marks, a label and a leading clause number."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(text, f"[{INVISIBLE}]", ""), f"[{WHITE}]+", " "))
+    return bare(truncation.tidy(text))
+
+
+def bare(out: Column) -> Column:
+    """content() of a text that is tidy already."""
     out = F.regexp_replace(out, r"^[\p{P}\p{S}\s]*(?:text|markdown|json|html)?[\p{P}\p{S}\s]*(?=(?iu:" + LABELS + r"))", "")
     out = F.regexp_replace(out, rf"(?iu)^(?:{LABELS})\s*[:：]+[\p{{P}}\p{{S}}\s]*", "")
     return F.regexp_replace(out, rf"(?iu)^{CLAUSE}(?=[\s\p{{P}}]|$)[\s.．]*", "")
@@ -66,6 +71,8 @@ def nothing(left: Column) -> Column:
     return F.coalesce(~left.rlike(r"\p{L}|\p{N}") | ((F.length(left) < 40) & words.rlike(rf"(?iu)^(?:{NOTHING}|{LABELS})$")), F.lit(True))
 
 
+#: The letters of a script; ranges are quicker than properties.
+LETTERS = {"zh": "[\u3400-\u9fff\U00020000-\U000323af]", "ru": "[\u0400-\u052f]", "ar": "[\u0600-\u06ff\u0750-\u077f\ufb50-\ufdff\ufe70-\ufefc]", "th": "[\u0e00-\u0e7f]", "latin": "[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f\u1e00-\u1eff]"}
 _LOOK = str.maketrans({**CYRILLIC, **GREEK})
 
 
@@ -94,27 +101,24 @@ def _copied(source: Column, answer: Column) -> Column:
     return run(source, answer)
 
 
-def language(text: Column) -> Column:
-    """The language of a text by its script or, in Latin script, by its frequent words; null without any."""
+def script(text: Column) -> Column:
+    """zh, ru, ar, th or latin by the letters of a text; null without any."""
+
+    def letters(pattern: str) -> Column:
+        # runs are taken out, which is quicker than counting single characters
+        return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
 
-    def count(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern))
+    def most(n: Column) -> Column:
+        out = F.when(F.greatest(n.zh, n.ru, n.ar, n.th, n.latin) == 0, F.lit(None).cast("string"))
+        for code in ("zh", "ru", "ar", "th"):
+            out = out.when(n[code] == F.greatest(n.zh, n.ru, n.ar, n.th, n.latin), code)
+        return out.otherwise("latin")
 
+    han = letters(LETTERS["zh"])
     # a Chinese character stands for about two letters
-    han = count(r"\p{IsHan}")
-    scripts = {"zh": 2 * han, "ru": count(r"\p{IsCyrillic}"), "ar": count(r"\p{IsArabic}"), "th": count(r"\p{IsThai}"), "latin": count(r"\p{IsLatin}")}
-    most = F.greatest(*scripts.values())
-    lower = F.lower(text)
-    words = {code: F.regexp_count(lower, F.lit(rf"(?<!\p{{L}})(?:{listed})(?!\p{{L}})")) for code, listed in WORDS.items()}
-    best = F.greatest(*words.values())
-    latin = F.lit(None).cast("string")
-    for code, n in words.items():
-        latin = F.when((best > 0) & (n == best), code).otherwise(latin)
+    counts = F.struct((2 * han).alias("zh"), *[letters(LETTERS[code]).alias(code) for code in ("ru", "ar", "th", "latin")])
     # where a third of all characters is Chinese, no other script can weigh more
-    out = F.when((han > 0) & (3 * han >= F.length(text)), "zh").when(most == 0, F.lit(None).cast("string"))
-    for code in ("zh", "ru", "ar", "th"):
-        out = out.when(scripts[code] == most, code)
-    return out.otherwise(latin)
+    return F.when((F.length(text) > 0) & (3 * han >= F.length(text)), "zh").otherwise(let(counts, most))
 
 
 def _grams(codes: np.ndarray, size: int, bits: int) -> np.ndarray:
@@ -127,73 +131,124 @@ def _grams(codes: np.ndarray, size: int, bits: int) -> np.ndarray:
 
 def _plain(text: Column) -> Column:
     """Letters only, in lower case, other runs as one space."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, f"[{INVISIBLE}]", ""), r"[^\p{L}\p{M}]+", " "))
+    return F.lower(F.regexp_replace(F.regexp_replace(text, f"{RARE}[{INVISIBLE}]+", ""), r"[^\p{L}\p{M}]+", " "))
 
 
-def _map_of(texts: DataFrame, bits: int) -> np.ndarray:
-    """The packed map of 2 ** bits hashes of the runs that occur in a column named text."""
+def unlike_reference(answer: Column, reference: Column) -> Column:
+    """The share of the runs of Chinese characters of an answer that its reference doesn't have; 1 where there is none.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((1 << bits) // 8, np.uint8)
-        for batch in batches:
-            joined = "\n".join(t for t in batch.column(0).to_pylist() if t)
-            codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-            for size in GRAMS:
-                h = _grams(codes, size, bits)
-                for bit in range(8):
-                    seen[h[(h & 7) == bit] >> 3] |= np.uint8(1 << bit)
-        words = seen.view(np.int64)
-        at = np.flatnonzero(words)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part])], names=["at", "bits"])
-
-    rows = texts.mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros((1 << bits) // 64, np.int64)
-    words[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return words.view(np.uint8)
-
-
-def known_grams(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """A packed bit for each hash of a run of characters that occurs in a column named text, and the bits of a hash.
-
-    Where more than FILL of the map is set, what is set tells how many runs there are, and the map is made
-    again in the size they need: of an unknown run's hashes at most FILL are taken for known ones.
+    A bit of a table is set for each run of a reference and looked at for those of its answer, a batch at a time.
     """
-    bits = KNOWN_BITS
-    while True:
-        known = _map_of(texts, bits)
-        clear = 1 - int(np.bitwise_count(known).sum()) / (1 << bits)
-        if clear >= 1 - FILL:
-            return known, bits
-        runs = -(1 << bits) * np.log(max(clear, 2.0**-bits))
-        bits = max(bits + 1, int(np.ceil(np.log2(runs / FILL))))
+    size, bits = GRAMS[0], 24
+
+    @F.pandas_udf("double")
+    def run(answers, references):
+        import pandas as pd
+
+        sides = []
+        for texts in (answers, references):
+            texts = [t or "" for t in texts]
+            lengths = np.array([len(t) for t in texts], np.int64)
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            n = np.maximum(lengths - size + 1, 0)
+            row = np.repeat(np.arange(len(texts)), n)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.cumsum(lengths) - lengths, n)
+            h = _grams(codes, size, 63).astype(np.uint64)[at] if len(codes) >= size else np.array([], np.uint64)
+            sides.append((row, ((h ^ (row.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - bits), n))
+        (row, own, n), (_, other, _) = sides
+        seen = np.zeros(1 << bits, bool)
+        seen[other] = True
+        unknown = np.bincount(row, ~seen[own], len(n))
+        return pd.Series(np.where(n > 0, unknown / np.maximum(n, 1), 1.0))
+
+    han = lambda text: F.regexp_replace(text, "[^\u3400-\u9fff]+", " ")
+    return run(han(answer), han(reference))
 
 
-def alien_share(rows: DataFrame, known: np.ndarray, bits: int) -> DataFrame:
-    """rows with alien: the share of the runs of a column named plain that no known text has."""
-    packed = rows.sparkSession.sparkContext.broadcast(known)
-    names = rows.columns
+def _runs(plain: str, spoken: str | None) -> np.ndarray:
+    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.unique(_grams(codes, GRAMS[0] if spoken in ("zh", "th", None) else GRAMS[1], 63))
+
+
+def counted(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """Of a table of lang and text: lang, at, n, how often each hashed trigram occurs in a language in Latin script, and, where
+    lang is null, at of every run of characters that may be wanted (a bit for each value of the low bits of its hash).  All texts are counted."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = packed.value
+        low = (1 << WANTED_BITS) - 1
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("plain")).to_pylist()]
-            chinese = np.array([x in ("zh", "th", None) for x in batch.column(batch.schema.get_field_index("spoken")).to_pylist()])
-            lengths = np.array([len(t) for t in texts], np.int64)
-            codes = np.frombuffer(("".join(texts) + "\n" * max(GRAMS)).encode("utf-32-le", "surrogatepass"), np.uint32)
-            starts = np.cumsum(lengths) - lengths
-            shares = []
-            for size in GRAMS:
-                h = _grams(codes, size, bits)
-                odd = np.concatenate(([0], np.cumsum((seen[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 0)))
-                n = np.maximum(lengths - size + 1, 0)
-                shares.append(np.where(n > 0, (odd[starts + n] - odd[starts]) / np.maximum(n, 1), 0.0))
-            share = np.where(chinese, *shares)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share)], names=[*names, "alien"])
+            langs = np.array(batch.column(0).to_pylist(), object)
+            lines = batch.column(1).to_pylist()
+            met = []
+            for lang in set(langs):
+                codes = np.frombuffer("\n".join(lines[i] or "" for i in np.flatnonzero(langs == lang)).encode("utf-32-le", "surrogatepass"), np.uint32)
+                for size in GRAMS:
+                    h = _grams(codes, size, 63)
+                    met.append(np.unique(h[shared.value[h & low]]))
+                latin = (codes < 0x250) & (codes > 32)
+                if lang is not None and 2 * np.count_nonzero(latin) > np.count_nonzero(codes > 32):
+                    found = np.bincount(_grams(codes, 3, PROFILE), minlength=1 << PROFILE)
+                    sums[lang] = sums[lang] + found if lang in sums else found
+            hits = np.unique(np.concatenate(met)) if met else np.array([], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(hits), pa.string()), pa.array(hits), pa.nulls(len(hits), pa.int64())], names=["lang", "at", "n"])
+        for lang, found in sums.items():
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int64)), pa.array(found[at].astype(np.int64))], names=["lang", "at", "n"])
+
+    return texts.select("lang", _plain(F.col("text"))).mapInArrow(run, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+
+
+def profiles(counts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The languages in Latin script and the log share of each of 2 ** PROFILE hashed trigrams in each; a row for a language and hash reaches the driver."""
+    rows = counts.where("lang is not null").toArrow()
+    langs = np.array(rows.column("lang").to_pylist(), object)
+    listed = sorted(set(langs))
+    found = np.ones((len(listed), 1 << PROFILE))
+    where = {lang: i for i, lang in enumerate(listed)}
+    if listed:
+        found[[where[x] for x in langs], rows.column("at").to_numpy()] += rows.column("n").to_numpy()
+    return listed, np.log(found / found.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def alien_share(rows: DataFrame, keys: list[str], sources_and_references: DataFrame) -> DataFrame:
+    """keys, spoken, alien of each row (keys, plain, spoken): the share of its runs that occur in no source and no reference, and
+    its language: a text in Latin script is of the language whose profile makes its trigrams most probable."""
+    kinds = dict(rows.dtypes)
+    shape = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    row = F.xxhash64(*keys).alias("row")  # stands for the keys where there are many rows of them
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_runs(t or "", s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([np.array([], np.int64), *found]))], names=["row", "at"])
+
+    runs = cut(rows.select(row, "plain", "spoken").mapInArrow(exploded, "row long, at long"))
+    wanted = np.zeros(1 << WANTED_BITS, bool)
+    # at most 2 ** WANTED_BITS bits, as words of 64
+    words = runs.select(F.expr(f"at & {(1 << WANTED_BITS) - 1}L").alias("low")).groupBy(F.expr("low >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).toArrow()
+    packed = np.zeros((1 << WANTED_BITS) // 64, np.int64)
+    packed[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    wanted = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+    counts = cut(counted(sources_and_references, wanted))
+    langs, weights = profiles(counts)
+    known = counts.where("lang is null").select("at", F.lit(1).alias("known"))
+    share = runs.join(known, "at", "left").groupBy("row").agg((1 - F.count("known") / F.count("*")).alias("alien"))
+    profile = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def spoken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = batch.column(len(keys) + 1).to_pylist()
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                if out[i] == "latin" and langs:
+                    h = _grams(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32), 3, PROFILE)
+                    out[i] = langs[int(profile.value[:, h].sum(axis=1).argmax())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(out, pa.string())], names=[*keys, "spoken"])
 
-    kinds = ", ".join(f"{n} {k}" for n, k in rows.dtypes)
-    return rows.mapInArrow(run, f"{kinds}, alien double")
+    told = rows.select(*keys, "plain", "spoken").mapInArrow(spoken, f"{shape}, spoken string").dropDuplicates(keys)
+    return told.withColumn("row", row).join(share, "row", "left").select(*keys, "spoken", F.coalesce("alien", F.lit(0.0)).alias("alien"))
 
 
 def templates(odd: DataFrame, hashes: int = 16, rows_: int = 2, similarity: float = 0.5) -> DataFrame:
@@ -206,7 +261,7 @@ def templates(odd: DataFrame, hashes: int = 16, rows_: int = 2, similarity: floa
     """
     parts = odd.select(
         "sample_id", "experiment_group", F.xxhash64("source_text").alias("prompt"),
-        F.explode(F.array_distinct(F.filter(F.transform(F.slice(F.split(F.lower("opening"), r"[\p{P}]+"), 1, 6), lambda p: F.trim(p)), lambda p: F.length(p) >= 4))).alias("part"),
+        F.explode(F.array_distinct(F.filter(F.transform(F.slice(F.split(F.lower("opening"), r"[\p{P}]+"), 1, PARTS), lambda p: F.trim(p)), lambda p: F.length(p) >= 4))).alias("part"),
     )
     shingled = parts.select("part").distinct().withColumn("set", F.expr("array_distinct(transform(sequence(1, greatest(length(part) - 2, 1)), i -> substring(part, i, 3)))"))
     # (a second parameter of the function would be the place in the set, not the seed)
@@ -231,38 +286,48 @@ def templates(odd: DataFrame, hashes: int = 16, rows_: int = 2, similarity: floa
 
 
 def labelled(answers: DataFrame, sources_and_references: DataFrame) -> DataFrame:
-    """sample_id, experiment_group, defect of every defective answer."""
+    """document_id, sample_id, experiment_group, defect (null where there is none but a cut), and what truncation.states() says of every answer.
+
+    sources_and_references: lang, text.
+    """
     keys = ["sample_id", "experiment_group"]
-    text = F.col("hypothesis")
+    ends = truncation.states(
+        answers.select("document_id", *keys, "source_lang", "segment_type", "source_text", "ref_text", F.lit("zh").alias("lang"), F.col("hypothesis").alias("text"), F.col("segment_type").alias("kind"))
+    )
     rows = (
-        answers.select(*keys, "source_lang", "segment_type", "source_text", "hypothesis")
-        .withColumn("left", content(text))
-        .withColumn("spoken", language(F.col("left")))
-        .withColumn("plain", F.lower(F.regexp_replace("left", r"[^\p{L}\p{M}]+", " ")))
+        ends.withColumn("left", bare(F.col("tidied")))
+        .withColumn("spoken", script(F.col("left")))
     )
     table_line = F.coalesce(F.col("segment_type") == "table", F.lit(False))
-    foreign = F.col("spoken").isNotNull() & (F.col("spoken") != "zh")
     other = F.coalesce(F.col("spoken") != "zh", F.lit(True))
     first = F.when(nothing(F.col("left")), "empty").when(
         ~table_line & other & _copied(F.when(other, F.col("source_text")), F.when(other, F.col("left"))), "copy"
     )
-    known, bits = known_grams(sources_and_references.select(_plain(F.col("text")).alias("text")))
-    scored = alien_share(rows.withColumn("first", first).withColumn("opening", F.substring("left", 1, 120)).drop("left", "hypothesis"), known, bits)
-    scored = cut(scored.select(*keys, "source_lang", "segment_type", "first", "spoken", "alien", F.when(F.col("alien") >= ALIEN, F.struct("source_text", "opening", "plain")).alias("odd")))
-    odd = scored.where("first is null and odd is not null").select(*keys, "odd.*")
-    refused = templates(odd).withColumn("refused", F.lit(True))
-    decided = scored.join(refused, keys, "left").withColumn(
+    # no answer in another script can be like a reference
+    unlike = unlike_reference(F.when(~other, F.col("left")), F.when(~other, F.col("ref_text")))
+    compared = rows.withColumn("first", first).withColumn("unlike", unlike).withColumn("fingerprint", F.xxhash64("text"))
+    # what has little of its own reference is looked for in all sources and references
+    plain = F.lower(F.regexp_replace("left", r"[^\p{L}\p{M}]+", " "))
+    odd = F.when(F.col("first").isNull() & (F.col("unlike") >= UNLIKE), F.struct("source_text", F.substring("left", 1, OPENING).alias("opening"), plain.alias("plain")))
+    scored = cut(compared.withColumn("odd", odd).drop("source_text", "ref_text", "left", "text", "kind", "lang", "tidied", "unlike"))
+    asked = scored.where("odd is not null").select(*keys, "spoken", "odd.*").dropDuplicates(keys)
+    told = cut(alien_share(asked, keys, sources_and_references))
+    refused = templates(asked.drop("spoken").join(told.where(F.col("alien") >= ALIEN).select(*keys), keys, "left_semi")).withColumn("refused", F.lit(True))
+    spoken = F.coalesce("told", F.col("spoken"))
+    foreign = spoken.isNotNull() & (spoken != "zh")
+    joined = scored.drop("odd").join(told.select(*keys, F.col("spoken").alias("told")).join(refused, keys, "left"), keys, "left")
+    return joined.withColumn(
         "defect",
-        F.coalesce("first", F.when(F.col("refused"), "refusal"), F.when(~table_line & foreign & (F.col("spoken") != F.col("source_lang")), "wrong_language")),
-    ).select(*keys, "defect")
-    return decided.distinct()
+        F.coalesce("first", F.when(F.col("refused"), "refusal"), F.when(~table_line & foreign & (spoken != F.col("source_lang")), "wrong_language")),
+    ).drop("first", "refused", "spoken", "told", "source_lang", "segment_type")
 
 
 def found(answers: DataFrame, sources_and_references: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sample_id, experiment_group, defect) of every defective answer, and the keys of the truncated ones."""
+    """(sample_id, experiment_group, defect) of every defective answer, and the keys and routes of the truncated ones."""
     keys = ["sample_id", "experiment_group"]
     decided = cut(labelled(answers, sources_and_references))
-    sound = decided.where("defect is null").select(*keys)
-    rest = answers.join(sound, keys, "left_semi").select(*keys, F.lit("zh").alias("lang"), F.col("hypothesis").alias("text"), F.col("segment_type").alias("kind"))
-    cut_answers = truncation.cut_off(rest, keys)
-    return decided.where("defect is not null").union(cut_answers.withColumn("defect", F.lit("truncated"))), cut_answers
+    sound = decided.where("defect is null").withColumn("lang", F.lit("zh"))
+    corpus = answers.select(F.lit("zh").alias("lang"), F.col("hypothesis").alias("text"), F.col("segment_type").alias("kind"))
+    cut_answers = truncation.cut_off(sound, corpus, keys, ["document_id", "experiment_group"], ["document_id"])
+    defects = decided.where("defect is not null").select(*keys, "defect").distinct()
+    return defects.union(cut_answers.select(*keys, F.lit("truncated"))), cut_answers

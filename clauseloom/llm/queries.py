@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clauseloom.llm import align, chars, defects, encode, neardup, pack, scans, sentences, spans, truncation
 from clauseloom.llm.common import clauses
-from clauseloom.session import spread, table
+from clauseloom.session import cut, spread, table
 
 TOKENIZERS = os.environ.get("CLAUSELOOM_TOKENIZERS", encode.TOKENIZERS)
 
@@ -33,7 +33,8 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "prepare_da_pairs")
-    return rows.select(F.explode(F.array("source_text", "ref_text")).alias("text")).where("text is not null")
+    sides = F.array(F.struct(F.col("source_lang").alias("lang"), F.col("source_text").alias("text")), F.struct(F.lit("zh").alias("lang"), F.col("ref_text").alias("text")))
+    return rows.select(F.explode(sides).alias("x")).select("x.*").where("text is not null")
 
 
 def _defects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -44,25 +45,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _defects(spark, sf_dir)[0]
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = clauses(spark, sf_dir, "pdf").select("sample_id", F.col("source_lang").alias("lang"), F.col("source_text").alias("text"), F.col("segment_type").alias("kind"))
-    cut_sources = truncation.cut_off(sources, ["sample_id"])
-    return (
-        cut_sources.select(F.lit("source_text").alias("field"), "sample_id", F.lit("").alias("experiment_group"))
-        .union(_defects(spark, sf_dir)[1].select(F.lit("hypothesis"), "sample_id", "experiment_group"))
-        .distinct()
+def _cut_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field, sample_id, experiment_group, route of every text that was cut off."""
+    sources = clauses(spark, sf_dir, "pdf").select("document_id", "sample_id", F.col("source_lang").alias("lang"), F.col("source_text").alias("text"), F.col("segment_type").alias("kind"))
+    seen = cut(truncation.states(sources).withColumn("fingerprint", F.xxhash64("text")).drop("text", "kind", "tidied"))
+    cut_sources = truncation.cut_off(seen, sources.drop("document_id", "sample_id"), ["sample_id"], ["document_id"], ["document_id"])
+    return cut_sources.select(F.lit("source_text").alias("field"), "sample_id", F.lit("").alias("experiment_group"), "route").union(
+        _defects(spark, sf_dir)[1].select(F.lit("hypothesis"), "sample_id", "experiment_group", "route")
     )
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cut_texts(spark, sf_dir).drop("route").distinct()
+
+
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document's sources and each experiment group's answers are cut."""
-    found = p4_found(spark, sf_dir).withColumn("cut", F.lit(1))
+    """How often each document's sources and each experiment group's answers are cut, and by what it was seen."""
+    found = cut(_cut_texts(spark, sf_dir)).withColumn("cut", F.lit(1))
     sources = clauses(spark, sf_dir, "pdf").select("sample_id", "document_id").distinct()
     answers = table(spark, sf_dir, "tcr_check").select("sample_id", "experiment_group").distinct()
-    by_source = sources.join(found.where("field = 'source_text'"), "sample_id", "left").select(F.lit("document_id").alias("source_kind"), F.col("document_id").alias("source"), "cut")
-    by_group = answers.join(found.where("field = 'hypothesis'"), ["sample_id", "experiment_group"], "left").select(F.lit("experiment_group"), "experiment_group", "cut")
+    by_source = sources.join(found.where("field = 'source_text'"), "sample_id", "left").select(F.lit("document_id").alias("source_kind"), F.col("document_id").alias("source"), "cut", "route")
+    by_group = answers.join(found.where("field = 'hypothesis'"), ["sample_id", "experiment_group"], "left").select(F.lit("experiment_group"), "experiment_group", "cut", "route")
+    routes = [F.count_if(F.col("route") == r).alias(f"by_{r}") for r in ("structure", "limit", "baseline", "suffix")]
     return by_source.union(by_group).groupBy("source_kind", "source").agg(
-        F.count("*").alias("texts"), F.count("cut").alias("cut_texts"), (F.count("cut") / F.count("*")).alias("share")
+        F.count("*").alias("texts"), F.count("cut").alias("cut_texts"), (F.count("cut") / F.count("*")).alias("share"), *routes
     )
 
 

@@ -27,7 +27,7 @@ def test_encoding_equals_the_public_tokenizer(spark):
 def test_packing_is_whole_and_tight(spark):
     random.seed(1)
     sizes = [0, 0, 2048, 2049, 9000, *[random.randint(1, 900) for _ in range(400)], *[700] * 200]
-    out = pack.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, size int"), salts=4).collect()
+    out = pack.pack(spark.createDataFrame(list(enumerate(sizes)), "doc_id long, size int"), salted=50).collect()
     by_doc, by_container = {}, {}
     for r in out:
         by_doc[r.doc_id] = by_doc.get(r.doc_id, 0) + r.piece_size
@@ -38,6 +38,23 @@ def test_packing_is_whole_and_tight(spark):
     assert pack.pack(spark.createDataFrame([], "doc_id long, size int")).count() == 0
 
 
+def test_tiers_change_the_plan():
+    random.seed(5)
+    sizes = {s: random.randint(1, 9) for s in random.sample(range(1, 2048), 300)}
+    plans = {t: pack.plan(dict(sizes), 2048, t) for t in (1, 2, 4)}
+    assert str(plans[4]) != str(plans[1])
+    for tiers, lines in plans.items():
+        packed = {}
+        for pattern, times in lines:
+            assert sum(s * n for s, n in pattern) <= 2048
+            for s, n in pattern:
+                packed[s] = packed.get(s, 0) + n * times
+        assert packed == sizes, tiers
+        least = -(-sum(s * n for s, n in sizes.items()) // 2048)
+        assert sum(times for _, times in lines) <= 1.08 * least
+    assert [pack.tier_of(s, 2048, 4) for s in (2048, 1025, 1024, 513, 512, 256, 1)] == [0, 0, 1, 1, 2, 3, 3]
+
+
 def test_shared_spans_against_brute_force(spark):
     random.seed(2)
     word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
@@ -83,6 +100,8 @@ def test_consistent_form(spark):
         ("th", "ระยะห่างมีค่าประมาณ 5 mm โดยรวม หากโครงมีค่ามากกว่า 3 N ต้องเปลี่ยนวาล์ว", [0, 32]),
         ("ar", "كتب ما يلي «لا تفتح! يوجد جهد.» يفحص المرشح 3.5 مرة. تقدم الجهة", [0, 32, 53]),
         ("en", "  ", []),
+        ("en", "See https://a.bc/d.e.html now. Next \ue0ff one.", [0, 31]),
+        ("en", "The label reads “Hot. Very hot. And a long text goes on. And on. And on. And on. And on. And never ends", [0]),
     ],
 )
 def test_sentence_starts(spark, lang, text, starts):
@@ -92,26 +111,51 @@ def test_sentence_starts(spark, lang, text, starts):
     assert all(text[r.sent_start :].startswith(r.sentence) for r in got)
 
 
-def test_structure_automaton():
-    assert truncation.open_at_end("写明“保持直立。", False) and not truncation.open_at_end("写明“保持直立。”", False)
-    assert truncation.open_at_end("lautet „Nicht öffnen!", True) and not truncation.open_at_end("lautet „Nicht öffnen!“ Ende", True)
+@pytest.mark.parametrize(
+    "text, awaited",
+    [
+        ("写明“保持直立。", ["”"]), ("写明“保持直立。”", []), ("lautet „Nicht öffnen!", ["“"]), ("lautet „Nicht öffnen!“ Ende", []),
+        ('He wrote "keep it upright and', ['"']), ('He wrote "keep" it', []), ("See <b>in bold and", ["</b>"]), ("See <b>in</b> bold<br> and", []),
+        ("(a [b) c", []), ("(a [b", [")", "]"]), ("a) b)", []), ("```json\n{}", ["```"]), ("``` x ```", []), (None, None), ("", []),
+    ],
+)
+def test_structure_automaton(spark, text, awaited):
+    row = spark.createDataFrame([(text,)], "t string").select(truncation.open_marks(F.col("t")).alias("x")).first()
+    assert (row.x or None) == (awaited or None)
+
+
+def cut_rows(spark, rows):
+    table = spark.createDataFrame(rows, "sample_id string, doc string, lang string, text string, kind string")
+    seen = truncation.states(table).withColumn("fingerprint", F.xxhash64("text")).drop("text", "kind", "tidied")
+    return {r.sample_id: r.route for r in truncation.cut_off(seen, table.select("lang", "text", "kind"), ["sample_id"], ["doc"], ["doc"]).collect()}
 
 
 def test_truncated_texts(spark):
-    full = [(f"f{i}", "zh", f"阀门{i}的偏差不得超过{i}毫米，但以第{i}条为准。", "paragraph") for i in range(30)]
-    odd = [("cut", "zh", "阀门7的偏差不得", "paragraph"), ("bare", "zh", "阀门9的偏差不得超过9毫米，但以第9条为准", "paragraph"), ("title", "zh", "阀门的要", "title"), ("null", "zh", None, "paragraph"), ("quote", "zh", "写明“小心。", "paragraph"), ("lead", "zh", "检查下列各项：", "paragraph")]
-    found = truncation.cut_off(spark.createDataFrame(full + odd, "sample_id string, lang string, text string, kind string"), ["sample_id"])
-    assert {r.sample_id for r in found.collect()} == {"cut", "quote"}
+    full = [(f"f{i}", "d", "zh", f"阀门{i}的偏差不得超过{i}毫米，但以第{i}条为准。", "paragraph") for i in range(30)]
+    odd = [("cut", "zh", "阀门7的偏差不得", "paragraph"), ("title", "zh", "阀门的要", "title"), ("null", "zh", None, "paragraph"), ("quote", "zh", "写明“小心。", "paragraph"), ("lead", "zh", "检查下列各项：", "paragraph"), ("blank", "zh", " ", None)]
+    odd += [("tag", "en", "See the <a href='x'>note.", "paragraph"), ("multi", "en", "The valve is clo�", "paragraph"), ("escape", "en", "The valve is \\u00", "paragraph"), ("short", "en", "The value is approx.", "paragraph")]
+    full += [(f"e{i}", "d", "en", f"The valve number {i} is closed.", "paragraph") for i in range(10)]
+    assert cut_rows(spark, full + [(k, "d", *x) for k, *x in odd]) == {"cut": "baseline", "quote": "structure", "tag": "structure", "multi": "structure", "escape": "structure", "short": "baseline"}
+    assert cut_rows(spark, []) == {}
+
+
+def test_sources_that_leave_stops_out(spark):
+    full = [(f"f{i}", "d", "zh", f"阀门{i}的偏差不得超过{i}毫米，但以第{i}条为准。", "paragraph") for i in range(30)]
+    bare = [(f"b{i}", "bare", "zh", f"阀门{7 ** i}的偏差不得超过{i}毫米，但以第{i}条为准", "paragraph") for i in range(8)]
+    limit = [(f"l{i}", "limit", "zh", f"阀门的偏差不得超过{i}毫米，但以第{i}条为", "paragraph") for i in range(5)] + [("ended", "limit", "zh", "阀门。", "paragraph")]
+    found = cut_rows(spark, full + bare + limit + [("x", "bare", "zh", "阀门9的偏差不得", "paragraph")])
+    assert found == {"x": "suffix"} | {f"l{i}": "limit" for i in range(5)}
 
 
 def test_defects(spark):
     known = [f"The valve number {i} shall not exceed {i} mm when measured on the hose." for i in range(20)] + [f"阀门{i}在软管上测量时不得超过{i}毫米。" for i in range(20)] + ["Ventil wird bei der Messung an dem Schlauch nicht überschritten und ist dicht."]
     rows = [(f"s{i}", "g", "en", "paragraph", known[i], known[20 + i]) for i in range(20)]
-    rows += [("empty", "g", "en", "paragraph", known[0], "译文："), ("null", "g", "en", "paragraph", known[0], None), ("copy", "g", "en", "paragraph", known[1], f"“{known[1].upper()}”"), ("german", "g", "en", "paragraph", known[2], known[-1]), ("table", "g", "en", "table", "AB-12 / C3", "AB-12 / C3")]
+    written = [("en", k) for k in known[:20]] + [("zh", k) for k in known[20:40]] + [("de", known[-1])]
+    rows += [("empty", "g", "en", "paragraph", known[0], "译文："), ("null", "g", "en", "paragraph", known[0], None), ("none", "g", "en", "paragraph", known[0], "N/A"), ("copy", "g", "en", "paragraph", known[1], f"“{known[1].upper()}”"), ("german", "g", "en", "paragraph", known[2], known[-1]), ("table", "g", "en", "table", "AB-12 / C3", "AB-12 / C3")]
     rows += [(f"no{i}", "g", "en", "paragraph", known[i], "I apologise, but this is outside of what I can process.") for i in range(3)]
-    answers = spark.createDataFrame(rows, "sample_id string, experiment_group string, source_lang string, segment_type string, source_text string, hypothesis string")
-    found, _ = defects.found(answers, spark.createDataFrame([(k,) for k in known], "text string"))
-    assert {r.sample_id: r.defect for r in found.collect()} == {"empty": "empty", "null": "empty", "copy": "copy", "german": "wrong_language", "no0": "refusal", "no1": "refusal", "no2": "refusal"}
+    answers = spark.createDataFrame(rows, "sample_id string, experiment_group string, source_lang string, segment_type string, source_text string, hypothesis string").withColumn("document_id", F.lit("d")).withColumn("ref_text", F.lit(None).cast("string"))
+    found, _ = defects.found(answers, spark.createDataFrame(written, "lang string, text string"))
+    assert {r.sample_id: r.defect for r in found.collect()} == {"empty": "empty", "null": "empty", "none": "empty", "copy": "copy", "german": "wrong_language", "no0": "refusal", "no1": "refusal", "no2": "refusal"}
 
 
 def test_refusals_among_varied_openings(spark, monkeypatch):
@@ -124,16 +168,14 @@ def test_refusals_among_varied_openings(spark, monkeypatch):
     assert {"r0", "r1", "v"} <= {r.sample_id for r in defects.templates(table, 4, 1).collect()}
 
 
-def test_map_of_known_runs_grows_with_the_text(spark, monkeypatch):
-    monkeypatch.setattr(defects, "KNOWN_BITS", 8)
+def test_runs_that_occur_nowhere(spark, monkeypatch):
+    monkeypatch.setattr(defects, "WANTED_BITS", 8)  # a full map loses nothing, the join is exact
     random.seed(4)
     known = ["".join(random.choice("abcdefghij klmnop") for _ in range(2000)) for _ in range(4)]
-    table = spark.createDataFrame([(k,) for k in known], "text string")
-    found, bits = defects.known_grams(table)
-    assert 0 < int(defects.np.bitwise_count(found).sum()) <= (1 << bits) / 16
-    rows = spark.createDataFrame([("en", known[1]), ("en", "nothing of this sentence is known to that text")], "spoken string, plain string")
-    shares = {r.plain[:7]: r.alien for r in defects.alien_share(rows, found, bits).collect()}
-    assert shares[known[1][:7]] == 0 and shares["nothing"] > 0.8
+    table = spark.createDataFrame([("en", k) for k in known] + [("de", "zwei neue ventile " * 20), (None, "x"), ("zh", "阀门")], "lang string, text string")
+    rows = spark.createDataFrame([("a", " ".join(known[1].split()), "latin"), ("b", "nothing of this sentence is known to that text", "latin"), ("c", "zwei neue ventile", "latin"), ("d", "", None)], "id string, plain string, spoken string")
+    got = {r.id: (r.alien, r.spoken) for r in defects.alien_share(rows, ["id"], table).collect()}
+    assert got["a"][0] == 0 and got["b"][0] > 0.8 and got["c"] == (0.0, "de") and got["d"] == (0.0, None)
 
 
 def test_scan_noise(spark):
@@ -168,7 +210,7 @@ def test_scans_are_repaired_whole(spark):
     assert {k[1]: v for k, v in out.items() if k[0] == "ref_text"} == {f"z{i}": z for i, z in enumerate(zh)}
     assert out["source_text", "hyphen"] == "A well-known valve." and out["source_text", "page"] == ""
     assert all(out["source_text", f"z{i}"] == th for i in range(4))
-    assert scans._placed("见 AB-1 阅门，\n阅门", [{"before": "0", "char": "阅", "after": "门", "right": "阀"}], 1) == "见 AB-1 阀门，\n阅门"
+    assert scans._placed("见 AB-1 阅门，\n阅门", [{"before": ord("0"), "char": ord("阅"), "after": ord("门"), "right": ord("阀")}], 1) == "见 AB-1 阀门，\n阅门"
 
 
 def test_alignment(spark):
