@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -234,23 +235,60 @@ def misread_words(texts: DataFrame, clean: DataFrame) -> DataFrame:
     return used.join(fixes, ["lang", "word"]).groupBy("field", "sample_id").agg(F.sum(F.col("wrong_count") * F.col("count")).alias("wrong"))
 
 
-def _contexts(text: Column, reach: int) -> Column:
-    """before, char, after of every inner character that is a letter."""
-    flat = F.regexp_replace(F.regexp_replace(text, r"[0-9A-Za-z./\-]+", "0"), r"\s+", "")
-    spots = F.transform(
-        F.sequence(F.lit(reach + 1), F.greatest(F.length(flat) - reach, F.lit(reach + 1))),
-        lambda i: F.struct(F.substring(flat, i - reach, F.lit(reach)).alias("before"), F.substring(flat, i, F.lit(1)).alias("char"), F.substring(flat, i + 1, F.lit(reach)).alias("after")),
-    )
-    return F.filter(spots, lambda s: s.char.rlike(r"[\p{IsHan}\p{IsThai}]"))
+#: Bits of a character in a packed run of them.
+BITS = 21
+
+
+def packed(text: str) -> int:
+    """Up to three characters as one number."""
+    out = 0
+    for c in text:
+        out = out << BITS | ord(c)
+    return out
+
+
+def _contexts(rows: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """keys, before, char, after, count of every inner Chinese or Thai character of the rows (keys, text); names and figures are one
+    character here and white space is none; characters are numbers, neighbours packed ones.  Without keys a batch counts for itself first."""
+    flat = F.regexp_replace(F.regexp_replace("text", r"[0-9A-Za-z./\-]+", "0"), r"\s+", "")
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(len(keys)).to_pylist()]
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            at = np.arange(reach, len(codes) - reach)
+            char = codes[at]
+            letter = ((char >= 0x3400) & (char <= 0x9FFF)) | ((char >= 0x0E00) & (char <= 0x0E7F)) | (char == 0x3007) | (char == 0x3005)
+            at = at[letter & (row[at - reach] == row[at + reach])] if len(at) else at
+            before, after, char = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), codes[at]
+            for k in range(reach):
+                before = before << BITS | codes[at - reach + k]
+                after = after << BITS | codes[at + 1 + k]
+            count = np.ones(len(at), np.int64)
+            if not keys and len(at):
+                order = np.lexsort((after, char, before))
+                before, char, after = before[order], char[order], after[order]
+                first = np.concatenate(([True], (before[1:] != before[:-1]) | (char[1:] != char[:-1]) | (after[1:] != after[:-1])))
+                starts = np.flatnonzero(first)
+                count = np.diff(np.append(starts, len(at)))
+                before, char, after = before[starts], char[starts], after[starts]
+            kept = [batch.column(i).take(pa.array(row[at])) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, (before, char, after, count))], names=[*keys, "before", "char", "after", "count"])
+
+    shape = "".join(f"{k} {kinds[k]}, " for k in keys)
+    each = rows.select(*keys, flat.alias("text")).mapInArrow(run, f"{shape}before long, char long, after long, count long")
+    return each.groupBy(*keys, "before", "char", "after").agg(F.sum("count").alias("count"))
 
 
 def _odd_characters(texts: DataFrame, clean: DataFrame, lang: str, reach: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(seen, odd, pairs): the characters of the scanned texts (field, sample_id, before, char, after, count); those
     that stand where clean texts have another (with right); char, right, contexts of what recurs as a misreading."""
     spot = ["before", "after"]
-    seen = texts.where(F.col("lang") == lang).select("field", "sample_id", F.explode(_contexts(joined(F.col("body"), F.col("lang")), reach)).alias("s")).select("field", "sample_id", "s.*")
-    seen = cut(seen.groupBy("field", "sample_id", "before", "char", "after").count())
-    known = cut(clean.where(F.col("lang") == lang).select(F.explode(_contexts(F.col("text"), reach)).alias("s")).select("s.*").groupBy("before", "char", "after").count())
+    mine = texts.where(F.col("lang") == lang).select("field", "sample_id", joined(F.col("body"), F.col("lang")).alias("text"))
+    seen = cut(_contexts(mine, ["field", "sample_id"], reach))
+    known = cut(_contexts(clean.where(F.col("lang") == lang).select("text"), [], reach))
     usual = known.where(F.col("count") >= FREQUENT).groupBy(*spot).agg(F.max_by("char", "count").alias("right"))
     odd = seen.join(known, ["before", "char", "after"], "left_anti").join(usual, spot).where("char <> right")
     # a character that clean texts have as often as scanned ones is no misreading
@@ -300,9 +338,9 @@ def _placed(text: str, fixes: list, reach: int) -> str:
     flat, out = "".join(flat), list(text)
     right = {(x["before"], x["char"], x["after"]): x["right"] for x in fixes}
     for i in range(reach, len(flat) - reach):
-        c = right.get((flat[i - reach : i], flat[i], flat[i + 1 : i + 1 + reach]))
+        c = right.get((packed(flat[i - reach : i]), ord(flat[i]), packed(flat[i + 1 : i + 1 + reach])))
         if c is not None:
-            out[at[i]] = c
+            out[at[i]] = chr(c)
     return "".join(out)
 
 
