@@ -33,6 +33,8 @@ from clauseloom.session import cut, spread
 LEAST = 200
 #: Characters hashed at once; bounds a task's memory whatever a text's length.
 CHUNK = 1 << 20
+#: Walks of a path from which amounts are found without making pairs of them.
+HOT = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -170,9 +172,9 @@ def _common(a: str, b: str) -> int:
     return len(os.path.commonprefix((a, b)))
 
 
-def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(spans, members): rep_a, start_a, rep_b, start_b, length of every maximal span of two different
-    texts that runs through a path of the graph, and the rep of each document long enough to share."""
+def walked(documents: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """(around, members): rep, path, first, end of each walk of a text along a path of the graph, with the texts before and after
+    that may still be shared; and the rep of each document long enough to share."""
     k = least // 2 + 1
     long = spread(documents.select(id_col, text_col), id_col).where(F.length(text_col) >= least)
     members = long.select(F.col(id_col).alias("member"), F.md5(text_col).alias("sum"))
@@ -193,6 +195,11 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             F.expr(f"substring(text, at.end + 1, {k - 1})").alias("after"),
         )
     )
+    return around, members
+
+
+def spans_of(around: DataFrame) -> DataFrame:
+    """rep_a, start_a, rep_b, start_b, length of every maximal span of two different texts that runs through a path."""
     a, b = (around.select("path", *(F.col(c).alias(f"{c}_{side}") for c in ("rep", "first", "end", "before", "after"))) for side in "ab")
     pairs = a.join(b, "path").where("rep_a < rep_b")
 
@@ -209,9 +216,35 @@ def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             )
             yield out
 
-    kind = dict(documents.dtypes)[id_col]
-    spans = pairs.mapInArrow(extend, f"rep_a {kind}, start_a long, rep_b {kind}, start_b long, length long")
-    return spans, members
+    kind = dict(around.dtypes)["rep"]
+    return pairs.mapInArrow(extend, f"rep_a {kind}, start_a long, rep_b {kind}, start_b long, length long")
+
+
+def shared_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(spans, members): rep_a, start_a, rep_b, start_b, length of every maximal span of two different
+    texts that runs through a path of the graph, and the rep of each document long enough to share."""
+    around, members = walked(documents, id_col, text_col, least)
+    return spans_of(around), members
+
+
+def covered_on_hot_paths(around: DataFrame, least: int) -> DataFrame:
+    """rep, start, end: what a walk shares with any other walk of its path, without a pair of them being made.
+
+    Walks are alike to the left for l characters and to the right for r if they have one key (path, l, r, those characters).  With c
+    characters lacking to the least length, the walk shares its path with l more on the left for the greatest l for which another has
+    the key of (l, what is lacking behind it), and likewise on the right.
+    """
+    k = least // 2 + 1
+    lacking = F.greatest(F.lit(least) - (F.col("end") - F.col("first")), F.lit(0)).cast("int")
+    reach = F.sequence(F.lit(0), F.lit(k - 1))
+    left = F.transform(reach, lambda m: F.struct(F.lit("l").alias("side"), m.alias("m"), m.alias("l"), F.greatest(F.col("lacking") - m, F.lit(0)).alias("r")))
+    right = F.transform(reach, lambda m: F.struct(F.lit("r").alias("side"), m.alias("m"), F.greatest(F.col("lacking") - m, F.lit(0)).alias("l"), m.alias("r")))
+    each = around.withColumn("lacking", lacking).withColumn("x", F.explode(F.concat(left, right))).where("x.l <= length(before) and x.r <= length(after)")
+    key = F.xxhash64("path", "x.l", "x.r", F.right("before", F.col("x.l")), F.left("after", F.col("x.r")))
+    keyed = cut(each.select("rep", "path", "first", "end", "x.side", "x.m", key.alias("key")))
+    met = keyed.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("key")
+    far = keyed.join(met, "key", "left_semi").groupBy("rep", "path", "first", "end").agg(*[F.max(F.when(F.col("side") == s, F.col("m"))).alias(s) for s in "lr"])
+    return far.select("rep", (F.col("first") - F.col("l")).alias("start"), (F.col("end") + F.col("r")).alias("end"))
 
 
 def joined(spans: DataFrame) -> DataFrame:
@@ -243,15 +276,20 @@ def shared_pairs(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def shared_amounts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
-    """id, n_chars, shared_chars, share of every document: its characters that lie in a span shared elsewhere."""
-    spans, members = shared_spans(documents, id_col, text_col, least)
-    members = cut(members)
-    whole = joined(spans).where(F.col("length") >= least)
+    """id, n_chars, shared_chars, share of every document: its characters that lie in a span shared elsewhere.
+
+    Walks of a path are compared pair by pair where it has few; a passage that many documents hold makes no pairs.
+    """
+    around, members = walked(documents, id_col, text_col, least)
+    around, members = cut(around), cut(members)
+    hot = around.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("path")
+    whole = joined(spans_of(around.join(hot, "path", "left_anti"))).where(F.col("length") >= least)
     sides = [whole.select(F.col(f"rep_{s}").alias("rep"), F.col(f"start_{s}").alias("start"), (F.col(f"start_{s}") + F.col("length")).alias("end")) for s in "ab"]
+    sides.append(covered_on_hot_paths(around.join(hot, "path", "left_semi"), least))
     by_place = Window.partitionBy("rep").orderBy("start", "end")
     reach = F.coalesce(F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # spans of one text that several others share repeat; distinct before sorting
-    covered = sides[0].union(sides[1]).distinct().withColumn("new", F.greatest(F.col("end") - F.greatest("start", reach), F.lit(0)))
+    covered = sides[0].union(sides[1]).union(sides[2]).distinct().withColumn("new", F.greatest(F.col("end") - F.greatest("start", reach), F.lit(0)))
     amounts = covered.groupBy("rep").agg(F.sum("new").alias("part"))
     sizes = documents.select(F.col(id_col), F.coalesce(F.length(text_col), F.lit(0)).cast("long").alias("n_chars"))
     named = sizes.join(members.withColumnRenamed("member", id_col), id_col, "left").withColumn("copied", F.col("rep").isNotNull())

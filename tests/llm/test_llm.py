@@ -68,6 +68,22 @@ def test_shared_spans_against_brute_force(spark):
     assert amounts[1] == 40 and amounts[6] == amounts[7] == 0 and amounts[11] == 80 and amounts[3] == 40
 
 
+def test_shared_amounts_of_hot_passages(spark, monkeypatch):
+    random.seed(8)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage, least = word(70), 40
+    docs = [word(random.randint(0, 30)) + passage[random.choice([0, 0, 5, 31]) : random.choice([70, 70, 66, 45])] + word(random.randint(0, 30)) for _ in range(14)] + [word(60), passage, passage]
+    table = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    expected = {}
+    for i, d in enumerate(docs):
+        grams = [{e[j : j + least] for j in range(len(e) - least + 1)} for k, e in enumerate(docs) if k != i]
+        held = {p for j in range(len(d) - least + 1) if any(d[j : j + least] in g for g in grams) for p in range(j, j + least)}
+        expected[i] = len(held)
+    for hot in (64, 2):
+        monkeypatch.setattr(spans, "HOT", hot)
+        assert {r.id: r.shared_chars for r in spans.shared_amounts(table, "id", "text", least).collect()} == expected, hot
+
+
 def test_near_duplicates_against_brute_force(spark):
     random.seed(3)
     base = ["".join(random.choice("abcde fgh") for _ in range(n)) for n in (30, 60, 61, 200)]
