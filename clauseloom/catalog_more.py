@@ -348,3 +348,30 @@ def document_segments(s, d):
 def page_shares(s, d):
     rows = clauses(s, d).where("source_text is not null and page_source is not null").select(F.lit(1).alias("doc"), F.col("page_source").alias("page"), F.col("source_text").alias("text"))
     return pages.page_shares(rows).drop("doc")
+
+
+# -- spans, triples and audits ----------------------------------------------------------------------
+
+
+@query(f"""SELECT sample_id, experiment_group, term_id, min(required_target_term) AS target, min(observed) AS span FROM (SELECT sample_id, experiment_group, lower(source_text) AS t, unnest(failed_terms, recursive := true) FROM {ANSWERS})
+ WHERE observed <> '' AND contains(t, lower(source_term)) AND (contains(observed, required_target_term) OR contains(required_target_term, observed)) GROUP BY 1, 2, 3""")
+def span_conflicts(s, d):
+    """What was observed in the place of a term that the source holds, where it is a part of the target or holds it; the first a term."""
+    rows = answers(s, d).select("sample_id", "experiment_group", F.lower("source_text").alias("t"), F.explode("failed_terms").alias("f")).select("sample_id", "experiment_group", "t", "f.*")
+    near = F.contains("observed", "required_target_term") | F.contains("required_target_term", "observed")
+    met = rows.where((F.col("observed") != "") & F.contains("t", F.lower("source_term")) & near)
+    return met.groupBy("sample_id", "experiment_group", "term_id").agg(F.min("required_target_term").alias("target"), F.min("observed").alias("span"))
+
+
+@query(f"SELECT count(*) AS rows, count(*) FILTER (whole) AS triples, count(*) - count(*) FILTER (whole) AS skipped FROM (SELECT coalesce(trim(source_text, ' '), '') <> '' AND coalesce(trim(hypothesis, ' '), '') <> '' AND length(coalesce(trim(ref_text, ' '), '')) >= 2 AS whole FROM {ANSWERS})")
+def score_triples(s, d):
+    """How many answers make a triple of source, answer and reference, whatever the columns are called."""
+    made = retry.triples(answers(s, d), 2)
+    return made.agg(F.count("*").alias("rows"), F.count_if("whole").alias("triples"), F.count_if(~F.col("whole")).alias("skipped"))
+
+
+@query(f"SELECT document_id, coalesce(scope, '') AS scope, section_no, count(*) AS n FROM {Q.prefiltered(CLAUSES)} WHERE reason = 'ok' GROUP BY ALL HAVING count(*) > 1")
+def repeated_sections(s, d):
+    """The audit of scored clauses: sections that still have more than one."""
+    kept = cascade.prefiltered(clauses(s, d)).where("reason = 'ok'")
+    return kept.groupBy("document_id", F.coalesce("scope", F.lit("")).alias("scope"), "section_no").agg(F.count("*").alias("n")).where("n > 1")

@@ -81,3 +81,39 @@ def run_summary(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     good = latest.where("lower(status) = 'success'")
     lacking = wanted.select("sample_id").distinct().join(good, "sample_id", "left_anti").agg(F.count("*").alias("lacking"))
     return latest.groupBy("status").agg(F.count("*").alias("samples"), F.avg("latency").alias("mean_latency")).join(F.broadcast(lacking))
+
+
+# The columns that a source or a reference may stand in.
+SOURCES, REFERENCES = ("source_text", "text", "src", "source"), ("ref_text", "reference", "ref", "target_text")
+
+
+def triples(rows: DataFrame, least_ref: int) -> DataFrame:
+    """rows with src, mt, ref from whichever columns they have, and whole: none is blank and the reference has ``least_ref`` characters."""
+    pick = lambda names: T.first_nonblank(*[F.col(n) for n in names if n in rows.columns], F.lit(None).cast("string"))
+    named = rows.withColumn("src", pick(SOURCES)).withColumn("mt", pick(ANSWERS["first_pass"])).withColumn("ref", pick(REFERENCES))
+    return named.withColumn("whole", F.coalesce(F.col("src").isNotNull() & F.col("mt").isNotNull() & (F.length("ref") >= least_ref), F.lit(False)))
+
+
+def metric_spec(spec: str) -> tuple[str, str]:
+    """The path and the prefix of ``path:prefix``; anything else is an error."""
+    path, colon, prefix = spec.rpartition(":")
+    if not (path and colon and prefix):
+        raise ValueError(f"path:prefix is needed, not {spec}")
+    return path, prefix
+
+
+def merged(base: DataFrame, metrics: dict[str, DataFrame], key: str) -> DataFrame:
+    """base with the columns of each metric's table under its prefix; keys that base doesn't have are left out."""
+    for prefix, table in metrics.items():
+        named = table.dropDuplicates([key]).select(key, *[F.col(c).alias(f"{prefix}_{c}") for c in table.columns if c != key])
+        base = base.join(named, key, "left")
+    return base
+
+
+def failures_to(path: str):
+    """A function for foreachBatch that appends a batch's rows with a status other than success, as they are, to a table of JSON lines."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.where("status <> 'success'").withColumn("batch", F.lit(number)).write.mode("append").json(path)
+
+    return run
