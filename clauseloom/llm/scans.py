@@ -7,10 +7,13 @@ recurs over clauses and whose words no clean clause has.  Without them the lines
 on; a hyphen at a line's end is taken out where clean clauses don't have the
 hyphenated word.
 
-Misread words are found by a key that is the same for both sides of every confusion of
-characters, so a word that clean clauses don't have joins the frequent word it stands
-for, however many of its characters are misread; the least number of confusions that
-leads from one to the other is then counted.  Of several words the one with the
+What recognition makes of characters is learned: rare words join frequent ones whose
+anagram hashes differ by one or two characters for one, and differences that several
+words show, much more often than rare words of clean clauses do, are confusions of
+their language.  Misread words then are found by a key that is the same for both
+sides of every confusion, so a word that clean clauses don't have joins the frequent
+word it stands for, however many of its characters are misread; the least number of
+confusions that leads from one to the other is counted.  Of several words the one with the
 fewest confusions is taken, then the most frequent.  In scripts
 without spaces a character takes the place of a word: its neighbours are the key, a
 character that clean clauses hardly have is the rare one.
@@ -33,11 +36,6 @@ from pyspark.sql import functions as F
 
 from clauseloom.session import cut
 
-# What recognition makes of characters (wrong, right).
-CONFUSIONS = (
-    "c e|0 o|l i|1 l|1 i|9 g|b h|ri n|ii u|ii ü|rn m|cl d|vv w|a ä|e é|e è|5 s|8 b|6 b|6 б|u ü|o ö|i í|o ó|ń ñ|"
-    "0 о|н и|п л|3 з|щ ш|ь ъ|ц п|ى ي|ت ب|ح ج|ث ت|ذ د|ز ر|ف ق|خ ح"
-)
 ROMAN = r"(?:x[lc]|l?x{0,3})(?:i[xv]|v?i{0,3})"
 PAGE = (
     r"(?iu)^[\s\-–—\[\](){}|·.]*(?:(?:page|p\.|pg\.?|seite|s\.|página|pág\.|стр\.|с\.|หน้า|صفحة|第)\s*)?"
@@ -136,26 +134,65 @@ def joined(body: Column, lang: Column) -> Column:
     return F.when(lang == "zh", F.regexp_replace(body, r"\n", "")).otherwise(spaced)
 
 
-def _rules() -> dict[tuple[str, str], int]:
+def _value(char: Column) -> Column:
+    return F.xxhash64(char) % (1 << 40)
+
+
+def _anagram(word: Column) -> Column:
+    """The anagram hash: equal for all orders of a word's characters, and changed by a confusion by the difference of its sides."""
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda total, c: total + _value(c))
+
+
+def _without(words: DataFrame, pairs: bool) -> DataFrame:
+    """lang, word, rest, part: the words' anagram hashes less one character, or with ``pairs`` also less two neighbours."""
+    one = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.struct(F.substring("word", i, F.lit(1)).alias("part"), _value(F.substring("word", i, F.lit(1))).alias("v")))
+    two = F.transform(
+        F.sequence(F.lit(1), F.length("word") - 1),
+        lambda i: F.struct(F.substring("word", i, F.lit(2)).alias("part"), (_value(F.substring("word", i, F.lit(1))) + _value(F.substring("word", i + 1, F.lit(1)))).alias("v")),
+    )
+    parts = F.array_distinct(F.concat(one, two) if pairs else one)
+    hashed = words.select("lang", "word", _anagram(F.col("word")).alias("h"), F.explode(parts).alias("x"))
+    return hashed.select("lang", "word", (F.col("h") - F.col("x.v")).alias("rest"), "x.part")
+
+
+def learned(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """lang, wrong, right: what recognition makes of characters in the words (lang, word), learned from them and the clean lexicon (lang, right, count).
+
+    Rare words join frequent ones whose anagram hashes differ by one or two characters for one, and that lie as few edits apart.  A
+    difference that SUPPORT words show is a confusion if rare words of clean texts, which differ from frequent ones by grammar, show it
+    a fifth as often at most.
+    """
+    frequent = _without(lexicon.where(F.col("count") >= FREQUENT).select("lang", F.col("right").alias("word")), False).select("lang", "rest", F.col("word").alias("known"), F.col("part").alias("right"))
+    clean_rare = lexicon.where(F.col("count") < FREQUENT).select("lang", F.col("right").alias("word"))
+    scan_rare = words.join(lexicon.select("lang", F.col("right").alias("word")), ["lang", "word"], "left_anti")
+    counts = []
+    for rare, name in ((scan_rare, "seen"), (clean_rare, "usual")):
+        met = _without(rare.where(~F.col("word").rlike("^[0-9]+$") & (F.length("word") >= 4)), True).join(frequent, ["lang", "rest"])
+        near = met.where((F.col("part") != F.col("right")) & ~F.contains("part", "right") & (F.levenshtein("word", "known", 2) == F.length("part")))
+        counts.append(near.groupBy("lang", F.col("part").alias("wrong"), "right").agg(F.count_distinct("word").alias(name)))
+    sizes = [x.groupBy("lang").agg(F.count("*").alias(n)) for x, n in ((words, "all_seen"), (lexicon, "all_usual"))]
+    joined = counts[0].join(counts[1], ["lang", "wrong", "right"], "left").join(F.broadcast(sizes[0]), "lang").join(F.broadcast(sizes[1]), "lang")
+    often = F.col("seen") / F.col("all_seen") > 5 * F.coalesce("usual", F.lit(0)) / F.col("all_usual")
+    return joined.where((F.col("seen") >= SUPPORT) & often).select("lang", "wrong", "right")
+
+
+def rules_of(single: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
     """(wrong, right) with how many confusions lead from one to the other; what confuses a confusion's own characters counts as well."""
-    single = [tuple(c.split(" ")) for c in CONFUSIONS.split("|")]
     rules = dict.fromkeys(single, 1)
     fresh = list(single)
     while fresh:
         wrong, right = fresh.pop()
-        for w, r in single:
-            for i in range(len(wrong)):
-                longer = wrong[:i] + w + wrong[i + len(r) :]
-                if wrong.startswith(r, i) and rules[wrong, right] + 1 < rules.get((longer, right), len(CONFUSIONS)):
-                    rules[longer, right] = rules[wrong, right] + 1
-                    fresh.append((longer, right))
+        if len(wrong) > 1:
+            for w, r in single:
+                for i in range(len(wrong)):
+                    longer = wrong[:i] + w + wrong[i + len(r) :]
+                    if wrong.startswith(r, i) and len(longer) <= 4 and rules[wrong, right] + 1 < rules.get((longer, right), 4):
+                        rules[longer, right] = rules[wrong, right] + 1
+                        fresh.append((longer, right))
     return rules
 
 
-RULES = _rules()
-
-
-def _key_map() -> dict[str, str]:
+def key_map(pairs: list[tuple[str, str]]) -> dict[str, str]:
     """What stands for a character in a word's key, so that both sides of every confusion have one key."""
     root: dict[str, str] = {}
 
@@ -164,30 +201,40 @@ def _key_map() -> dict[str, str]:
             c = root[c]
         return c
 
-    pairs = [c.split(" ") for c in CONFUSIONS.split("|")]
     for w, r in pairs:
-        if len(w) == 1:
+        if len(w) == 1 and of(w) != of(r):
             root[of(w)] = of(r)
     spelt = {of(r): w for w, r in pairs if len(w) > 1}
 
-    def key(c: str) -> str:
-        return "".join(map(key, spelt[of(c)])) if of(c) in spelt else of(c)
+    def key(c: str, depth: int = 0) -> str:
+        return "".join(key(x, depth + 1) for x in spelt[of(c)]) if of(c) in spelt and depth < 3 else of(c)
 
-    return {c: key(c) for c in sorted(set(CONFUSIONS) - set(" |"))}
+    return {c: key(c) for c in sorted({x for pair in pairs for side in pair for x in side})}
 
 
-def confusion_key(word: Column) -> Column:
+def confusion_key(word: Column, pairs: list[tuple[str, str]]) -> Column:
     """Equal for all words that any number of confusions leads from one to the other."""
-    keys = _key_map()
-    for c, k in keys.items():
-        if len(k) > 1:
-            word = F.replace(word, F.lit(c), F.lit(k))
+    keys = key_map(pairs)
     ones = {c: k for c, k in keys.items() if len(k) == 1}
-    return F.translate(word, "".join(ones), "".join(ones.values()))
+    # a character of a longer key may stand in another key: all are put at once, by way of placeholders
+    many = {c: k for c, k in keys.items() if len(k) > 1}
+    for i, c in enumerate(many):
+        word = F.replace(word, F.lit(c), F.lit(chr(0xE100 + i)))
+    word = F.translate(word, "".join(ones), "".join(ones.values())) if ones else word
+    for i, k in enumerate(many.values()):
+        word = F.replace(word, F.lit(chr(0xE100 + i)), F.lit(k))
+    return word
+
+
+def by_first(rules: dict[tuple[str, str], int]) -> dict[str, list[tuple[str, str, int]]]:
+    out: dict[str, list[tuple[str, str, int]]] = {}
+    for (w, r), n in rules.items():
+        out.setdefault(w[0], []).append((w, r, n))
+    return out
 
 
-def confusions(word: str, right: str) -> int | None:
-    """The least number of confusions that lead from word to right, None if none do."""
+def confusions(word: str, right: str, rules: dict[str, list[tuple[str, str, int]]]) -> int | None:
+    """The least number of confusions (rules by their first character) that lead from word to right, None if none do."""
     best = {(0, 0): 0}
     for i in range(len(word)):
         for j in range(min(len(right), i + 1)):
@@ -196,30 +243,38 @@ def confusions(word: str, right: str) -> int | None:
             n = best[i, j]
             if word[i] == right[j]:
                 best[i + 1, j + 1] = min(n, best.get((i + 1, j + 1), n))
-            for w, r, cost in _BY_FIRST.get(word[i], ()):
+            for w, r, cost in rules.get(word[i], ()):
                 if word.startswith(w, i) and right.startswith(r, j):
                     to = (i + len(w), j + len(r))
                     best[to] = min(n + cost, best.get(to, n + cost))
     return best.get((len(word), len(right)))
 
 
-_BY_FIRST: dict[str, list[tuple[str, str, int]]] = {}
-for (_w, _r), _n in RULES.items():
-    _BY_FIRST.setdefault(_w[0], []).append((_w, _r, _n))
-
-
 def corrections(words: DataFrame, clean: DataFrame) -> DataFrame:
     """lang, word, right, wrong_count of each word (lang, word) that clean texts don't have but that stands for a frequent one."""
     # in scripts without spaces only what is written in Latin letters is a word
     token = F.when(F.col("lang").isin(*UNSPACED), r"[a-z0-9]{3,}").otherwise(r"[\p{L}\p{M}\p{N}]{3,}")
     lexicon = cut(clean.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), token, F.lit(0))).alias("right")).groupBy("lang", "right").count())
+    words = cut(words.distinct())
+    # at most the pairs of characters that SUPPORT words show, a language
+    told: dict[str, list[tuple[str, str]]] = {}
+    for r in learned(words, lexicon).orderBy("lang", "wrong", "right").collect():
+        told.setdefault(r["lang"], []).append((r["wrong"], r["right"]))
+
+    def key(word: Column) -> Column:
+        out = word
+        for lang, pairs in told.items():
+            out = F.when(F.col("lang") == lang, confusion_key(word, pairs)).otherwise(out)
+        return out
+
     rare = words.join(lexicon.select("lang", F.col("right").alias("word")), ["lang", "word"], "left_anti").where(~F.col("word").rlike(r"^[0-9]+$"))
-    frequent = lexicon.where(F.col("count") >= FREQUENT).withColumn("key", confusion_key(F.col("right")))
-    found = rare.withColumn("key", confusion_key(F.col("word"))).join(frequent, ["lang", "key"]).select("lang", "word", "right", "count")
+    frequent = lexicon.where(F.col("count") >= FREQUENT).withColumn("key", key(F.col("right")))
+    found = rare.withColumn("key", key(F.col("word"))).join(frequent, ["lang", "key"]).select("lang", "word", "right", "count")
+    rules = {lang: by_first(rules_of(pairs)) for lang, pairs in told.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [confusions(w, r) for w, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            n = [confusions(w, r, rules.get(lang, {})) for lang, w, r in zip(*(batch.column(i).to_pylist() for i in range(3)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int32())], names=["lang", "word", "right", "count", "wrong_count"])
 
     near = found.mapInArrow(run, "lang string, word string, right string, count long, wrong_count int").where("wrong_count is not null")

@@ -96,7 +96,7 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_consistent_form(spark):
-    cases = {"Ａrtiсle １": "Article 1", "a​b\xa0c": "ab c", "été": "été", "ﬁn": "fin", "⽤于": "用于", "РСN361": "PCN361", "соcтав": "состав", "m² 25 °C № 3，。": "m² 25 °C № 3，。", "ก้ำ": "ก้ำ", "kРа": "kPa"}
+    cases = {"Ａrtiсle １": "Article 1", "a​b\xa0c": "ab c", "été": "été", "ﬁn": "fin", "⽤于": "用于", "РСN361": "PCN361", "соcтав": "состав", "m² 25 °C № 3，。": "m² 25 °C № 3，。", "ก้ำ": "ก้ำ", "kРа": "kPa", unicodedata.normalize("NFD", "한글 가값"): "한글 가값"}
     rows = texts(spark, list(cases.items())).select(F.col("id").alias("text"))
     got = {r.text: r.text_form for r in chars.consistent(rows, "text").collect()}
     assert got == cases
@@ -194,24 +194,35 @@ def test_runs_that_occur_nowhere(spark, monkeypatch):
     assert got["a"][0] == 0 and got["b"][0] > 0.8 and got["c"] == (0.0, "de") and got["d"] == (0.0, None)
 
 
+SCAN = "sample_id string, document_id string, source_lang string, segment_type string, source_text string, ref_text string"
+
+
 def test_scan_noise(spark):
     clean = [(f"c{i}", "pdf", "en", "paragraph", f"The manufacturer shall replace the conditioned valve housing number {i}.", f"制造商应更换阀门的外壳{i}。") for i in range(8)]
-    shape = "sample_id string, document_id string, source_lang string, segment_type string, source_text string, ref_text string"
     scan = [("x", "scan", "en", "paragraph", "The manu-\nfacturer shall\n- 12 -\nreplace the c0nditi0ned\nvalve.", None)]
+    # three words show what is misread
+    scan += [(f"o{w}", "scan", "en", "paragraph", f"The {w}\nvalve.", None) for w in ("h0using", "c0nditioned", "conditi0ned")]
     scan += [(f"h{i}", "scan", "en", "paragraph", f"The manufacturer shall\nREGULATION AB-12{i} – REVISION {i}\nreplace the valve.", None) for i in range(3)]
-    found = scans.noise(scans.fields(spark.createDataFrame(scan, shape)), scans.fields(spark.createDataFrame(clean, shape)))
+    found = scans.noise(scans.fields(spark.createDataFrame(scan, SCAN)), scans.fields(spark.createDataFrame(clean, SCAN)))
     expected = {("x", "hyphenation"), ("x", "page_number"), ("x", "misread"), *((f"h{i}", "running_header") for i in range(3))}
     assert {(r.sample_id, r.noise) for r in found.collect()} == expected
+    assert scans.noise(scans.fields(spark.createDataFrame([], SCAN)), scans.fields(spark.createDataFrame([], SCAN))).count() == 0
 
 
 def test_words_with_many_misread_characters(spark):
-    shape = "sample_id string, document_id string, source_lang string, segment_type string, source_text string, ref_text string"
-    clean = [(f"c{i}", "pdf", "de", "paragraph", f"Die Anforderungen an die Signalisolierung im Modus {i}.", None) for i in range(4)]
+    words = "Anforderungen Signalisolierung Modus Leitung Regelung Messung Prüfung Gelenk Ladung Motor Bolzen Rohre Kolben Filter Signale Zeile Seite Linie".split()
+    clean = [(f"c{i}", "pdf", "de", "paragraph", " ".join(words) + f" {i}.", None) for i in range(4)]
+    confused = [("l", "i"), ("1", "l"), ("0", "o"), ("c", "e"), ("ri", "n"), ("9", "g")]
+    single = [(f"{wrong}{w}", "scan", "de", "paragraph", f"Die {w.lower().replace(right, wrong, 1)}\nist", None) for wrong, right in confused for w in [w for w in words if right in w.lower()][:4]]
     scan = [("three", "scan", "de", "paragraph", "Die\nSlgna1lsolierung", None), ("five", "scan", "de", "paragraph", "Die\nAnf0rdcruri9cn", None), ("none", "scan", "de", "paragraph", "Die\nAnforderung", None)]
-    found = scans.noise(scans.fields(spark.createDataFrame(scan, shape)), scans.fields(spark.createDataFrame(clean, shape)))
-    assert {(r.sample_id, r.noise) for r in found.collect()} == {("three", "misread"), ("five", "misread")}
-    assert scans.confusions("anf0rdcruri9cn", "anforderungen") == 5 and scans.confusions("c1ause", "clause") == 1
-    assert scans.confusions("rri0dus", "modus") == 3 and scans.confusions("modus", "rnodus") is None
+    found = scans.noise(scans.fields(spark.createDataFrame(scan + single, SCAN)), scans.fields(spark.createDataFrame(clean, SCAN)))
+    assert {("three", "misread"), ("five", "misread")} <= {(r.sample_id, r.noise) for r in found.collect()} and "none" not in {r.sample_id for r in found.collect()}
+    rules = scans.by_first(scans.rules_of([*confused, ("i", "l"), ("c", "o")]))
+    assert scans.confusions("anf0rdcruri9cn", "anforderungen", rules) == 5 and scans.confusions("c1ause", "clause", rules) == 1
+    assert scans.confusions("modus", "rnodus", rules) is None
+    # any number of confusions leaves the key as it is
+    pairs = spark.createDataFrame([("anf0rdcruri9cn", "anforderungen"), ("slgna1lsolierung", "signalisolierung")], "a string, b string")
+    assert all(r.x == r.y for r in pairs.select(scans.confusion_key(F.col("a"), confused).alias("x"), scans.confusion_key(F.col("b"), confused).alias("y")).collect())
 
 
 def test_scans_are_repaired_whole(spark):
