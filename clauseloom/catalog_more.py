@@ -16,29 +16,30 @@ from clauseloom.session import cut, table
 # -- predicates and scalars over clauses ------------------------------------------------------------
 
 PREDICATES = {
-    "noise": (lambda: cascade.noise_line(F.col("source_text")), Q.noise_line("c")),
-    "kept": (lambda: cascade.keep_segment(F.col("source_text"), F.col("segment_type"), F.col("section_no"), 30), "coalesce(length(source_text) >= 30 OR (segment_type IN ('title', 'table') AND length(source_text) >= 8) OR (coalesce(section_no, '') <> '' AND length(source_text) >= 10), false)"),
-    "directory": (lambda: T.let(T.clean(F.col("source_text")), cascade.directory), Q.directory("c")),
-    "header": (lambda: T.let(T.clean(F.col("source_text")), cascade.header_or_footer), Q.header_or_footer("c")),
-    "file_name": (lambda: T.let(T.clean(F.col("source_text")), cascade.file_name_noise), Q.file_name_noise("c")),
-    "symbols": (lambda: T.let(T.clean(F.col("source_text")), cascade.symbol_noise), Q.symbol_noise("c", "c")),
-    "language": (lambda: cascade.language_content(F.col("source_text")), f"regexp_matches(source_text, '{cascade.LETTER}')"),
-    "ended": (lambda: T.sentence_end(F.col("source_text")), "coalesce(regexp_matches(trim(source_text, ' '), '[。.!?！？;；:：؟؛]$'), false)"),
-    "strict_end": (lambda: T.let(T.clean(F.col("source_text")), T.strict_end), Q.strict_end("c")),
-    "complete_end": (lambda: T.let(T.clean(F.col("source_text")), T.complete_end), Q.complete_end("c")),
-    "terminated": (lambda: cascade.source_terminated(F.col("source_text")), Q.source_terminated("source_text")),
-    "thai": (lambda: T.thai_dominant(F.col("source_text")), Q.thai_dominant("source_text")),
-    "half": (lambda: cascade.half_sentence(F.col("source_text")), f"regexp_matches(lower(coalesce(source_text, '')), '\\b(?:{cascade.CUT_BEHIND})\\s*$')"),
-    "page_noise": (lambda: cascade.page_noise(F.col("source_text")), r"regexp_matches(coalesce(source_text, ''), '\(cid:[0-9]+\)|\x{fffd}|[.·…]{6,}|_{4,}')"),
-    "table_row": (lambda: cascade.table_row(F.col("source_text")), f"len(list_filter(regexp_split_to_array(trim(coalesce(source_text, ''), ' '), '\\s+'), lambda x: x <> '')) >= 4 AND {Q.n_of("trim(coalesce(source_text, ''), ' ')", '[0-9]')} > 0.22 * length(trim(coalesce(source_text, ''), ' '))"),
-    "chinese": (lambda: cascade.mostly_chinese(F.col("ref_text")), f"{Q.n_of('ref_text', Q.CJK)} > {Q.n_of('ref_text', '[A-Za-z]')}"),
-    "prefix": (lambda: cascade.section_prefixes(T.clean(F.col("source_text")), F.col("section_no")), f"coalesce(starts_with(c, {Q.strip('section_no')}) AND regexp_matches(substr(c, length({Q.strip('section_no')}) + 1, 1), '^$|[ .)）:：、-]'), false)"),
+    "noise": (lambda c: cascade.cleaned_noise(c), Q.noise_line("c")),
+    "kept": (lambda c: cascade.keep_segment(F.col("source_text"), F.col("segment_type"), F.col("section_no"), 30), "coalesce(length(source_text) >= 30 OR (segment_type IN ('title', 'table') AND length(source_text) >= 8) OR (coalesce(section_no, '') <> '' AND length(source_text) >= 10), false)"),
+    "directory": (lambda c: cascade.directory(c), Q.directory("c")),
+    "header": (lambda c: cascade.header_or_footer(c), Q.header_or_footer("c")),
+    "file_name": (lambda c: cascade.file_name_noise(c), Q.file_name_noise("c")),
+    "symbols": (lambda c: cascade.symbol_noise(c), Q.symbol_noise("c", "c")),
+    "language": (lambda c: cascade.language_content(F.col("source_text")), f"regexp_matches(source_text, '{cascade.LETTER}')"),
+    "ended": (lambda c: T.sentence_end(F.col("source_text")), "coalesce(regexp_matches(trim(source_text, ' '), '[。.!?！？;；:：؟؛]$'), false)"),
+    "strict_end": (lambda c: T.strict_end(c), Q.strict_end("c")),
+    "complete_end": (lambda c: T.complete_end(c), Q.complete_end("c")),
+    "terminated": (lambda c: cascade.source_terminated(F.col("source_text")), Q.source_terminated("source_text")),
+    "thai": (lambda c: T.thai_dominant(F.col("source_text")), Q.thai_dominant("source_text")),
+    "half": (lambda c: cascade.half_sentence(F.col("source_text")), f"regexp_matches(lower(coalesce(source_text, '')), '\\b(?:{cascade.CUT_BEHIND})\\s*$')"),
+    "page_noise": (lambda c: cascade.page_noise(F.col("source_text")), r"regexp_matches(coalesce(source_text, ''), '\(cid:[0-9]+\)|\x{fffd}|[.·…]{6,}|_{4,}')"),
+    "table_row": (lambda c: cascade.table_row(F.col("source_text")), f"len(list_filter(regexp_split_to_array(trim(coalesce(source_text, ''), ' '), '\\s+'), lambda x: x <> '')) >= 4 AND {Q.n_of("trim(coalesce(source_text, ''), ' ')", '[0-9]')} > 0.22 * length(trim(coalesce(source_text, ''), ' '))"),
+    "chinese": (lambda c: cascade.mostly_chinese(F.col("ref_text")), f"{Q.n_of('ref_text', Q.CJK)} > {Q.n_of('ref_text', '[A-Za-z]')}"),
+    "prefix": (lambda c: cascade.section_prefixes(c, F.col("section_no")), f"coalesce(starts_with(c, {Q.strip('section_no')}) AND regexp_matches(substr(c, length({Q.strip('section_no')}) + 1, 1), '^$|[ .)）:：、-]'), false)"),
 }
 
 
 @query(f"SELECT sample_id, {', '.join(f'{sql} AS {n}' for n, (_, sql) in PREDICATES.items())} FROM (SELECT *, {Q.clean('source_text')} AS c FROM {CLAUSES}) WHERE source_text IS NOT NULL")
 def clause_predicates(s, d):
-    return clauses(s, d).where("source_text is not null").select("sample_id", *[f().alias(n) for n, (f, _) in PREDICATES.items()])
+    told = T.let(T.clean(F.col("source_text")), lambda c: F.struct(*[f(c).alias(n) for n, (f, _) in PREDICATES.items()]))
+    return clauses(s, d).where("source_text is not null").select("sample_id", told.alias("t")).select("sample_id", "t.*")
 
 
 @query(f"""SELECT sample_id, regexp_replace(document_id || '_' || language_pair || '_' || lpad(order_source::VARCHAR, 6, '0'), '[^A-Za-z0-9_.-]+', '_', 'g') AS made_id, greatest(4096, least(8192, ceil(source_char_count * 1.2::DOUBLE)::INT + 64)) AS tokens,

@@ -21,10 +21,11 @@ LETTER = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}A-Za-zÀ-ÖØ-öø-ÿ\x{0400}-\x{0
 
 def noise_line(line: Column) -> Column:
     """Empty, a page number, a line of contents, dots, or hardly any letter."""
-    return T.let(T.clean(F.coalesce(line, F.lit(""))), _noise)
+    return T.let(T.clean(F.coalesce(line, F.lit(""))), cleaned_noise)
 
 
-def _noise(c: Column) -> Column:
+def cleaned_noise(c: Column) -> Column:
+    """noise_line() of a line that is cleaned already."""
     patterns = [r"^[-–—]? *[0-9]{1,4} *[-–—]?$", rf"(?iu)^(?:{PAGE_WORDS}) [0-9]{{1,4}}(?: */ *[0-9]{{1,4}})?$", "^第 *[0-9]{1,4} *页 *共 *[0-9]{1,4} *页$", "[.·…]{4,} *[0-9]{1,4}$", "[.·…]{10,}"]
     return (c == "") | c.rlike("|".join(f"(?:{p})" for p in patterns)) | ((F.length(c) > 20) & (T.good_ratio(c) < 0.25))
 
