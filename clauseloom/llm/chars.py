@@ -87,8 +87,29 @@ def tables() -> tuple[list[tuple], dict[str, str]]:
     return rows, composed
 
 
+#: A Korean syllable written in its letters, and all syllables in order.
+JAMO = "([\u1100-\u1112])([\u1161-\u1175])([\u11a8-\u11c2]?)"
+SYLLABLES = "".join(map(chr, range(0xAC00, 0xD7A4)))
+
+
+def syllables(text: Column) -> Column:
+    """Korean letters joined to syllables, which are numbered by their letters."""
+
+    def place(c: Column, first: int) -> Column:
+        return F.instr(F.lit("".join(map(chr, range(first, first + 28)))), c)
+
+    def whole(m: Column) -> Column:
+        lead, vowel, tail = (F.substring(m, i, F.lit(1)) for i in (1, 2, 3))
+        number = ((place(lead, 0x1100) - 1) * 21 + place(vowel, 0x1161) - 1) * 28 + F.when(tail == "", 0).otherwise(place(tail, 0x11A8))
+        return F.substring(F.lit(SYLLABLES), number + 1, F.lit(1))
+
+    from clauseloom.llm.sentences import within
+
+    return F.when(text.rlike(JAMO), within(text, JAMO, whole)).otherwise(text)
+
+
 def changeable(text: Column, section: bool = False) -> Column:
-    found = text.rlike(CHANGEABLE) | (text.rlike("[\u0370-\u04ff\u0501\u051b\u051d]") & text.rlike(MIXED))
+    found = text.rlike(CHANGEABLE) | text.rlike(JAMO) | (text.rlike("[\u0370-\u04ff\u0501\u051b\u051d]") & text.rlike(MIXED))
     return found | text.rlike(PREFIX) | text.contains("\uff0e") if section else found
 
 
@@ -158,7 +179,7 @@ def forms(texts: DataFrame, section: bool = False) -> DataFrame:
     rebuilt = settled.groupBy("id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cluster", "glyph"))), lambda x: x.glyph), "").alias("form")
     )
-    out = work.join(rebuilt, "id", "left").select("text", F.coalesce("form", F.lit("")).alias("form"))
+    out = work.join(rebuilt, "id", "left").select("text", syllables(F.coalesce("form", F.lit(""))).alias("form"))
     if section:
         first = F.regexp_extract("form", rf"^([{WHITE}]*)([{OTHERS}])\.", 2)
         latin = F.translate(first, OTHERS, "".join([*CYRILLIC.values(), *GREEK.values()]))
