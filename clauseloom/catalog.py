@@ -513,9 +513,9 @@ def word_lift(s, d):
 # -- scores, documents, manifest, probes ------------------------------------------------------------
 
 
-@query(f"SELECT document_id, count(*) AS n, count(score) AS scored, avg(score) AS mean, median(score) AS median, stddev_pop(score) AS deviation FROM {SCORES} GROUP BY 1")
+@query(f"SELECT document_id, count(*) AS n, count(score) AS scored, round(avg(score), 9) AS mean, median(score) AS median, stddev_pop(score) AS deviation FROM {SCORES} GROUP BY 1")
 def score_summary(s, d):
-    return scores(s, d).groupBy("document_id").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation")).join(stats.quantiles(scores(s, d), ["document_id"], "score", {"median": 0.5}), "document_id", "left")
+    return scores(s, d).groupBy("document_id").agg(F.count("*").alias("n"), F.count("score").alias("scored"), F.round(F.avg("score"), 9).alias("mean"), F.stddev_pop("score").alias("deviation")).join(stats.quantiles(scores(s, d), ["document_id"], "score", {"median": 0.5}), "document_id", "left")
 
 
 @query(f"SELECT in_headline_v1, in_headline_v2, count(*) AS n, avg(score) AS mean FROM {SCORES} GROUP BY ALL")

@@ -227,11 +227,11 @@ def group_fairness(s, d):
     return rows.groupBy("experiment_group").agg(F.count("*").alias("samples"), F.count_distinct("source_text").alias("texts")).join(F.broadcast(all_)).select("experiment_group", "samples", (F.col("samples") == F.col("all")).alias("whole"), "texts")
 
 
-@query(f"SELECT document_id, language_pair, source_lang, segment_type, count(*) AS n, count(score) AS scored, count(*) - count(score) AS failed, avg(score) AS mean, stddev_pop(score) AS deviation FROM {SCORES} JOIN (SELECT sample_id, language_pair, source_lang, segment_type FROM {CLAUSES}) USING (sample_id) GROUP BY ALL")
+@query(f"SELECT document_id, language_pair, source_lang, segment_type, count(*) AS n, count(score) AS scored, count(*) - count(score) AS failed, round(avg(score), 9) AS mean, stddev_pop(score) AS deviation FROM {SCORES} JOIN (SELECT sample_id, language_pair, source_lang, segment_type FROM {CLAUSES}) USING (sample_id) GROUP BY ALL")
 def score_summary_by_keys(s, d):
     keys = ("document_id", "language_pair", "source_lang", "segment_type")
     rows = scores(s, d).join(clauses(s, d).select("sample_id", *keys[1:]), "sample_id")
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("score").alias("scored"), (F.count("*") - F.count("score")).alias("failed"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("score").alias("scored"), (F.count("*") - F.count("score")).alias("failed"), F.round(F.avg("score"), 9).alias("mean"), F.stddev_pop("score").alias("deviation"))
 
 
 @query(f"SELECT language_pair, sample_id, section_no, left(source_text, 100) AS preview FROM {CLAUSES} QUALIFY row_number() OVER (PARTITION BY language_pair ORDER BY sample_id) <= 5")
