@@ -252,3 +252,42 @@ def test_alignment(spark):
     for sid, _, _, _, _, s, r in rows[1:]:
         expected |= {(sid, 0, sid, r.index("。") + 1), (sid, s.index(". ") + 2, sid, 0)}
     assert found == expected
+
+
+def test_translation_tables_of_small_chunks(spark, monkeypatch):
+    """What a round moves doesn't hold the pairs of tokens, and chunks of any size give the table of plain EM."""
+    random.seed(9)
+    pairs = list({(" ".join(sorted(random.sample("abcdefghij", random.randint(1, 5)))), " ".join(sorted(random.sample("阀门软管制动车轴", random.randint(1, 5))))) for _ in range(150)})
+    floor, table = 0.08, {}
+    for i in range(3):
+        counts, totals = {}, {}
+        for es, fs in ((e.split(), f.split()) for e, f in pairs):
+            for f in fs:
+                share = sum(table.get((e, f), 0) for e in es)
+                for e in es:
+                    c = 1 / len(es) if not i else table.get((e, f), 0) / share if share else 0
+                    counts[e, f] = counts.get((e, f), 0) + c
+                    totals[e] = totals.get(e, 0) + c
+        table = {k: c / totals[k[0]] for k, c in counts.items() if c and c >= floor * totals[k[0]]}
+    number = lambda x, salt="": int(align.hashes([x], salt)[0])
+    rows = spark.createDataFrame([("en", *p) for p in pairs + pairs[:9]], "language string, es string, fs string")
+    for size in (10, 1000):
+        monkeypatch.setattr(align, "CHUNK", size)
+        chunks = align.training_chunks(rows, {"en": 160}).persist()
+        assert chunks.count() == (16 if size == 10 else 1)
+        got = {(r.e, r.f): r.t for r in align.translation_tables(chunks, 3, floor).collect()}
+        assert got == pytest.approx({(number(e, "en"), number(f)): t for (e, f), t in table.items()})
+
+
+def test_blocks_are_small_and_neighbours_meet(spark, monkeypatch):
+    parts, zh = ["roof", "door", "axle", "fuel", "seat", "brake"], ["车顶", "车门", "车轴", "燃料", "座椅", "制动"]
+    # every reference is filed under the neighbour three places on
+    text = lambda i: f"The {parts[i % 6]} valve weighs {100 + i} kg."
+    rows = [(f"s{i:03}", "d", "en", "paragraph", i, text(i), f"{zh[(i - 3) % 6]}阀门重量为{97 + i} kg。" if i >= 3 else None) for i in range(150)]
+    clauses = spark.createDataFrame(rows, "sample_id string, document_id string, source_lang string, segment_type string, order_source int, source_text string, ref_text string")
+    blocks = align.packed(clauses).collect()
+    assert sorted((r.home, r.n) for r in blocks) == [(0, 125), (1, 128), (2, 44)]
+    assert sum(len(r.blob) for r in blocks) < 8 * sum(len(w) for r in blocks for w in align._opened(r.blob)[5])
+    for size in (64, 1 << 14):
+        monkeypatch.setattr(align, "CHUNK", size)
+        assert {tuple(r) for r in align.aligned(clauses).collect()} == {(f"s{i:03}", 0, f"s{i + 3:03}", 0) for i in range(147)}, size
