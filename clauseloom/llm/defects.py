@@ -172,11 +172,13 @@ def _runs(plain: str, spoken: str | None) -> np.ndarray:
 
 def counted(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
     """Of a table of lang and text: lang, at, n, how often each hashed trigram occurs in a language in Latin script, and, where
-    lang is null, at of every run of characters that may be wanted (a bit for each value of the low bits of its hash).  All texts are counted."""
+    lang is null, at of every run of characters that may be wanted (words of 64 bits, a bit for each value of the low bits of its hash).  All texts are counted."""
+    # bits are sent as they are and spread out in the tasks, so that the driver never holds a byte for each
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = (1 << WANTED_BITS) - 1
+        bits = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
+        low = len(bits) - 1
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
@@ -186,7 +188,7 @@ def counted(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
                 codes = np.frombuffer("\n".join(lines[i] or "" for i in np.flatnonzero(langs == lang)).encode("utf-32-le", "surrogatepass"), np.uint32)
                 for size in GRAMS:
                     h = _grams(codes, size, 63)
-                    met.append(np.unique(h[shared.value[h & low]]))
+                    met.append(np.unique(h[bits[h & low]]))
                 latin = (codes < 0x250) & (codes > 32)
                 if lang is not None and 2 * np.count_nonzero(latin) > np.count_nonzero(codes > 32):
                     found = np.bincount(_grams(codes, 3, PROFILE), minlength=1 << PROFILE)
@@ -226,12 +228,10 @@ def alien_share(rows: DataFrame, keys: list[str], sources_and_references: DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate([np.array([], np.int64), *found]))], names=["row", "at"])
 
     runs = cut(rows.select(row, "plain", "spoken").mapInArrow(exploded, "row long, at long"))
-    wanted = np.zeros(1 << WANTED_BITS, bool)
     # at most 2 ** WANTED_BITS bits, as words of 64
     words = runs.select(F.expr(f"at & {(1 << WANTED_BITS) - 1}L").alias("low")).groupBy(F.expr("low >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).toArrow()
-    packed = np.zeros((1 << WANTED_BITS) // 64, np.int64)
-    packed[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    wanted = np.unpackbits(packed.view(np.uint8), bitorder="little").astype(bool)
+    wanted = np.zeros((1 << WANTED_BITS) // 64, np.int64)
+    wanted[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     counts = cut(counted(sources_and_references, wanted))
     langs, weights = profiles(counts)
     known = counts.where("lang is null").select("at", F.lit(1).alias("known"))

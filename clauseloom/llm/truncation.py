@@ -225,13 +225,14 @@ def endings(corpus: DataFrame, wanted: np.ndarray) -> DataFrame:
 
     wanted: a bit for each value of the hash's low bits that any suffix asked for has.
     """
-    shared = corpus.sparkSession.sparkContext.broadcast(wanted)
+    shared = corpus.sparkSession.sparkContext.broadcast(np.packbits(wanted, bitorder="little"))
     stop = sentences.BREAK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pandas as pd
 
         low = np.uint64((1 << MAP_BITS) - 1)
+        bits = np.unpackbits(shared.value, bitorder="little").view(bool)
         terminators = np.array(sorted(map(ord, ".!?…。！？؟" + stop)), np.uint32)
         for batch in batches:
             langs, lines = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -246,7 +247,7 @@ def endings(corpus: DataFrame, wanted: np.ndarray) -> DataFrame:
                 final = stops & ((after > 0x2100) | np.isin(nexts, np.array([10, 32, *map(ord, CLOSERS)], np.uint32)))
                 inner = after != 10
                 for k, h in zip(lengths, _hashes(codes, lengths)):
-                    use = shared.value[(h & low).astype(np.int64)] & inner & (h != 0)
+                    use = bits[(h & low).astype(np.int64)] & inner & (h != 0)
                     if use.any():
                         found.append(pd.DataFrame({"hash": h[use].view(np.int64), "final": final[use].astype(np.int64)}))
             if found:

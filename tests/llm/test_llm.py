@@ -291,3 +291,14 @@ def test_blocks_are_small_and_neighbours_meet(spark, monkeypatch):
     for size in (64, 1 << 14):
         monkeypatch.setattr(align, "CHUNK", size)
         assert {tuple(r) for r in align.aligned(clauses).collect()} == {(f"s{i:03}", 0, f"s{i + 3:03}", 0) for i in range(147)}, size
+
+
+def test_wanted_runs_are_sent_as_bits(spark, monkeypatch):
+    """The driver holds a bit and not a byte for each value that a run may have."""
+    sent = []
+    counted = defects.counted
+    monkeypatch.setattr(defects, "counted", lambda texts, wanted: sent.append(wanted.nbytes) or counted(texts, wanted))
+    rows = spark.createDataFrame([("a", "the valve is closed", "latin")], "id string, plain string, spoken string")
+    table = spark.createDataFrame([("en", "the valve is closed")], "lang string, text string")
+    assert [r.alien for r in defects.alien_share(rows, ["id"], table).collect()] == [0]
+    assert sent == [(1 << defects.WANTED_BITS) // 8]
