@@ -293,6 +293,27 @@ def test_blocks_are_small_and_neighbours_meet(spark, monkeypatch):
         assert {tuple(r) for r in align.aligned(clauses).collect()} == {(f"s{i:03}", 0, f"s{i + 3:03}", 0) for i in range(147)}, size
 
 
+def test_links_across_a_whole_document(spark, monkeypatch):
+    """References filed far from their clauses are found in documents of one block and of several, also where they join what is linked already."""
+    parts, zh = ["roof", "door", "axle", "fuel", "seat", "brake"], ["车顶", "车门", "车轴", "燃料", "座椅", "制动"]
+    text = lambda i: f"The {parts[i % 6]} valve weighs {100 + i} kg."
+    ref = lambda i: f"{zh[i % 6]}阀门重量为{100 + i} kg。"
+    rows, expected = [], set()
+    for doc, n, moved in (("d", 150, {5: 120, 131: 60}), ("e", 40, {3: 33})):
+        refs = {i: ref(i) for i in range(n) if i not in moved and i not in moved.values()}
+        refs |= {there: ref(here) for here, there in moved.items()}
+        # the reference of the last clause but one joins its own sentence with that of the first but seven
+        refs[n - 2] = ref(n - 2)[:-1] + "，" + ref(7)
+        del refs[7]
+        rows += [(f"{doc}{i:03}", doc, "en", "paragraph", i, None if i in moved.values() else text(i), refs.get(i)) for i in range(n)]
+        far = moved | {7: n - 2}
+        expected |= {(f"{doc}{i:03}", 0, f"{doc}{far.get(i, i):03}", 0) for i in range(n) if i not in moved.values()}
+    clauses = spark.createDataFrame(rows, "sample_id string, document_id string, source_lang string, segment_type string, order_source int, source_text string, ref_text string")
+    for span in (1, 32):
+        monkeypatch.setattr(align, "SPAN", span)
+        assert {tuple(r) for r in align.aligned(clauses).collect()} == expected, span
+
+
 def test_wanted_runs_are_sent_as_bits(spark, monkeypatch):
     """The driver holds a bit and not a byte for each value that a run may have."""
     sent = []
