@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm import truncation
-from clauseloom.llm.chars import CYRILLIC, GREEK, INVISIBLE, RARE
+from clauseloom.llm.chars import CLEAN, CYRILLIC, GREEK, INVISIBLE, RARE
 from clauseloom.llm.sentences import let
 from clauseloom.session import cut
 
@@ -131,7 +131,8 @@ def _grams(codes: np.ndarray, size: int, bits: int) -> np.ndarray:
 
 def _plain(text: Column) -> Column:
     """Letters only, in lower case, other runs as one space."""
-    return F.lower(F.regexp_replace(F.regexp_replace(text, f"{RARE}[{INVISIBLE}]+", ""), r"[^\p{L}\p{M}]+", " "))
+    visible = F.when(text.rlike(rf"^[{CLEAN} \n]*+\z"), text).otherwise(F.regexp_replace(text, f"{RARE}[{INVISIBLE}]+", ""))
+    return F.lower(F.regexp_replace(visible, r"[^\p{L}\p{M}]+", " "))
 
 
 def unlike_reference(answer: Column, reference: Column) -> Column:

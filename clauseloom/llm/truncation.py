@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauseloom.llm import sentences
-from clauseloom.llm.chars import INVISIBLE, RARE, WHITE
+from clauseloom.llm.chars import CLEAN, INVISIBLE, RARE, WHITE
 from clauseloom.session import cut
 
 #: Suffix lengths by script, the longest first; the places that a shorter suffix's share weighs; the share that makes an end.
@@ -78,9 +78,11 @@ def open_marks(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Without invisible characters, white space as single spaces, ends stripped."""
-    text = F.regexp_replace(text, f"{RARE}[{INVISIBLE}]+", "")
+    seen = F.regexp_replace(text, f"{RARE}[{INVISIBLE}]+", "")
     # (a single space stays as it is)
-    return F.trim(F.regexp_replace(text, f"{RARE}(?! [^{WHITE}])[{WHITE}]+", " "))
+    seen = F.regexp_replace(seen, f"{RARE}(?! [^{WHITE}])[{WHITE}]+", " ")
+    # most texts are runs of clean characters between single spaces already
+    return F.trim(F.when(text.rlike(rf"^(?:[{CLEAN}]++ )*+[{CLEAN}]*+\z"), text).otherwise(seen))
 
 
 def masked(text: Column) -> Column:

@@ -140,6 +140,20 @@ def test_structure_automaton(spark, text, awaited):
     assert (row.x or None) == (awaited or None)
 
 
+def test_clean_texts_take_the_short_way(spark):
+    """What passes for clean has no invisible or white character, and either way gives the same text."""
+    import re
+
+    clean, care = re.compile(f"[{chars.CLEAN}]"), re.compile(f"[{chars.INVISIBLE}{chars.WHITE}]")
+    assert not [c for c in map(chr, range(0x10FFFF)) if clean.match(c) and care.match(c)]
+    cases = ["", " ", "a", "a b", " a", "a ", "a  b", "a\n", "a\nb", "a \u3000b", "a\xa0b", "a\xad b", "阀门，（1）", "阀\u200b门", "\u2028a", "a\x1cb", "\U0001f600 a", "x " * 9000, "وفق ما ورد", "ก้า ข"]
+    once = lambda t: re.sub(f"[{chars.WHITE}]+", " ", re.sub(f"[{chars.INVISIBLE}]+", "", t)).strip(" ")
+    got = texts(spark, [(str(i), t) for i, t in enumerate(cases)] + [("none", None)]).select("id", truncation.tidy(F.col("text")).alias("t"), defects._plain(F.col("text")).alias("p")).collect()
+    assert {r.id: r.t for r in got} == {str(i): once(t) for i, t in enumerate(cases)} | {"none": None}
+    plain = {r.id: r.p for r in got}
+    assert (plain["7"], plain["11"], plain["13"], plain["none"]) == ("a ", "a b", "阀门", None)
+
+
 def cut_rows(spark, rows):
     table = spark.createDataFrame(rows, "sample_id string, doc string, lang string, text string, kind string")
     seen = truncation.states(table).withColumn("fingerprint", F.xxhash64("text")).drop("text", "kind", "tidied")
