@@ -267,7 +267,9 @@ def templates(odd: DataFrame, hashes: int = 16, rows_: int = 2, similarity: floa
     shingled = parts.select("part").distinct().withColumn("set", F.expr("array_distinct(transform(sequence(1, greatest(length(part) - 2, 1)), i -> substring(part, i, 3)))"))
     # (a second parameter of the function would be the place in the set, not the seed)
     minima = F.array(*[F.array_min(F.transform("set", lambda g: F.xxhash64(g, F.lit(seed)))) for seed in range(hashes)])
-    banded = shingled.withColumn("minima", minima).select(
+    # used several times below, as are the pairs: a plan that held each use would be too large for the driver
+    shingled = cut(shingled.withColumn("minima", minima))
+    banded = shingled.select(
         "part", "set", F.explode(F.array(*[F.xxhash64(F.lit(b), F.slice("minima", b * rows_ + 1, rows_)) for b in range(hashes // rows_)])).alias("band")
     )
     blocks = banded.groupBy("band").agg(F.ceil(F.count("*") / BAND).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -279,7 +281,7 @@ def templates(odd: DataFrame, hashes: int = 16, rows_: int = 2, similarity: floa
     right = laid.where("own = high").select("band", "low", "high", F.col("part").alias("template"), F.col("set").alias("first"))
     common = F.size(F.array_intersect("set", "first"))
     close = (F.least(F.size("set"), F.size("first")) >= similarity * F.greatest(F.size("set"), F.size("first"))) & (common / (F.size("set") + F.size("first") - common) >= similarity)
-    same = left.join(right, ["band", "low", "high"]).where("low < high or part < template").where(close).select("part", "template").distinct()
+    same = cut(left.join(right, ["band", "low", "high"]).where("low < high or part < template").where(close).select("part", "template").distinct())
     itself = shingled.select("part", F.col("part").alias("template"))
     member = cut(itself.union(same).union(same.select(F.col("template").alias("part"), F.col("part").alias("template"))))
     recurring = parts.join(member, "part").groupBy("template").agg(F.count_distinct("prompt").alias("prompts")).where(F.col("prompts") >= PROMPTS)

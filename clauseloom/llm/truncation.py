@@ -273,7 +273,8 @@ def suffix_shares(asked: DataFrame, corpus: DataFrame, keys: list[str]) -> DataF
     ended = F.regexp_replace(F.regexp_replace(sentences.marked(text, F.col("lang")), rf"[{CLOSERS} {sentences.JOIN}]*{sentences.BREAK}", sentences.BREAK), sentences.JOIN, "")
     rows = corpus.where(F.col("text").isNotNull() & ~exempt(F.col("kind"))).join(F.broadcast(langs), "lang", "left_semi")
     counts = endings(rows.select("lang", masked(F.when(F.col("lang") == "th", ended).otherwise(text)).alias("line")), bits)
-    return (
+    # cut, so that the caller's plan doesn't hold this one: the driver keeps a plan's description for every stage that ends
+    return cut(
         wants.join(counts, "hash")
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct((-F.col("level")).alias("rank"), "total", "final"))).alias("seen"))

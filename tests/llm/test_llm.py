@@ -337,3 +337,19 @@ def test_wanted_runs_are_sent_as_bits(spark, monkeypatch):
     table = spark.createDataFrame([("en", "the valve is closed")], "lang string, text string")
     assert [r.alien for r in defects.alien_share(rows, ["id"], table).collect()] == [0]
     assert sent == [(1 << defects.WANTED_BITS) // 8]
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    # after every stage the driver describes the whole plan again
+    from clauseloom.llm import queries
+
+    sizes = []
+
+    def measured(df):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return df
+
+    for module in (truncation, defects):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: cut(measured(df)))
+    measured(queries.p4_found(spark, "/root/testdata/sf0.001"))
+    assert len(sizes) > 10 and max(sizes) <= 60
