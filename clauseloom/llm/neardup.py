@@ -7,11 +7,11 @@ in shingles: sets of Jaccard similarity t or more differ in at most
 (1 - t) / (1 + t) * (size + size), and a pair whose sketches differ in more bits can
 be left out without losing one.
 
-Sketches are compared in blocks.  Of one side the bits are stored as planes, 64
-texts a word; for each text of the other side the differing bits of all texts of
-the block are added plane by plane into carry-save counters, a counter's bits being
-words too, so 64 distances grow at once.  Every few planes the counters are compared
-with the block's radius, and texts all of whose distances exceed it are abandoned.
+Sketches are compared in blocks: the bits that two sketches share are one product of
+matrices of zeros and ones, and what a pair must share at least is a sum of one number
+of either text, which two more columns take off.  All numbers are whole, so nothing is
+rounded.  A sketch has about as many bits as the larger texts have shingles, folded
+further for smaller ones: fewer bits would let unrelated texts pass, more cost time.
 What remains is verified by the exact similarity.
 
 Texts of similarity t have sizes within a factor t, so texts are laid out by size
@@ -39,11 +39,10 @@ from clauseloom.session import cut
 
 SHINGLE = 5
 THRESHOLD = 0.7
-#: Texts on either side of a task.
-TILE = 4096
-#: Words of 64 texts in a block, texts of the other side at once, planes between two looks at the radius.
-WORDS, QUERIES, LOOK = 16, 128, 64
-ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Texts on either side of a task at most, and bytes of their sketches.
+TILE, TILE_BYTES = 32768, 1 << 22
+#: Texts on either side of a product at most, and numbers in either matrix.
+BLOCK, CELLS = 1024, 1 << 21
 
 
 def normal(text: str) -> str:
@@ -68,10 +67,14 @@ def size_class(n: int, threshold: float) -> int:
     return int(math.log(n) / -math.log(threshold - 1e-6)) if n else -1
 
 
+def bits_for(n: float) -> int:
+    """Bits of sketches of sets of at most ``n`` shingles; sums of so many bits are exact in 32-bit floats."""
+    return 1 << min(22, max(6, math.ceil(math.log2(1.1 * n))))
+
+
 def planes_of(level: int, threshold: float) -> int:
-    """Bits of a sketch when the larger set's class is ``level``: about twice the largest set's size or more."""
-    most = (threshold - 1e-6) ** -(level + 1)
-    return 1 << max(6, math.ceil(math.log2(2 * most)))
+    """Bits of a sketch when the larger set's class is ``level``."""
+    return bits_for((threshold - 1e-6) ** -(level + 1))
 
 
 def sketch(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -87,85 +90,39 @@ def folded(sketches: np.ndarray, bits: int) -> np.ndarray:
     return sketches
 
 
-def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Carry-save: the sums and the carries of three words' bits."""
-    u = a ^ b
-    return u ^ c, (a & b) | (u & c)
+def _matrix(sketches: np.ndarray, sizes: np.ndarray, threshold: float, left: bool) -> np.ndarray:
+    """The bits as numbers, and columns whose product takes off what two sketches must share at least.
 
-
-def _within(counter: list[np.ndarray], radius: int) -> np.ndarray:
-    """Lanes whose count is at most the radius."""
-    less = np.zeros_like(counter[0])
-    equal = np.full_like(counter[0], ONES)
-    for i in reversed(range(len(counter))):
-        if radius >> i & 1:
-            less |= equal & ~counter[i]
-            equal = equal & counter[i]
-        else:
-            equal = equal & ~counter[i]
-    over = radius >> len(counter)
-    return np.full_like(less, ONES) if over else less | equal
+    Sketches of x and y bits differ in x + y less twice the shared bits, which must be at most share * (size + size).
+    """
+    x = np.unpackbits(sketches, axis=1)
+    least = np.floor((x.sum(axis=1, dtype=np.int64) - (1 - threshold) / (1 + threshold) * sizes) / 2 - 1e-6)
+    one = np.ones(len(x))
+    return np.hstack([x.astype(np.float32), np.column_stack([-least, one] if left else [one, -least]).astype(np.float32)])
 
 
-def near(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def near(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of all pairs of sketches that differ in at most the bits that the threshold allows.
 
-    a, b: rows of sketch bytes, of one length.
+    a, b: rows of sketch bytes, of one length.  Where both are the ``same`` rows, a pair is given once or twice.
     """
     share = (1 - threshold) / (1 + threshold)
     order_a, order_b = np.argsort(size_a, kind="stable"), np.argsort(size_b, kind="stable")
     a, size_a, b, size_b = a[order_a], size_a[order_a], b[order_b], size_b[order_b]
-    bits = a.shape[1] * 8
-    found_a, found_b = [], []
-    lanes = WORDS * 64
-    masks = np.unpackbits(a, axis=1, bitorder="little")
-    for left in range(0, len(b), lanes):
-        block, sizes = b[left : left + lanes], size_b[left : left + lanes]
-        words = -(-len(block) // 64)
-        vertical = np.zeros((bits, words * 64), np.uint8)
-        vertical[:, : len(block)] = np.unpackbits(block, axis=1, bitorder="little").T
-        planes = np.packbits(vertical, axis=1, bitorder="little").view(np.uint64)
-        valid = np.zeros(words * 64, np.uint8)
-        valid[: len(block)] = 1
-        valid = np.packbits(valid, bitorder="little").view(np.uint64)
-        for top in range(0, len(a), QUERIES):
-            own = size_a[top : top + QUERIES]
+    found_a, found_b = [np.array([], np.int64)], [np.array([], np.int64)]
+    step = max(1, min(BLOCK, CELLS // (a.shape[1] * 8)))
+    for left in range(0, len(b), step):
+        sizes = size_b[left : left + step]
+        right = None
+        for top in range(0, min(len(a), left + step) if same else len(a), step):
+            own = size_a[top : top + step]
             if own[-1] < threshold * sizes[0] - 1e-9 or sizes[-1] < threshold * own[0] - 1e-9:
                 continue
-            radius = int(share * (int(own[-1]) + int(sizes[-1])) + 1e-9)
-            rows = np.arange(len(own))
-            flip = (masks[top : top + QUERIES].astype(np.uint64) * ONES)[:, :, None]
-            counter = [np.zeros((len(rows), words), np.uint64) for _ in range(3)]
-            done = 0
-            alive = None
-            while len(rows) and done < bits:
-                for j in range(done, done + LOOK, 8):
-                    d = [planes[j + i][None, :] ^ flip[:, j + i] for i in range(8)]
-                    ones, twos_a = _add(counter[0], d[0], d[1])
-                    ones, twos_b = _add(ones, d[2], d[3])
-                    twos, fours_a = _add(counter[1], twos_a, twos_b)
-                    ones, twos_a = _add(ones, d[4], d[5])
-                    ones, twos_b = _add(ones, d[6], d[7])
-                    twos, fours_b = _add(twos, twos_a, twos_b)
-                    fours, carry = _add(counter[2], fours_a, fours_b)
-                    counter[:3] = ones, twos, fours
-                    for i in range(3, len(counter)):
-                        counter[i], carry = counter[i] ^ carry, counter[i] & carry
-                    if len(counter) < 4 or carry.any():
-                        counter.append(carry)
-                done += LOOK
-                alive = _within(counter, radius) & valid
-                live = alive.any(axis=1)
-                if not live.all():
-                    rows, flip, alive = rows[live], flip[live], alive[live]
-                    counter = [c[live] for c in counter]
-            if len(rows):
-                bitmap = np.unpackbits(alive.view(np.uint8), axis=1, bitorder="little")
-                q, lane = np.nonzero(bitmap)
-                found_a.append(top + rows[q])
-                found_b.append(left + lane)
-    if not found_a:
-        return np.array([], np.int64), np.array([], np.int64)
+            if right is None:
+                right = _matrix(b[left : left + step], sizes, threshold, False).T
+            q, lane = np.nonzero(_matrix(a[top : top + step], own, threshold, True) @ right >= 0)
+            found_a.append(top + q)
+            found_b.append(left + lane)
     i, j = np.concatenate(found_a), np.concatenate(found_b)
     apart = np.bitwise_count(a[i] ^ b[j]).sum(axis=1)
     fits = apart <= share * (size_a[i] + size_b[j]) + 1e-9
@@ -198,7 +155,8 @@ def sketched(reps: DataFrame, threshold: float, size: int) -> DataFrame:
 def candidates(sketches: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """rep_a < rep_b of all pairs whose sketches are near enough."""
     # one row for each size class; classes grow geometrically, so they are few whatever the corpus
-    tiles = {r["level"]: -(-r["count"] // tile) for r in sketches.groupBy("level").count().collect()}
+    counted = sketches.groupBy("level").count().collect()
+    tiles = {r["level"]: -(-r["count"] // min(tile, max(1, TILE_BYTES * 8 // planes_of(r["level"] + 1, threshold)))) for r in counted}
     if not tiles:
         kind = dict(sketches.dtypes)["rep"]
         return sketches.sparkSession.createDataFrame([], f"rep_a {kind}, rep_b {kind}")
@@ -240,7 +198,7 @@ def candidates(sketches: DataFrame, threshold: float = THRESHOLD, tile: int = TI
         same = not up and x == y
         a = np.arange(len(data)) if same else np.flatnonzero(~right)
         b = a if same else np.flatnonzero(right)
-        i, j = near(rows[a], sizes[a], rows[b], sizes[b], threshold) if len(a) and len(b) else (np.array([], np.int64),) * 2
+        i, j = near(rows[a], sizes[a], rows[b], sizes[b], threshold, same) if len(a) and len(b) else (np.array([], np.int64),) * 2
         reps = group.column("rep").combine_chunks()
         return pa.table({"rep_a": reps.take(pa.array(a[i])), "rep_b": reps.take(pa.array(b[j]))})
 

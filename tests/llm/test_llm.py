@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 
 encode = pytest.importorskip("clauseloom.llm.encode")
@@ -95,6 +96,20 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.pairs(texts(spark, []), "id", "text").count() == 0
 
 
+def test_narrow_sketches_lose_no_pair(monkeypatch):
+    rng, t, level = np.random.default_rng(4), 0.7, 15
+    assert all(neardup.planes_of(x, t) <= 2.2 * (t - 1e-6) ** -(x + 1) for x in range(12, 40))
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    sets = [rng.integers(0, 1 << 63, int(rng.integers(211, 300))).astype(np.uint64) for _ in range(20)]
+    sets += [np.unique(np.concatenate([s[k:], rng.integers(0, 1 << 63, k // 2).astype(np.uint64)])) for s in sets for k in range(0, 60, 6)]
+    sizes, rows = np.array([len(s) for s in sets]), np.array([neardup.sketch(s, neardup.planes_of(level, t)) for s in sets])
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    near = {(i, j) for i, j in zip(*np.nonzero(common >= t * (sizes[:, None] + sizes - common))) if i < j}
+    for same in (False, True):
+        found = {(min(i, j), max(i, j)) for i, j in zip(*neardup.near(rows, sizes, rows, sizes, t, same))}
+        assert near <= found and len(found) < 1.2 * len(near) + len(sets)
+
+
 def test_consistent_form(spark):
     cases = {"Ａrtiсle １": "Article 1", "a​b\xa0c": "ab c", "été": "été", "ﬁn": "fin", "⽤于": "用于", "РСN361": "PCN361", "соcтав": "состав", "m² 25 °C № 3，。": "m² 25 °C № 3，。", "ก้ำ": "ก้ำ", "kРа": "kPa", unicodedata.normalize("NFD", "한글 가값"): "한글 가값"}
     rows = texts(spark, list(cases.items())).select(F.col("id").alias("text"))
