@@ -15,9 +15,13 @@ further for smaller ones: fewer bits would let unrelated texts pass, more cost t
 What remains is verified by the exact similarity.
 
 Texts of similarity t have sizes within a factor t, so texts are laid out by size
-class and a class meets itself and the next; classes are cut into tiles of bounded
-size, so that no task holds a class.  Every pair within these tiles is measured and
-none is emitted but the few that survive.
+class and a class meets itself and the next.  Where texts are more than one task
+holds, classes are cut into cells by what their texts are about: shingles are grouped
+as a sample has them together, and a text with more shingles of some groups than any
+text of a cell has, or fewer than all, by more than similar texts can differ, isn't
+sent to that cell (a bound without loss, whatever was learned).  Cells are cut into
+tiles of bounded size.  Every pair within tiles that meet is measured and none is
+emitted but the few that survive.
 
 Equal texts are one class, compared once and told apart at the end.
 
@@ -43,6 +47,8 @@ THRESHOLD = 0.7
 TILE, TILE_BYTES = 32768, 1 << 22
 #: Texts on either side of a product at most, and numbers in either matrix.
 BLOCK, CELLS = 1024, 1 << 21
+#: Groups of shingles, texts that they are learned from, cells of all size classes together and texts that those are learned from.
+GROUPS, SAMPLE, MOST_CELLS, MORE = 128, 1024, 192, 16384
 
 
 def normal(text: str) -> str:
@@ -101,6 +107,51 @@ def _matrix(sketches: np.ndarray, sizes: np.ndarray, threshold: float, left: boo
     return np.hstack([x.astype(np.float32), np.column_stack([-least, one] if left else [one, -least]).astype(np.float32)])
 
 
+def kinds(sample: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, group of each): shingles of some share of the sample, those of the same texts grouped.
+
+    Any grouping is right, as it only serves bounds; a good one has groups that a text has nearly whole or not at all.
+    """
+    found, count = np.unique(np.concatenate([*sample, np.array([], np.uint64)]), return_counts=True)
+    often = np.sort(np.lexsort((found, -count))[: int((count >= max(4, 0.004 * len(sample))).sum())][:16384])
+    found = found[often]
+    if len(found) < 2 * GROUPS:
+        return found[:0], np.array([], np.int64)
+    within = np.zeros((len(found), len(sample)), np.float32)
+    for i, shingle in enumerate(sample):
+        within[np.isin(found, shingle, assume_unique=True), i] = 1
+    within /= np.linalg.norm(within, axis=1, keepdims=True)
+    centers = within[np.random.default_rng(1).choice(len(found), GROUPS, replace=False)]
+    for _ in range(5):
+        label = (within @ centers.T).argmax(axis=1)
+        chosen = np.zeros((GROUPS, len(found)), np.float32)
+        chosen[label, np.arange(len(found))] = 1
+        centers = chosen @ within
+        centers /= np.maximum(np.linalg.norm(centers, axis=1, keepdims=True), 1e-9)
+    return found, (within @ centers.T).argmax(axis=1)
+
+
+def kind(hashes: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many of a text's shingles each group has, 255 at most."""
+    found, label = known
+    if not len(found):
+        return np.zeros(GROUPS, np.uint8)
+    at = np.minimum(np.searchsorted(found, hashes), len(found) - 1)
+    return np.minimum(np.bincount(label[at[found[at] == hashes]], minlength=GROUPS), 255).astype(np.uint8)
+
+
+def may_meet(f: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, least: int, most: int, threshold: float) -> np.ndarray:
+    """Which texts may be similar to any of some whose counts and sizes lie within these limits.
+
+    What a text has beyond the highest count of a group isn't in the other, and what it lacks to the lowest isn't in it;
+    a pair shares at least t / (1 + t) of both sizes, so either text has only the rest of its own besides.
+    """
+    share = threshold / (1 + threshold)
+    over = (np.maximum(f, high) - high).sum(axis=1, dtype=np.int32)
+    under = (np.maximum(f, low) - f).sum(axis=1, dtype=np.int32)
+    return (over <= sizes - share * (sizes + least) + 1e-6) & (under <= most - share * (sizes + most) + 1e-6) & (sizes <= most / threshold + 1e-6) & (sizes >= threshold * least - 1e-6)
+
+
 def near(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of all pairs of sketches that differ in at most the bits that the threshold allows.
 
@@ -129,12 +180,12 @@ def near(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, t
     return order_a[i[fits]], order_b[j[fits]]
 
 
-def sketched(reps: DataFrame, threshold: float, size: int) -> DataFrame:
-    """rep, n, level, sketch of each rep's normal text; texts without a shingle are left out."""
+def sketched(reps: DataFrame, threshold: float, size: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """rep, n, level, sketch and counts of groups of each rep's normal text; texts without a shingle are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, ns, levels, out = [], [], [], []
+            kept, ns, levels, out, counts = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 h = shingles(text, size)
                 if len(h):
@@ -143,51 +194,135 @@ def sketched(reps: DataFrame, threshold: float, size: int) -> DataFrame:
                     ns.append(len(h))
                     levels.append(level)
                     out.append(sketch(h, planes_of(level + 1, threshold)).tobytes())
+                    counts.append(kind(h, known).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(ns, pa.int32()), pa.array(levels, pa.int32()), pa.array(out, pa.binary())],
-                names=["rep", "n", "level", "sketch"],
+                [batch.column(0).take(pa.array(kept, pa.int64())), pa.array(ns, pa.int32()), pa.array(levels, pa.int32()), pa.array(out, pa.binary()), pa.array(counts, pa.binary())],
+                names=["rep", "n", "level", "sketch", "counts"],
             )
 
-    kind = dict(reps.dtypes)["rep"]
-    return reps.select("rep", "text").mapInArrow(run, f"rep {kind}, n int, level int, sketch binary")
+    kind_of = dict(reps.dtypes)["rep"]
+    return reps.select("rep", "text").mapInArrow(run, f"rep {kind_of}, n int, level int, sketch binary, counts binary")
+
+
+def _split(f: np.ndarray) -> tuple[int, float]:
+    """The group whose counts differ most, and their mean."""
+    some = f[:: max(1, len(f) // 512)].astype(np.float32)
+    group = int(some.var(axis=0).argmax())
+    return group, float(some[:, group].mean())
+
+
+def grown(f: np.ndarray, most: float, first: int) -> tuple[tuple | int, int]:
+    """(tree, next number): cuts (group, mean, rows up to it, rows beyond) down to leaves, numbered from ``first``."""
+    group, mean = _split(f) if len(f) else (0, 0.0)
+    many = f[:, group] > mean
+    if len(f) <= most or not 0 < many.sum() < len(f):
+        return first, first + 1
+    few, following = grown(f[~many], most, first)
+    rest, following = grown(f[many], most, following)
+    return (group, mean, few, rest), following
+
+
+def cells_of(f: np.ndarray, tree: tuple | int) -> np.ndarray:
+    out, stack = np.zeros(len(f), np.int64), [(np.arange(len(f)), tree)]
+    while stack:
+        at, node = stack.pop()
+        if isinstance(node, int):
+            out[at] = node
+        else:
+            many = f[at, node[0]] > node[1]
+            stack += [(at[~many], node[2]), (at[many], node[3])]
+    return out
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), GROUPS)
+
+
+def laid(sketches: DataFrame, threshold: float, tile: int) -> tuple[DataFrame | None, list[int]]:
+    """(texts with the tiles x <= y that they meet and are met in, level of each tile).
+
+    A text goes to its own tile and to those whose counts don't keep it apart from all of their texts.
+    """
+    counted = {r["level"]: r["count"] for r in sketches.groupBy("level").count().collect()}
+    if not counted:
+        return None, []
+    total = sum(counted.values())
+    # cells are few and the sample is bounded, whatever the corpus; a poor sample costs time, but no pair
+    some = sketches.select("level", "counts", F.xxhash64("rep").alias("h")).orderBy("h").limit(MORE).collect() if total > tile else []
+    trees, level_of = {}, []
+    for level in sorted(counted):
+        rows = [r["counts"] for r in some if r["level"] == level]
+        f = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), GROUPS)
+        trees[level], following = grown(f, max(16, len(some) * max(1 / MOST_CELLS, tile / 8 / total)), len(level_of))
+        level_of += [level] * (following - len(level_of))
+
+    def placed(levels: np.ndarray, f: np.ndarray) -> np.ndarray:
+        cell = np.zeros(len(f), np.int64)
+        for level in np.unique(levels):
+            at = np.flatnonzero(levels == level)
+            cell[at] = cells_of(f[at], trees[int(level)])
+        return cell
+
+    def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {}
+        for batch in batches:
+            levels, n, f = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _counts(batch.column(2))
+            cell = placed(levels, f)
+            for c in np.unique(cell).tolist():
+                at = cell == c
+                old = kept.get(c, (0, 1 << 31, 0, np.full(f.shape[1], 255, np.uint8), np.zeros(f.shape[1], np.uint8)))
+                kept[c] = old[0] + int(at.sum()), min(old[1], int(n[at].min())), max(old[2], int(n[at].max())), np.minimum(old[3], f[at].min(axis=0)), np.maximum(old[4], f[at].max(axis=0))
+        rows = [{"cell": c, "texts": k, "least": lo, "most": hi, "low": low.tobytes(), "high": high.tobytes()} for c, (k, lo, hi, low, high) in kept.items()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("cell", pa.int32()), ("texts", pa.int64()), ("least", pa.int64()), ("most", pa.int64()), ("low", pa.binary()), ("high", pa.binary())]))
+
+    def joined(group: pa.Table) -> pa.Table:
+        get = group.to_pydict()
+        low, high = (np.array([np.frombuffer(x, np.uint8) for x in get[name]]) for name in ("low", "high"))
+        out = {"cell": [get["cell"][0]], "texts": [sum(get["texts"])], "least": [min(get["least"])], "most": [max(get["most"])], "low": [low.min(axis=0).tobytes()], "high": [high.max(axis=0).tobytes()]}
+        return pa.table(out, schema=group.schema)
+
+    form = "cell int, texts long, least long, most long, low binary, high binary"
+    boxes = sorted(sketches.select("level", "n", "counts").mapInArrow(limits, form).groupBy("cell").applyInArrow(joined, form).collect())
+    # tiles of a cell follow each other, and cells of a level do
+    first, tiles, tile_levels = {}, {}, []
+    for r in boxes:
+        level = level_of[r["cell"]]
+        fit = min(tile, max(1, TILE_BYTES * 8 // planes_of(level + 1, threshold)))
+        first[r["cell"]], tiles[r["cell"]] = len(tile_levels), -(-r["texts"] // fit)
+        tile_levels += [level] * tiles[r["cell"]]
+    bounds = [(r["cell"], level_of[r["cell"]], np.frombuffer(bytes(r["low"]), np.uint8), np.frombuffer(bytes(r["high"]), np.uint8), r["least"], r["most"]) for r in boxes]
+    kind_of = dict(sketches.dtypes)["rep"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels, n, f, h = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64), _counts(batch.column(4)), batch.column(5).to_numpy()
+            cell = placed(levels, f)
+            mine = np.array([first[c] for c in cell.tolist()], np.int64) + h % np.array([tiles[c] for c in cell.tolist()], np.int64)
+            for c, level, low, high, least, most in bounds:
+                at = np.flatnonzero(np.abs(levels - level) <= 1)
+                at = at[may_meet(f[at], n[at], low, high, least, most, threshold)] if len(at) else at
+                for t in range(first[c], first[c] + tiles[c]) if len(at) else ():
+                    got = batch.take(pa.array(at))
+                    own = mine[at]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(own, t), pa.int32()), pa.array(np.maximum(own, t), pa.int32()), pa.array(own > t), got.column(0), got.column(2), got.column(3)],
+                        names=["x", "y", "right", "rep", "n", "sketch"],
+                    )
+
+    rows = sketches.select("rep", "level", "n", "sketch", "counts", F.pmod(F.xxhash64("rep"), F.lit(1 << 30)).alias("h"))
+    return rows.mapInArrow(meet, f"x int, y int, right boolean, rep {kind_of}, n int, sketch binary"), tile_levels
 
 
 def candidates(sketches: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """rep_a < rep_b of all pairs whose sketches are near enough."""
-    # one row for each size class; classes grow geometrically, so they are few whatever the corpus
-    counted = sketches.groupBy("level").count().collect()
-    tiles = {r["level"]: -(-r["count"] // min(tile, max(1, TILE_BYTES * 8 // planes_of(r["level"] + 1, threshold)))) for r in counted}
-    if not tiles:
-        kind = dict(sketches.dtypes)["rep"]
-        return sketches.sparkSession.createDataFrame([], f"rep_a {kind}, rep_b {kind}")
-    counts = F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv])
-
-    def ahead(level):
-        return F.coalesce(F.element_at(counts, level), F.lit(0))
-
-    # a tile is met by the tiles after it in its class, and by those of the next class
-    mine = F.pmod(F.xxhash64("rep"), ahead(F.col("level")).cast("long")).cast("int")
-    own = F.transform(
-        F.sequence(F.lit(0), ahead(F.col("level")) - 1),
-        lambda t: F.struct(F.col("level").alias("l"), F.least(t, F.col("tile")).alias("x"), F.greatest(t, F.col("tile")).alias("y"), F.lit(0).alias("up"), (t < F.col("tile")).alias("right")),
-    )
-    # in the pair of a tile with itself every text is on both sides
-    upper = F.transform(
-        F.sequence(F.lit(1), ahead(F.col("level") + 1)),
-        lambda t: F.struct(F.col("level").alias("l"), F.col("tile").alias("x"), (t - 1).alias("y"), F.lit(1).alias("up"), F.lit(False).alias("right")),
-    )
-    lower = F.transform(
-        F.sequence(F.lit(1), ahead(F.col("level") - 1)),
-        lambda t: F.struct((F.col("level") - 1).alias("l"), (t - 1).alias("x"), F.col("tile").alias("y"), F.lit(1).alias("up"), F.lit(True).alias("right")),
-    )
-    nothing = F.array().cast("array<struct<l:int,x:int,y:int,up:int,right:boolean>>")
-    meets = F.concat(own, F.when(ahead(F.col("level") + 1) > 0, upper).otherwise(nothing), F.when(ahead(F.col("level") - 1) > 0, lower).otherwise(nothing))
-    laid = sketches.withColumn("tile", mine).select("rep", "n", "sketch", F.explode(meets).alias("at")).select("rep", "n", "sketch", "at.*")
-    kind = dict(sketches.dtypes)["rep"]
+    kind_of = dict(sketches.dtypes)["rep"]
+    rows, level_of = laid(sketches, threshold, tile)
+    if rows is None:
+        return sketches.sparkSession.createDataFrame([], f"rep_a {kind_of}, rep_b {kind_of}")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
-        level, x, y, up = (k.as_py() for k in key)
-        bits = planes_of(level + up, threshold)
+        x, y = (k.as_py() for k in key)
+        bits = planes_of(level_of[y], threshold)
         right = group.column("right").to_numpy(zero_copy_only=False).astype(bool)
         sizes = group.column("n").to_numpy().astype(np.int64)
         data = group.column("sketch").to_pylist()
@@ -195,14 +330,15 @@ def candidates(sketches: DataFrame, threshold: float = THRESHOLD, tile: int = TI
         for length in {len(s) for s in data}:
             at = [i for i, s in enumerate(data) if len(s) == length]
             rows[at] = folded(np.frombuffer(b"".join(data[i] for i in at), np.uint8).reshape(len(at), length), bits)
-        same = not up and x == y
+        same = x == y
+        # in the pair of a tile with itself every text is on both sides
         a = np.arange(len(data)) if same else np.flatnonzero(~right)
         b = a if same else np.flatnonzero(right)
         i, j = near(rows[a], sizes[a], rows[b], sizes[b], threshold, same) if len(a) and len(b) else (np.array([], np.int64),) * 2
         reps = group.column("rep").combine_chunks()
         return pa.table({"rep_a": reps.take(pa.array(a[i])), "rep_b": reps.take(pa.array(b[j]))})
 
-    pairs = laid.groupBy("l", "x", "y", "up").applyInArrow(compare, f"rep_a {kind}, rep_b {kind}")
+    pairs = rows.groupBy("x", "y").applyInArrow(compare, f"rep_a {kind_of}, rep_b {kind_of}")
     return pairs.where("rep_a <> rep_b").select(F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")).distinct()
 
 
@@ -243,7 +379,10 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str, threshold: flo
     members = cut(tidied.dropDuplicates(["member"]))
     owners = members.groupBy("sum").agg(F.min("member").alias("rep"))
     reps = cut(members.select(F.col("member").alias("rep"), "text").join(owners.select("rep"), "rep", "left_semi"))
-    links = verified(candidates(cut(sketched(reps, threshold, size)), threshold, tile), reps, threshold, size)
+    # one tile's texts are measured as quickly as groups are learned
+    some = reps.select(F.substring("text", 1, 4000).alias("text"), F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).collect() if reps.count() > tile else []
+    known = kinds([shingles(r["text"], size) for r in some])
+    links = verified(candidates(cut(sketched(reps, threshold, size, known)), threshold, tile), reps, threshold, size)
     long = F.length("text") >= size
     return links, members.where(long).join(owners, "sum").select("member", "rep")
 

@@ -110,6 +110,23 @@ def test_narrow_sketches_lose_no_pair(monkeypatch):
         assert near <= found and len(found) < 1.2 * len(near) + len(sets)
 
 
+def test_texts_meet_only_cells_that_may_hold_similar_ones(spark):
+    random.seed(6)
+    words = ["".join(random.choice(part) for _ in range(6)) for part in ("abcdef", "uvwxyz") for _ in range(40)]
+    bodies = [" ".join(random.choice(words[:40] if i % 2 else words[40:]) for _ in range(random.randint(20, 40))) for i in range(400)]
+    bodies += [t[:50] + "-" * k + t[50 + k :] for k in (3, 11) for t in bodies[:60]]
+    rows = [(f"{i:03}", t) for i, t in enumerate(bodies)]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in bodies]
+    expected = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.7}
+    links, _ = neardup.near_duplicates(texts(spark, rows), "id", "text", tile=128)
+    assert {(r.rep_a, r.rep_b) for r in links.collect()} == expected and len(expected) >= 60
+    reps = texts(spark, rows).withColumnRenamed("id", "rep").cache()
+    sent = [neardup.laid(neardup.sketched(reps, 0.7, 5, known), 0.7, 128)[0] for known in (neardup.kinds([]), neardup.kinds([neardup.shingles(t) for t in bodies]))]
+    of = F.col("rep").cast("int") % 2
+    mixed = [s.groupBy("x", "y").agg(F.sum(of).alias("odd"), F.sum(1 - of).alias("even")).agg(F.sum(F.col("odd") * F.col("even"))).head()[0] for s in sent]
+    assert mixed[1] < mixed[0] / 10
+
+
 def test_consistent_form(spark):
     cases = {"Ａrtiсle １": "Article 1", "a​b\xa0c": "ab c", "été": "été", "ﬁn": "fin", "⽤于": "用于", "РСN361": "PCN361", "соcтав": "состав", "m² 25 °C № 3，。": "m² 25 °C № 3，。", "ก้ำ": "ก้ำ", "kРа": "kPa", unicodedata.normalize("NFD", "한글 가값"): "한글 가값"}
     rows = texts(spark, list(cases.items())).select(F.col("id").alias("text"))
