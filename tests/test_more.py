@@ -169,6 +169,22 @@ def test_best_matches_against_a_loop(spark):
         assert got[i] == pytest.approx(max(ratio(i, j) for j in range(25) if j != i))
 
 
+def test_grams_are_counted_without_moving_them(spark, monkeypatch):
+    texts = ["阀门应关闭abc-1阀门", "软管 abc-1 x", "", "关闭阀门的软管长度超过十个汉字", "阀门a/b", "关", "泵阀门关闭"]
+    refs = spark.createDataFrame([(f"s{i}", texts[i % 7] + "测试" * (i % 3)) for i in range(60)], "sample_id string, ref_text string")
+    rows = [(t, target, f"s{i}", 1 + i % 2, 30) for t, target, step in (("a", "软管", 0), ("b", "泵", 1)) for i in range(step, 60, 2)]
+    asked = spark.createDataFrame(rows, "term_id string, target_term string, sample_id string, times long, m long").join(refs, "sample_id")
+    grams = refs.select("sample_id", F.explode(T.gram_counts(F.col("ref_text"), 2, 10)).alias("gram")).groupBy("sample_id", "gram").agg(F.count("*").alias("k"))
+    assert {(r.sample_id, r.gram): r.k for r in grams.collect()} == {(r.sample_id, g): k for r in refs.collect() for g, k in retrieval.grams_of(r.ref_text).items()}
+    want = asked.join(grams, "sample_id").groupBy("term_id", "gram").agg(F.first("target_term").alias("t"), F.count("*").alias("n"), F.count_if(F.col("k") == F.col("times")).alias("fit")).where("n / 30 >= 0.3 or gram = t")
+    monkeypatch.setattr(retrieval, "CHUNK", 7)
+    got = retrieval.gram_counts(asked)
+    assert {(r.term_id, r.gram, r["count"], r.fit) for r in got.collect()} == {(r.term_id, r.gram, r.n, r.fit) for r in want.where("n / 30 >= 0.3 or gram = t").collect()}
+    df = grams.groupBy("gram").agg(F.count("*").alias("df")).join(want.select("gram").distinct(), "gram")
+    monkeypatch.setattr(retrieval, "TEXTS", 9)
+    assert sorted(map(tuple, retrieval.gram_documents(refs, want.select("gram").distinct()).collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "mt_de.jsonl").write_text('{"a": "1"}\n')
     (tmp_path / "x.jsonl").write_text('{"a": "2"}\n{"a": ""}\n')
