@@ -169,6 +169,17 @@ def test_best_matches_against_a_loop(spark):
         assert got[i] == pytest.approx(max(ratio(i, j) for j in range(25) if j != i))
 
 
+def test_clean_asks_ranges_not_single_characters(spark):
+    blocks = [chr(c) for lo, hi in ((0xFB50, 0xFDFF), (0xFE70, 0xFEFF)) for c in range(lo, hi + 1)]
+    texts = ["a" + c + "b" for c in blocks] + ["plain  text", "", None, "ﷲ الله"]
+    want = ["a" + T.unicodedata.normalize("NFKC", c).replace("\u0640", "") + "b" for c in blocks]
+    got = values(spark, T.clean(F.col("s")), texts)
+    assert got[-4:-1] == ["plain text", "", None]
+    assert [g for g in got[: len(blocks)]] == [" ".join(w.split()) for w in want]
+    plan = spark.createDataFrame([("a",)], "s string").select(T.clean(F.col("s")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert f"[{''.join(T.LIGATURES)}]" not in plan
+
+
 def test_grams_are_counted_without_moving_them(spark, monkeypatch):
     texts = ["阀门应关闭abc-1阀门", "软管 abc-1 x", "", "关闭阀门的软管长度超过十个汉字", "阀门a/b", "关", "泵阀门关闭"]
     refs = spark.createDataFrame([(f"s{i}", texts[i % 7] + "测试" * (i % 3)) for i in range(60)], "sample_id string, ref_text string")
