@@ -169,6 +169,23 @@ def test_best_matches_against_a_loop(spark):
         assert got[i] == pytest.approx(max(ratio(i, j) for j in range(25) if j != i))
 
 
+def test_candidates_move_no_pairs(spark, monkeypatch):
+    random.seed(5)
+    texts = [" ".join(random.choices(["valve", "hose", "pump", "seal", "door", "roof"], k=random.randint(0, 6))) for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    weighted = retrieval.weights(table, "id", F.col("t"))
+    rows = {}
+    for r in weighted.collect():
+        rows.setdefault(r.id, {})[r.token] = r.w
+    cosine = {(a, b): sum(w * rows[b].get(t, 0) for t, w in rows[a].items()) for a in rows for b in rows if a < 7 and a != b}
+    monkeypatch.setattr(retrieval, "ROWS", 5)
+    monkeypatch.setattr(retrieval, "PRODUCTS", 20)
+    found = retrieval.candidates(table.where("id < 7"), weighted, "id", 0.31)
+    assert {(r.a, r.b): r.cosine for r in found.collect()} == pytest.approx({k: c for k, c in cosine.items() if c >= 0.31})
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (token" not in plan.rpartition("FlatMapCoGroupsInArrow")[0] and "FlatMapCoGroupsInArrow" in plan
+
+
 def test_clean_asks_ranges_not_single_characters(spark):
     blocks = [chr(c) for lo, hi in ((0xFB50, 0xFDFF), (0xFE70, 0xFEFF)) for c in range(lo, hi + 1)]
     texts = ["a" + c + "b" for c in blocks] + ["plain  text", "", None, "ﷲ الله"]
